@@ -7,6 +7,9 @@ from importlib import import_module
 #: Query name -> (module, function).
 PLACES = {
     "op1_bpe": ("bpe", "op1_bpe"),
+    "op2_quality": ("quality", "op2_quality"),
+    "op9_toxicity": ("toxicity", "op9_toxicity"),
+    "op10_langid": ("langid", "op10_langid"),
 }
 
 
