@@ -57,16 +57,25 @@ def input_bytes(df: DataFrame) -> int:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew beyond ``limit`` entries, so a worker's memory is bounded."""
+    """A dict that computes what it lacks.
+
+    With half of ``limit`` entries it becomes the older generation of a new
+    one; what is used again moves back.  So frequent keys stay, and a worker's
+    memory is bounded.
+    """
 
     def __init__(self, compute, limit: int = 400_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.half, self.old = compute, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
