@@ -12,14 +12,16 @@ automaton is held as one target state per token and, per state, a chain of
 (removed arc, time of removal).  Whether a state has an arc is looked up in a
 transition table that is filled from those chains on first use.
 
-Encoding reads a word from left to right and keeps, per position, the one state
-in which an accepted sequence may end there; decoding emits the arc labels.
+Encoding follows arcs through a word, the longest first, and steps back where no
+arc goes on; as one accepted sequence ends at each position, a position that led
+nowhere is never tried again.  Decoding emits the arc labels.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from .common import Memo, documents, id_and_text, tokenizer_path
 #: Fixed value: the public byte-level pre-tokenizer pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the code points with Unicode's White_Space property.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 DEAD = -1
 
 
@@ -43,10 +45,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class BpeAutomaton:
-    """See the module's text.  ``labels``: bytes of each token id; ``merges``: (left id, right id, made id) in order."""
+    """See the module's text.  ``labels``: bytes of each token id; ``merges``: (left id, right id, made id) in order; ``atoms``: ids that no merge makes."""
 
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
+    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], atoms: set[int]):
         size = max(labels) + 1
         self.labels = [labels.get(i, b"") for i in range(size)]
         self.left, self.right = [DEAD] * size, [DEAD] * size
@@ -63,15 +70,11 @@ class BpeAutomaton:
             self.removed.append(v)
             self.when.append(at)
             self.behind[u] = len(self.parent) - 1
-        made = {self.made_label(i) for i in range(size)}
-        self.ids = {b: i for i, b in enumerate(self.labels) if b and (len(b) == 1 or self.left[i] != DEAD) and b in made}
+        self.ids = {b: i for i, b in enumerate(self.labels) if b and (i in atoms or self.left[i] != DEAD)}
         self.longest = max(map(len, self.ids), default=1)
         self.table: dict[int, int] = {}
         self.cuts: dict[int, dict[int, int]] = {0: {}}
 
-    def made_label(self, token: int) -> bytes:
-        return self.labels[token]
-
     def removals(self, state: int) -> dict[int, int]:
         """The arcs that the gadgets removed on the way to ``state``, with their times."""
         todo = []
@@ -106,30 +109,36 @@ class BpeAutomaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
-        whole = self.ids.get(word)
-        n, step, ids = len(word), self.step, self.ids
-        if n == 1 or whole is not None and self.whole(whole):
-            return [whole]
-        states, last = [0] * (n + 1), [DEAD] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and last[start] != -2 and (to := step(states[start], token)) != DEAD:
-                    states[end], last[end] = to, token
+        ids, step, labels, n = self.ids, self.step, self.labels, len(word)
+        token = ids.get(word)
+        if token is not None and step(0, token) != DEAD:
+            return [token]
+        out, path, state, at, size, dead = [], [0], 0, 0, n, set()
+        while True:
+            # the longest token from here on that has an arc and whose end is not known to lead nowhere
+            size = min(size, n - at, self.longest)
+            while size:
+                token = ids.get(word[at : at + size])
+                if token is not None and at + size not in dead and (to := step(state, token)) != DEAD:
                     break
+                size -= 1
+            if size:
+                out.append(token)
+                path.append(to)
+                state = to
+                at += size
+                if at == n:
+                    return out
+                size = n
             else:
-                last[end] = -2  # no sequence of tokens ends here: a byte that the vocabulary lacks
-        if last[n] == -2:
-            raise ValueError("the vocabulary has no token for a byte")
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
-
-    def whole(self, token: int) -> bool:
-        """Whether a token's own text is encoded as that token: its arc leaves the initial state, which lost none."""
-        return self.step(0, token) != DEAD
+                if not out:
+                    raise ValueError("the vocabulary has no token for a byte")
+                dead.add(at)  # one accepted sequence ends at each position, so no other one leads here either
+                path.pop()
+                state = path[-1]
+                size = len(labels[out.pop()])
+                at -= size
+                size -= 1
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -150,14 +159,17 @@ class ByteLevelBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         labels = {i: raw(s) for s, i in vocab.items() if s not in self.added} | {i: s.encode() for s, i in self.added.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.automaton = BpeAutomaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        self.automaton = BpeAutomaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], {vocab[c] for c in alphabet if c in vocab})
         for s in self.added:
             self.automaton.ids.pop(s.encode(), None)
         self.pieces = regex.compile(PIECES)
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pack = Memo(lambda piece: np.array(self.automaton.encode_word(piece.encode()), "<u4").tobytes(), 200_000)
-        self.chunk_ids = Memo(lambda chunk: b"".join(map(self.pack.__getitem__, self.pieces.findall(chunk))), 300_000)
+        self.odd = re.compile(f"[{WHITE}][{WHITE}]|(?![ \\n])[{WHITE}]|^ | $|\\0")
+        self.marks = re.compile(f"[^\\w{WHITE}][.,]|_[.,]|(?<![^{WHITE}])[.,]")
+        self.pack = Memo(lambda piece: packed(self.automaton.encode_word(piece.encode())), 300_000)
+        self.chunk_ids = Memo(self.chunk, 50_000)
+        self.after_space = Memo(lambda part: self.chunk(part[1:] if part[:1] == "\0" else part if part[:1] == "\n" else f" {part}"), 500_000)
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers.
@@ -166,11 +178,21 @@ class ByteLevelBpe:
         borders of pieces; the ids of such a chunk are remembered.
         """
         if self.specials and any(s in text for s in self.added):
-            return b"".join(np.array([self.added[part]], "<u4").tobytes() if k % 2 else self.encode_plain(part) for k, part in enumerate(self.specials.split(text)))
+            return b"".join(packed([self.added[part]]) if k % 2 else self.encode_plain(part) for k, part in enumerate(self.specials.split(text)))
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> bytes:
-        return b"".join(map(self.chunk_ids.__getitem__, self.chunks.findall(text)))
+        if self.odd.search(text):
+            return b"".join(map(self.chunk_ids.__getitem__, self.chunks.findall(text)))
+        # single spaces and line ends between visible characters: each begins a chunk, as does a full stop or comma there
+        text = text.replace("\n", " \n")
+        if not self.marks.search(text):
+            text = text.replace(". ", " \0. ").replace(", ", " \0, ")
+        first, *rest = text.split(" ")
+        return self.chunk_ids[first] + b"".join(map(self.after_space.__getitem__, rest))
+
+    def chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pack.__getitem__, self.pieces.findall(chunk)))
 
     def decode(self, packed: bytes) -> str:
         return self.automaton.decode(np.frombuffer(packed, "<u4").tolist()).decode("utf-8", "replace")
