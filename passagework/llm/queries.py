@@ -9,6 +9,7 @@ PLACES = {
     "op1_bpe": ("bpe", "op1_bpe"),
     "op2_quality": ("quality", "op2_quality"),
     "op5_packing": ("packing", "op5_packing"),
+    "op7_minhash": ("minhash", "op7_minhash"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
     "op10_langid": ("langid", "op10_langid"),
 }
