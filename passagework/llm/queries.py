@@ -10,6 +10,7 @@ PLACES = {
     "op2_quality": ("quality", "op2_quality"),
     "op5_packing": ("packing", "op5_packing"),
     "op7_minhash": ("minhash", "op7_minhash"),
+    "op8_substring": ("substring", "op8_substring"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
     "op10_langid": ("langid", "op10_langid"),
 }
