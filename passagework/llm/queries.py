@@ -9,6 +9,7 @@ PLACES = {
     "op1_bpe": ("bpe", "op1_bpe"),
     "op2_quality": ("quality", "op2_quality"),
     "op5_packing": ("packing", "op5_packing"),
+    "op6_lattice": ("lattice", "op6_lattice"),
     "op7_minhash": ("minhash", "op7_minhash"),
     "op8_substring": ("substring", "op8_substring"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
