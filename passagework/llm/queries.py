@@ -8,6 +8,7 @@ from importlib import import_module
 PLACES = {
     "op1_bpe": ("bpe", "op1_bpe"),
     "op2_quality": ("quality", "op2_quality"),
+    "op4_topk": ("topk", "op4_topk"),
     "op5_packing": ("packing", "op5_packing"),
     "op6_lattice": ("lattice", "op6_lattice"),
     "op7_minhash": ("minhash", "op7_minhash"),
@@ -22,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .topk import SQL
+
+    return {"op4_topk": SQL}
