@@ -8,6 +8,7 @@ from importlib import import_module
 PLACES = {
     "op1_bpe": ("bpe", "op1_bpe"),
     "op2_quality": ("quality", "op2_quality"),
+    "op3_chat": ("chat", "op3_chat"),
     "op4_topk": ("topk", "op4_topk"),
     "op5_packing": ("packing", "op5_packing"),
     "op6_lattice": ("lattice", "op6_lattice"),
