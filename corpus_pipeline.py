@@ -1,14 +1,60 @@
-"""Stages over ``documents``; filled in as the operators are written."""
+"""From raw documents to packed training sequences.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all that
+the one before kept; ``run`` writes what a stage returns as Parquet and reads it
+again as the next one's ``docs``.  All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-from passagework.llm.common import materialize
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagework.llm import minhash, packing, quality, substring, toxicity
+from passagework.llm.common import materialize, session_defaults
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go."""
+    session_defaults(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.training())
+    return toxicity.drop_toxic(docs, model)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    session_defaults(spark)
+    return quality.keep_good(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    session_defaults(spark)
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def own_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur twice go from the texts; ``n_chars`` follows."""
+    session_defaults(spark)
+    out = substring.without_repeats(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences."""
+    session_defaults(spark)
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", without_toxic), ("quality", of_quality), ("near_duplicates", one_of_each), ("passages", own_passages), ("packing", packed)]
+#: No stage can be said in SQL; the tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
