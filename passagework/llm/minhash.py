@@ -8,12 +8,16 @@ hash evaluation gives two signature values; groups of them are band keys.
    representatives take part from here on.
 2. Representatives that share a band key form a bucket.  The first pass compares
    each member only with the smallest one of its bucket.
-3. Every candidate link is confirmed on the full sets.
-4. Confirmed links give components.  Members of a bucket that are in different
-   components then are compared with further members of it, a growing number at
-   a time, until no bucket has an untested pair in different components.  So no
-   candidate link that would join two components is lost, and a group of n
-   copies costs about n comparisons, not n squared.
+3. Every candidate link is confirmed on the full sets; confirmed links give
+   components.
+4. Members of a bucket that are not in its largest component are compared with a
+   few members of that, chosen at random per bucket.
+5. What is in different components of a bucket even then is compared by sketches
+   of the signatures, in blocks of bounded size, and pairs whose estimate is not
+   far below the bound are confirmed too.
+
+So no candidate link that would join two components is lost, but a group of n
+copies costs about n comparisons and not n squared.
 """
 
 from __future__ import annotations
@@ -32,8 +36,12 @@ PERMUTATIONS, BANDS, ROWS = 80, 32, 5
 SIMILAR = 80
 #: Ids of at most so many rows are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: By which the number of members that the others are compared with grows in a round.
-GROWTH = 8
+#: Members of a bucket's largest component with which the others are compared.
+CENTERS = 4
+#: Members whose sketches are compared in one task, and the least estimate that is confirmed (a pair of 0.8 is below with probability 1e-4).
+BLOCK, LEAST_ESTIMATE = 2048, 0.68
+#: Sets below so many shingles are similar to no other set: their neighbours have 3 of 4 in common at most.
+LEAST_SHINGLES = 4
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _A = (_rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
@@ -63,14 +71,25 @@ class Shingler:
         return np.unique(mixed(h[:-1] * _LEFT + mixed(h[1:] * _RIGHT)))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+_shinglers: list[Shingler] = []
+
+
+def shingler() -> Shingler:
+    """One per process."""
+    if not _shinglers:
+        _shinglers.append(Shingler())
+    return _shinglers[0]
+
+
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The band keys, and the sketch: eight bits of each signature value."""
     least, most = np.full(PERMUTATIONS, 2**64 - 1, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
     for k in range(0, len(shingles), 2048):
         permuted = _A * shingles[None, k : k + 2048] + _B
         np.minimum(least, permuted.min(1), out=least)
         np.maximum(most, permuted.max(1), out=most)
-    signature = np.concatenate([least, most])[: BANDS * ROWS].reshape(ROWS, BANDS)
-    return mixed((mixed(signature) * _ROW).sum(0, dtype=np.uint64) + _BAND).view(np.int64)
+    signature = mixed(np.concatenate([least, most])[: BANDS * ROWS]).reshape(ROWS, BANDS)
+    return mixed((signature * _ROW).sum(0, dtype=np.uint64) + _BAND).view(np.int64), (signature >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -82,20 +101,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (of equal sets; null for the empty set), bands."""
+    """doc_id, n_shingles, set_key (of equal sets; null for the empty set), bands and sketch (null for sets that only equal ones are similar to)."""
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler.set(text)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                bands.append(band_keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                own = band_keys(s) if len(s) >= LEAST_SHINGLES else (None, None)
+                bands.append(own[0])
+                sketches.append(own[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -135,6 +156,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def compared(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between a bucket's components.  ``rows``: key, node, size, others, label, main.
+
+    The members outside the main component visit all members, both in blocks of
+    at most BLOCK; a task has one block of each.  It confirms on the full sets the
+    pairs whose sketches agree enough, the closest first, and for each visitor
+    and component only until one is a link.  A pair that shares several buckets
+    is compared in that of its first band.
+    """
+    homes, visits = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    columns = ["key", "i", "j", "home", "node", "label", "main"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    visiting = rows.where("label <> main").withColumns({"i": block(11, visits), "home": F.lit(False)}).withColumn("j", every(homes)).select(columns)
+    home = rows.withColumns({"j": block(12, homes), "home": F.lit(True)}).withColumn("i", every(visits)).select(columns)
+    dealt = visiting.unionByName(home).join(classes.select("node", "bands", "sketch"), "node").join(texts, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, main, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "main", "home"))
+        key, text = table.column("key")[0].as_py(), table.column("text")
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        sets: dict[int, np.ndarray] = {}
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingler().set(text[k].as_py())
+            return sets[k]
+
+        a, b = [], []
+        for k in np.flatnonzero(~home).tolist():
+            with_ = np.flatnonzero(home & (label != label[k]) & ((label == main) | (node > node[k])))
+            near = (sketch[with_] == sketch[k]).mean(1)
+            with_, near = with_[near >= LEAST_ESTIMATE], near[near >= LEAST_ESTIMATE]
+            first = bands[k][(bands[with_] == bands[k]).argmax(1)] == key
+            linked = set()
+            for x in with_[first][np.argsort(-near[first], kind="stable")].tolist():
+                if label[x] not in linked and similar(full(k), full(x)):
+                    linked.add(label[x])
+                    a.append(int(node[k]))
+                    b.append(int(node[x]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -145,7 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     table = id_and_text(df, id_col, text_col)
     signed = materialize(signatures(df, id_col, text_col))
-    classes = materialize(signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = materialize(signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("set_key", "node", "s.bands", "s.sketch"))
     entries = classes.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("size")).where("center <> last").select("key", "center", "size")
     members = materialize(entries.join(shared, "key"))
@@ -153,27 +220,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     texts = materialize(table.join(nodes, table.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
-    tested = materialize(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(confirmed(tested, texts))
-    labels = components(links)
-    labelled = lambda rows: rows.join(labels.select("node", F.col("label").alias("found")), "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
-    split = labelled(members.where("size > 2").select("key", "node"))
-    mixed_keys = split.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    open_ = materialize(members.select("key", "node").join(mixed_keys, "key").select("key", "node", "n", F.row_number().over(Window.partitionBy("key").orderBy("node")).alias("rank")))
-    low = 1  # members that all others of their bucket have been compared with
-    while not open_.where(F.col("n") > low + 1).isEmpty():
-        now = labelled(open_.where(F.col("n") > low + 1))
-        centers = now.where((F.col("rank") > low) & (F.col("rank") <= low * GROWTH)).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        pairs = now.join(centers, "key").where("rank > ra and label <> la").select("a", F.col("node").alias("b")).distinct()
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        more = materialize(confirmed(fresh, texts))
-        if not more.isEmpty():
-            links = links.union(more)
+    links = labels = None
+
+    def joined_by(more: DataFrame) -> None:
+        """Bring the components up to date."""
+        nonlocal links, labels
+        more = materialize(more)
+        if links is None or not more.isEmpty():
+            links = more if links is None else links.union(more)
             labels = components(links)
-        tested = tested.union(fresh)
-        low *= GROWTH
-        still = labelled(open_.where(F.col("n") > low + 1)).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        open_ = materialize(open_.join(still, "key", "left_semi"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.select("node", F.col("label").alias("found")), "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
+
+    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    joined_by(confirmed(stars, texts))
+    chosen = [F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias(f"c{k}") for k in range(CENTERS)]
+    for last in (False, True):
+        open_ = labelled(members.where("size > 2").select("key", "node", "size"))
+        shares = open_.groupBy("key", "label").agg(F.count("*").alias("n"), *chosen)
+        main = shares.groupBy("key").agg(F.max_by(F.struct("label", "n", F.array(*[f"c{k}" for k in range(CENTERS)]).alias("centers")), F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.label").alias("main"), F.col("m.n").alias("inside"), "m.centers")
+        rows = materialize(open_.join(main, "key").withColumn("others", F.col("size") - F.col("inside")))
+        if rows.isEmpty():
+            break
+        if last:
+            joined_by(compared(rows, classes, texts))
+        else:
+            random = rows.where("label <> main").select(F.col("node").alias("a"), F.explode(F.array_distinct("centers")).alias("b"))
+            pairs = random.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            joined_by(confirmed(pairs.join(stars, ["a", "b"], "left_anti"), texts))
 
     found = labelled(classes.select("set_key", "node")).select("set_key", "label")
     own = F.col("doc_id").isNull() | F.col("set_key").isNull()
