@@ -43,7 +43,6 @@ WHITE = re.compile(f"[^{SPACES}]+")
 
 #: Beyond the Latin letters that have one form each in either case, without combining marks.
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
-MARKS = re.compile(f"[^\\w{SPACES}][.,]|_[.,]")
 
 
 class ChunkEncoder:
@@ -65,17 +64,50 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.final[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """Parts that are encoded alone, made alike where that changes no id, so that fewer differ."""
-        if not BEYOND.search(text) and "<|" not in text:  # lower-casing commutes with what the tokenizer does
-            text = text.lower()
-            if not MARKS.search(text):  # a full stop or comma after a letter or digit and before white space is a piece of its own
-                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
         # str.split() also splits at the four separators, which are no white space in Unicode's sense
         return WHITE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
+    @staticmethod
+    def word_and_stop(chunk: str) -> tuple[str, str] | None:
+        """A chunk that is one lower-cased word, with a full stop or comma or without; each is a piece of its own."""
+        if BEYOND.search(chunk):
+            return None  # lower-casing and normalising might not commute
+        word = chunk.lower()
+        stop = word[-1] if word[-1] in ".," else ""
+        word = word[: len(word) - len(stop)]
+        return (word, stop) if word.isalpha() else None
+
+    def compute(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not remembered."""
+        out: dict[str, bytes] = {}
+        plain = {c: p for c in chunks if (p := self.word_and_stop(c))}
+        known: dict[str, bytes | None] = {w: self.memo.get(w) or self.older.get(w) for p in plain.values() for w in p if w}
+        new = [w for w, ids in known.items() if ids is None]
+        for k in range(0, len(new), 4000):  # one word is one piece, and every piece ends in an id that ends words
+            some = new[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(np.flatnonzero(self.final[ids]) + 1).tolist()]
+            if len(cut) != len(some) + 1:
+                raise ValueError("a word is not one piece")
+            packed = ids.tobytes()
+            known.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(some, cut, cut[1:], strict=False))
+        self.memo.update((w, known[w]) for w in new)
+        known[""] = b""
+        out = {c: known[w] + known[stop] for c, (w, stop) in plain.items()}
+        other = [c for c in chunks if c not in plain]
+        for k in range(0, len(other), 20_000):
+            some = other[k : k + 20_000]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                out[c] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers."""
         parts = [self.chunks(t) for t in texts]
@@ -83,18 +115,8 @@ class ChunkEncoder:
         found = list(map(self.memo.get, flat))
         unknown = [k for k, v in enumerate(found) if v is None]
         if unknown:
-            new: dict[str, bytes] = dict.fromkeys(flat[k] for k in unknown)
-            absent = []
-            for c in new:
-                if (v := self.older.get(c)) is None:
-                    absent.append(c)
-                else:
-                    new[c] = v
-            for k in range(0, len(absent), 20_000):
-                some = absent[k : k + 20_000]
-                for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    new[c] = struct.pack(f"<{len(ids)}I", *ids)
+            new = {c: self.older.get(c) for c in {flat[k] for k in unknown}}
+            new |= self.compute([c for c, v in new.items() if v is None])
             for k in unknown:
                 found[k] = new[flat[k]]
             self.memo.update(new)
