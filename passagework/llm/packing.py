@@ -18,11 +18,10 @@ a join with the running totals of the tasks, so no group is ever collected.
 
 from __future__ import annotations
 
+import os
 import re
-import struct
 import zlib
 from collections import Counter, defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,103 +29,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, materialize, tokenizer_path
+from .bpe import byte_alphabet, packed
+from .common import Memo, documents, id_and_text, materialize, tokenizer_path
 
 CAPACITY = 2048
 #: Distinct chunks of text whose ids a worker remembers.
-MEMO = 1_200_000
+MEMO = 1_000_000
 #: Rounds of the least-squares fit, and coordinates that change in one.
 ROUNDS, WIDTH = 400, 128
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WHITE = re.compile(f"[^{SPACES}]+")
 
 
+#: The printable stand-ins of bytes, by code.
+STAND_INS = {b: c for c, b in byte_alphabet().items()}
 #: Beyond the Latin letters that have one form each in either case, without combining marks.
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a word-level tokenizers file.
+    """Encodes whole texts with a word-level BPE file of the tokenizers library.
 
     Such a file drops white space and joins nothing across it, so a text's ids
-    are those of its chunks between white space, each encoded by the library
-    once and then remembered.
+    are those of its chunks between white space, each encoded once and then
+    remembered.  A chunk that is one word, with a full stop or comma or without,
+    goes to the library's merges straight away; any other takes all its steps.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.final[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
+        self.model = self.tokenizer.model
+        self.words = Memo(self.word, MEMO // 2)
+        self.chunks = Memo(self.chunk, MEMO)
+
+    def word(self, word: str) -> bytes:
+        """Ids of one piece, straight from the merges."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(STAND_INS)
+        return packed([t.id for t in self.model.tokenize(word)])
+
+    def chunk(self, chunk: str) -> bytes:
+        if not BEYOND.search(chunk):  # beyond, lower-casing and normalising might not commute
+            word = chunk.lower()
+            stop = word[-1] if word[-1] in ".," else ""
+            word = word[: len(word) - len(stop)]
+            if word.isalpha():  # one piece, and the stop another
+                return self.words[word] + self.words[stop] if stop else self.words[word]
+        return packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as packed little-endian unsigned 32-bit integers."""
         # str.split() also splits at the four separators, which are no white space in Unicode's sense
-        return WHITE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-
-    @staticmethod
-    def word_and_stop(chunk: str) -> tuple[str, str] | None:
-        """A chunk that is one lower-cased word, with a full stop or comma or without; each is a piece of its own."""
-        if BEYOND.search(chunk):
-            return None  # lower-casing and normalising might not commute
-        word = chunk.lower()
-        stop = word[-1] if word[-1] in ".," else ""
-        word = word[: len(word) - len(stop)]
-        return (word, stop) if word.isalpha() else None
-
-    def compute(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not remembered."""
-        out: dict[str, bytes] = {}
-        plain = {c: p for c in chunks if (p := self.word_and_stop(c))}
-        known: dict[str, bytes | None] = {w: self.memo.get(w) or self.older.get(w) for p in plain.values() for w in p if w}
-        new = [w for w, ids in known.items() if ids is None]
-        for k in range(0, len(new), 4000):  # one word is one piece, and every piece ends in an id that ends words
-            some = new[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cut = [0, *(np.flatnonzero(self.final[ids]) + 1).tolist()]
-            if len(cut) != len(some) + 1:
-                raise ValueError("a word is not one piece")
-            packed = ids.tobytes()
-            known.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(some, cut, cut[1:], strict=False))
-        self.memo.update((w, known[w]) for w in new)
-        known[""] = b""
-        out = {c: known[w] + known[stop] for c, (w, stop) in plain.items()}
-        other = [c for c in chunks if c not in plain]
-        for k in range(0, len(other), 20_000):
-            some = other[k : k + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                out[c] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed little-endian unsigned 32-bit integers."""
-        parts = [self.chunks(t) for t in texts]
-        flat = list(chain.from_iterable(parts))
-        found = list(map(self.memo.get, flat))
-        unknown = [k for k, v in enumerate(found) if v is None]
-        if unknown:
-            new = {c: self.older.get(c) for c in {flat[k] for k in unknown}}
-            new |= self.compute([c for c, v in new.items() if v is None])
-            for k in unknown:
-                found[k] = new[flat[k]]
-            self.memo.update(new)
-            if len(self.memo) > MEMO // 2:  # two generations: what is used again moves back from the older one
-                self.older, self.memo = self.memo, {}
-        at, out = 0, []
-        for p in parts:
-            out.append(b"".join(found[at : at + len(p)]))
-            at += len(p)
-        return out
+        parts = WHITE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return b"".join(map(self.chunks.__getitem__, parts))
 
 
 def pieces(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +98,7 @@ def pieces(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), (encoder.encode(t or "") for t in batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     own = ids[at : at + 4 * CAPACITY]
