@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-ENTRIES: dict[str, tuple] = {}
+from . import evaluation, passages, preparation, retrieval
+
+ENTRIES: dict[str, tuple] = {**retrieval.ENTRIES, **passages.ENTRIES, **evaluation.ENTRIES, **preparation.ENTRIES}
 
 
 def queries() -> dict:
