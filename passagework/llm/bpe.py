@@ -22,6 +22,8 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Fixed value: the code points with Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 DEAD = -1
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,7 +50,7 @@ def byte_alphabet() -> dict[str, int]:
 
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class BpeAutomaton:
@@ -71,7 +74,10 @@ class BpeAutomaton:
             self.when.append(at)
             self.behind[u] = len(self.parent) - 1
         self.ids = {b: i for i, b in enumerate(self.labels) if b and (i in atoms or self.left[i] != DEAD)}
-        self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[bytes, int] = {}  # length of the longest token with these first four bytes; without them: three at most
+        for b in self.ids:
+            if len(b) > 3:
+                self.reach[b[:4]] = max(len(b), self.reach.get(b[:4], 3))
         self.table: dict[int, int] = {}
         self.cuts: dict[int, dict[int, int]] = {0: {}}
 
@@ -109,36 +115,40 @@ class BpeAutomaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
-        ids, step, labels, n = self.ids, self.step, self.labels, len(word)
-        token = ids.get(word)
-        if token is not None and step(0, token) != DEAD:
-            return [token]
-        out, path, state, at, size, dead = [], [0], 0, 0, n, set()
+        get, reach, table, n = self.ids.get, self.reach.get, self.table, len(word)
+        token = get(word)
+        if token is not None:
+            return [token]  # the initial state lost no arc
+        out, path, state, at, end, dead = [], [0], 0, 0, n, None
         while True:
             # the longest token from here on that has an arc and whose end is not known to lead nowhere
-            size = min(size, n - at, self.longest)
-            while size:
-                token = ids.get(word[at : at + size])
-                if token is not None and at + size not in dead and (to := step(state, token)) != DEAD:
-                    break
-                size -= 1
-            if size:
+            limit = at + reach(word[at : at + 4], 3)
+            if end > limit:
+                end = limit
+            while end > at:
+                token = get(word[at:end])
+                if token is not None and (dead is None or end not in dead):
+                    to = table.get(state << 32 | token)
+                    if to is None:
+                        to = self.step(state, token)
+                    if to >= 0:
+                        break
+                end -= 1
+            if end > at:
                 out.append(token)
-                path.append(to)
-                state = to
-                at += size
-                if at == n:
+                if end == n:
                     return out
-                size = n
+                path.append(to)
+                state, at, end = to, end, n
             else:
                 if not out:
                     raise ValueError("the vocabulary has no token for a byte")
+                dead = dead or set()
                 dead.add(at)  # one accepted sequence ends at each position, so no other one leads here either
                 path.pop()
                 state = path[-1]
-                size = len(labels[out.pop()])
-                at -= size
-                size -= 1
+                end = at - 1
+                at -= len(self.labels[out.pop()])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -165,11 +175,10 @@ class ByteLevelBpe:
         self.pieces = regex.compile(PIECES)
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.odd = re.compile(f"[{WHITE}][{WHITE}]|(?![ \\n])[{WHITE}]|^ | $|\\0")
-        self.marks = re.compile(f"[^\\w{WHITE}][.,]|_[.,]|(?<![^{WHITE}])[.,]")
-        self.pack = Memo(lambda piece: packed(self.automaton.encode_word(piece.encode())), 300_000)
+        self.other = re.compile(f"(?![ \\n])[{WHITE}]")
+        self.pack = Memo(lambda piece: packed(self.automaton.encode_word(piece.encode())), 600_000)
         self.chunk_ids = Memo(self.chunk, 50_000)
-        self.after_space = Memo(lambda part: self.chunk(part[1:] if part[:1] == "\0" else part if part[:1] == "\n" else f" {part}"), 500_000)
+        self.after_space = Memo(self.part, 700_000)
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers.
@@ -182,15 +191,26 @@ class ByteLevelBpe:
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> bytes:
-        if self.odd.search(text):
+        if self.is_odd(text):
             return b"".join(map(self.chunk_ids.__getitem__, self.chunks.findall(text)))
-        # single spaces and line ends between visible characters: each begins a chunk, as does a full stop or comma there
-        text = text.replace("\n", " \n")
-        if not self.marks.search(text):
-            text = text.replace(". ", " \0. ").replace(", ", " \0, ")
-        first, *rest = text.split(" ")
+        # single spaces and line ends between visible characters: each begins a chunk
+        first, *rest = text.replace("\n", " \n").split(" ")
         return self.chunk_ids[first] + b"".join(map(self.after_space.__getitem__, rest))
 
+    def is_odd(self, text: str) -> bool:
+        """Whether white space is anything but single spaces and line ends between visible characters."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " ":
+            return True
+        return any(c in text for c in "\t\v\f\r") if text.isascii() else self.other.search(text) is not None
+
+    def part(self, part: str) -> bytes:
+        """What follows a single space, with it, or a line end and what follows it."""
+        stop = part[-1:] if part[-1:] in (".", ",") else ""
+        word = part[: len(part) - len(stop)]
+        if word.isalpha():  # a piece of its own, and so is the stop before white space
+            return self.pack[f" {word}"] + self.pack[stop] if stop else self.pack[f" {word}"]
+        return self.chunk(part if part[:1] == "\n" else f" {part}")
+
     def chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pack.__getitem__, self.pieces.findall(chunk)))
 
