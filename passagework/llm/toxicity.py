@@ -31,7 +31,10 @@ from .common import Memo, bucket_of, documents, id_and_text
 #: Bound of what is learned: labelled documents per class, those with the smallest hash of the id.
 SAMPLE_DOCS = 6000
 ORDER, DISCOUNT = 6, 0.75
+#: Counts by fold and class.
+COUNTS = ("n00", "n01", "n10", "n11")
 BEGIN, END = "\x02", "\x03"
+FEATURES = 9
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 EDGES = " \t\r\n.,;:!?\"'()[]{}*#%&$|<>-_/\\"
@@ -107,21 +110,23 @@ class Scorer:
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """1, the mean over all words, the largest of a word, the largest mean of three words in a row, and the share of telling words' sum."""
+        """One; the mean log ratio of all words; the largest, and the largest mean of three in a row; the telling words' sum; the four largest; the share of telling words, twice; their number."""
         w = words(text)
         if not w:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0] + [0.0] * (FEATURES - 1)
         r = np.fromiter(map(self.ratio.__getitem__, w), np.float64, len(w))
-        three = np.convolve(r, np.ones(3) / 3, "valid") if len(r) > 2 else np.array([r.sum() / 3])
-        telling = r[r > 3]
-        return [1.0, float(np.clip(r.mean(), -2, 2)), float(np.clip(r.max(), -5, 15)), float(np.clip(three.max(), -5, 8)), float(math.log1p(telling.sum()))]
+        three = (r[:-2] + r[1:-1] + r[2:]).max() / 3 if len(r) > 2 else r.sum() / 3
+        top = np.partition(r, len(r) - 4)[-4:] if len(r) > 4 else r
+        strong = int((r > 4).sum())
+        out = [1.0, np.clip(r.mean(), -2, 2), np.clip(r.max(), -5, 15), np.clip(three, -5, 8), np.log1p(r[r > 3].sum()), np.clip(top, 0, 6).sum(), np.log1p(100 * r[r > 2].sum() / len(r)), min(100 * strong / len(r), 4.0), np.log1p(strong)]
+        return [float(x) for x in out]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.weights, self.features(text)))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1.0, rounds: int = 50) -> list[float]:
+def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 0.3, rounds: int = 50) -> list[float]:
     """Weights by Newton's method, with a ridge of ``shrink``."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -134,7 +139,7 @@ def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1.0, rounds: int = 50
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
-    """label (0 or 1), fold (0 to 3), text of the training sample: at most SAMPLE_DOCS documents of each class.
+    """label (0 or 1), fold (0 or 1), text of the training sample: at most SAMPLE_DOCS documents of each class.
 
     Rows whose label is neither 0 nor 1 are not used; a document labelled twice is used with each label.
     """
@@ -142,45 +147,47 @@ def labelled(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_co
     ids = [rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for k in (0, 1)]
     sample = ids[0].unionByName(ids[1])  # at most 2 * SAMPLE_DOCS ids: broadcast
     texts = docs.where(train).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(sample), "id").select("label", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)).cast("int").alias("fold"), "text")
+    return texts.join(F.broadcast(sample), "id").select("label", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int").alias("fold"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, **columns) -> tuple[dict, dict, list[float]]:
-    """The two tables and the weights.  Folds 1 to 3 of the sample give the counts, fold 0 the weights.
+    """The two tables, from the whole sample, and the weights.
 
-    With no document of one class all weights but the first are 0, and that one says which class there is.
+    The weights are fitted on features of each half by the tables of the other
+    half, as a text's own words would look more telling than they are.  With no
+    document of one class all weights but the first are 0, and that one says
+    which class there is.
     """
     sample = labelled(docs, labels, train, **columns)
 
     def count(batches):
         total: dict[str, list[int]] = {}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for label, fold, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for w, n in Counter(words(text)).items():
-                    total.setdefault(w, [0, 0])[label] += n
+                    total.setdefault(w, [0] * 4)[2 * fold + label] += n
         names = list(total)
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[w][0] for w in part], pa.int64()), pa.array([total[w][1] for w in part], pa.int64())], ["word", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([total[w][k] for w in part], pa.int64()) for k in range(4))], ["word", *COUNTS])
 
-    counted = sample.where(F.col("fold") > 0).select("label", "text").mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = {r[0]: (r[1], r[2]) for r in counted.collect()}  # words of at most 2 * SAMPLE_DOCS documents
-    n0, n1 = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
-    if not n0 or not n1:
-        return {}, {}, [0.0 if n0 == n1 else 20.0 if n1 else -20.0, 0.0, 0.0, 0.0, 0.0]
-    table, contexts = log_ratios(counts)
-    model = docs.sparkSession.sparkContext.broadcast((table, contexts))
+    counted = sample.mapInArrow(count, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    rows = [tuple(r) for r in counted.collect()]  # words of at most 2 * SAMPLE_DOCS documents
+    ordinary, toxic = sum(r[1] + r[3] for r in rows), sum(r[2] + r[4] for r in rows)
+    if not ordinary or not toxic:
+        return {}, {}, [0.0 if ordinary == toxic else 20.0 if toxic else -20.0] + [0.0] * (FEATURES - 1)
+    halves = [log_ratios({r[0]: r[a : a + 2] for r in rows if r[a] or r[a + 1]}) for a in (3, 1)]  # fold 0 is read with fold 1's counts
+    models = docs.sparkSession.sparkContext.broadcast(halves)
 
     def describe(batches):
-        scorer = Scorer(*model.value, None)
+        scorers = [Scorer(*tables, None) for tables in models.value]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["label", "x"])
+            x = [scorers[fold].features(t) for fold, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = sample.where(F.col("fold") == 0).select("label", "text").mapInArrow(describe, "label int, x array<double>").collect()
-    y = np.array([r[0] for r in rows], float)
-    if not len({*y.tolist()}) == 2:
-        return table, contexts, [-4.0, 0.0, 0.5, 0.5, 0.5]
-    return table, contexts, logistic(np.array([r[1] for r in rows]), y)
+    seen = sample.mapInArrow(describe, "label int, x array<double>").collect()  # a row per sampled document
+    weights = logistic(np.array([r[1] for r in seen]), np.array([r[0] for r in seen], float))
+    return *log_ratios({r[0]: (r[1] + r[3], r[2] + r[4]) for r in rows}), weights
 
 
 def score(df: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
