@@ -28,7 +28,7 @@ def test_lines(spark):
 
 def test_sentences():
     spans = C.sentences(ARTICLE, (0, len(ARTICLE)))
-    assert [ARTICLE[a:b].strip() for a, b in spans] == ["The U.S. team met Dr. Lee.", '"It was late!" he said.', "J. Smith left.", "Was it?", "Yes, it was. a lower start.", "Last one"]
+    assert [ARTICLE[a:b].strip() for a, b in spans] == ["The U.S. team met Dr. Lee.", '"It was late!"', "he said.", "J. Smith left.", "Was it?", "Yes, it was. a lower start.", "Last one"]
     assert len(C.paragraphs(ARTICLE, (0, len(ARTICLE)))) == 3
 
 

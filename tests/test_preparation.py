@@ -9,7 +9,7 @@ from passagework.streaming import ingest
 
 
 def test_clauses():
-    assert query.clauses("Did the company that built the ferry open it, 2023, while the harbour that lost it was still closed?") == ["Did the company that built the ferry open it, 2023", "the harbour that lost it was still closed?"]
+    assert query.clauses("Did the company that built the ferry open it, 2023, while the harbour that lost it was still closed?") == ["Did the company that built the ferry open it, 2023", "while the harbour that lost it was still closed?"]
     assert query.clauses("Short, and then the rest of this question follows") == ["Short, and then the rest of this question follows"]
     assert query.clauses("") == []
 
