@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, passages, preparation, retrieval
+from . import comparison, evaluation, passages, preparation, retrieval
 
-ENTRIES: dict[str, tuple] = {**retrieval.ENTRIES, **passages.ENTRIES, **evaluation.ENTRIES, **preparation.ENTRIES}
+ENTRIES: dict[str, tuple] = {**retrieval.ENTRIES, **passages.ENTRIES, **evaluation.ENTRIES, **preparation.ENTRIES, **comparison.ENTRIES}
 
 
 def queries() -> dict:

@@ -44,9 +44,10 @@ def gold_spans(spark, sf_dir):
 RANKS = f"""{RETURNED}, {GOLD}, gold_ranks AS (SELECT g.question_id, g.span_no, min(c.rank) AS gold_rank FROM gold g LEFT JOIN returned c ON c.question_id = g.question_id AND c.doc_id = g.doc_id AND c.start_char < g.end_char AND g.start_char < c.end_char GROUP BY g.question_id, g.span_no)"""
 
 
-@entry("gold_ranks", f"WITH {RANKS} SELECT question_id, span_no, gold_rank::INTEGER AS gold_rank FROM gold_ranks")
+@entry("gold_ranks", f"WITH {RANKS} SELECT question_id, span_no, coalesce(gold_rank, 0)::INTEGER AS gold_rank FROM gold_ranks")
 def gold_ranks(spark, sf_dir):
-    return metrics.gold_ranks(returned(spark, sf_dir), gold(spark, sf_dir))
+    """0 stands for a span that no chunk of the list overlaps."""
+    return metrics.gold_ranks(returned(spark, sf_dir), gold(spark, sf_dir)).withColumn("gold_rank", F.coalesce("gold_rank", F.lit(0)))
 
 
 RELEVANT = """total AS (SELECT g.question_id, count(DISTINCT (c.doc_id, c.start_char, c.end_char)) FILTER (c.doc_id IS NOT NULL) AS total FROM gold g LEFT JOIN chunk c ON c.doc_id = g.doc_id AND c.start_char < g.end_char AND g.start_char < c.end_char GROUP BY g.question_id)"""
