@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Memo, bucket_of, documents, id_and_text
 
 #: Bound of what is learned: labelled documents per class, those with the smallest hash of the id.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 3000
 ORDER, DISCOUNT = 6, 0.75
 #: Counts by fold and class.
 COUNTS = ("n00", "n01", "n10", "n11")
@@ -176,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, **columns) -> tuple[dict, dic
     ordinary, toxic = sum(r[1] + r[3] for r in rows), sum(r[2] + r[4] for r in rows)
     if not ordinary or not toxic:
         return {}, {}, [0.0 if ordinary == toxic else 20.0 if toxic else -20.0] + [0.0] * (FEATURES - 1)
-    halves = [log_ratios({r[0]: r[a : a + 2] for r in rows if r[a] or r[a + 1]}) for a in (3, 1)]  # fold 0 is read with fold 1's counts
-    models = docs.sparkSession.sparkContext.broadcast(halves)
+    # fold 0 is read with fold 1's counts
+    models = docs.sparkSession.sparkContext.broadcast([log_ratios({r[0]: r[a : a + 2] for r in rows if r[a] or r[a + 1]}) for a in (3, 1)])
 
     def describe(batches):
         scorers = [Scorer(*tables, None) for tables in models.value]
@@ -187,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, **columns) -> tuple[dict, dic
 
     seen = sample.mapInArrow(describe, "label int, x array<double>").collect()  # a row per sampled document
     weights = logistic(np.array([r[1] for r in seen]), np.array([r[0] for r in seen], float))
+    models.destroy()
     return *log_ratios({r[0]: (r[1] + r[3], r[2] + r[4]) for r in rows}), weights
 
 
