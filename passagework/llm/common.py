@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that go to Python at once; texts may be long.
@@ -34,6 +34,23 @@ def bucket_of(id_col: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def hash_sample(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows of each group, those with the smallest hash of ``key``.  ``rows`` must have few groups.
+
+    The groups are counted first, and rows whose hash is not among the smallest
+    4 * size / n of a group's range are left out before any shuffle, so what is
+    sorted is bounded however large a group is.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    if not counts:
+        return rows
+    limit = F.create_map(*[F.lit(x) for g, n in counts.items() if g is not None for x in (g, min(1.0, 4.0 * size / n))])
+    near = rows.withColumn("_share", share).where(F.col("_share") < limit[F.col(group)])
+    order = Window.partitionBy(group).orderBy("_share", key)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_share", "_n")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,10 +14,10 @@ import zlib
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, id_and_text
+from .common import bucket_of, documents, hash_sample, id_and_text
 
 #: The bounds of what is learned: documents and dictionary bytes per language, and languages (the most frequent ones).
 SAMPLE_DOCS, DICTIONARY_BYTES, MAX_LANGUAGES = 300, 64 << 10, 64
@@ -36,19 +36,16 @@ def learn(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     top = {r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    best = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("lang").isin(*top)).withColumn("n", F.row_number().over(best)).where(F.col("n") <= SAMPLE_DOCS).collect() if top else []
-    place = {(r["id"], r["lang"]): r["n"] for r in chosen}
+    chosen = hash_sample(rows.where(F.col("lang").isin(*top)), "lang", "id", SAMPLE_DOCS).collect() if top else []  # at most SAMPLE_DOCS * MAX_LANGUAGES
+    place = {(r["id"], r["lang"]) for r in chosen}
     if not place:
         return {}
     ids = df.sparkSession.createDataFrame([(i,) for i in {i for i, _ in place} if i is not None] or [(None,)], "id long")  # at most SAMPLE_DOCS * MAX_LANGUAGES
     texts = df.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi").where(F.length("text") > 0)
     found: dict[str, dict[str, int]] = {}
     for r in texts.toLocalIterator():
-        n = place.get((r["id"], r["lang"]))
-        if n is not None and LETTER.search(r["text"]):
-            own = found.setdefault(r["lang"], {})
-            own[r["text"]] = min(n, own.get(r["text"], n))
+        if (r["id"], r["lang"]) in place and LETTER.search(r["text"]):
+            found.setdefault(r["lang"], {})[r["text"]] = zlib.crc32(str(r["id"]).encode())
     return dictionaries({lang: [t for t, _ in sorted(own.items(), key=lambda x: (x[1], x[0]))] for lang, own in sorted(found.items())})
 
 
