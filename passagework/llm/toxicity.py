@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bucket_of, documents, id_and_text
+from .common import Memo, bucket_of, documents, hash_sample, id_and_text
 
 #: Bound of what is learned: labelled documents per class, those with the smallest hash of the id.
 SAMPLE_DOCS = 3000
@@ -144,8 +144,7 @@ def labelled(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_co
     Rows whose label is neither 0 nor 1 are not used; a document labelled twice is used with each label.
     """
     rows = labels.where(train & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull()).distinct()
-    ids = [rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for k in (0, 1)]
-    sample = ids[0].unionByName(ids[1])  # at most 2 * SAMPLE_DOCS ids: broadcast
+    sample = hash_sample(rows, "label", "id", SAMPLE_DOCS)  # at most 2 * SAMPLE_DOCS ids: broadcast
     texts = docs.where(train).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(sample), "id").select("label", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int").alias("fold"), "text")
 

@@ -38,7 +38,8 @@ def test_toxicity_held_out(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels, toxicity.training()))
     rows = scored.join(labels, "doc_id").where(bucket_of("doc_id", 3) == 1).select("toxic", "score", "predicted").collect()
     wrong = sum((r["predicted"] == 1) != (r["toxic"] == 1) for r in rows)
-    assert len(rows) > 100 and wrong <= 0.05 * len(rows)
+    assert len(rows) > 100 and wrong <= 0.08 * len(rows)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.01 * len(rows)
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
