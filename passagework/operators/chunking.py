@@ -48,13 +48,20 @@ def fixed(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     step = size - overlap
-    tokens = docs.select("doc_id", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\s*\S+(?:\s+\z)?"), F.lit(0)).alias("t")).where(F.size("t") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < F.size("t")))
-    cut = tokens.select("doc_id", "t", F.posexplode(starts).alias("n", "i"))
-    text = F.array_join(F.slice("t", F.col("i") + 1, F.lit(size)), "")
-    start = F.aggregate(F.slice("t", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + F.length(x))
-    rows = cut.select("doc_id", F.format_string("%s:%04d", F.col("doc_id").cast("string"), "n").alias("chunk_id"), start.alias("start_char"), text.alias("text"), F.least(F.size("t") - F.col("i"), F.lit(size)).alias("n_tokens"))
-    return rows.withColumn("end_char", F.col("start_char") + F.length("text"))
+    run = lambda least, most: F.lit(rf"(?:\s*+\S++){{{least},{most}}}+(?:\s+\z)?")  # noqa: E731  possessive: no stack per token
+    # units of step tokens tile the text; a window is a unit and the first tokens of those after it
+    units = docs.select("doc_id", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), run(1, step), F.lit(0)).alias("u")).where(F.size("u") > 0)
+    total = (F.size("u") - 1) * step + F.regexp_count(F.element_at("u", -1), F.lit(r"\S+"))
+    more = -(-overlap // step)
+
+    def window(unit: Column, n: Column) -> Column:
+        text = F.concat(unit, F.coalesce(F.regexp_substr(F.array_join(F.slice("u", n + 2, F.lit(more)), ""), run(1, overlap)), F.lit(""))) if overlap else unit
+        return F.struct(n.alias("n"), F.aggregate(F.slice("u", F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x)).alias("start_char"), text.alias("text"))
+
+    kept = F.filter(F.transform("u", window), lambda w: (w["n"] == 0) | (w["n"] * step + overlap < F.col("total")))
+    rows = units.withColumn("total", total).select("doc_id", "total", F.inline(kept))
+    made = rows.select("doc_id", F.format_string("%s:%04d", F.col("doc_id").cast("string"), "n").alias("chunk_id"), "start_char", "text", F.least(F.col("total") - F.col("n") * step, F.lit(size)).alias("n_tokens"))
+    return made.withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
