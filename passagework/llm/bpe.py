@@ -176,9 +176,9 @@ class ByteLevelBpe:
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.other = re.compile(f"(?![ \\n])[{WHITE}]")
-        self.pack = Memo(lambda piece: packed(self.automaton.encode_word(piece.encode())), 600_000)
+        self.pack = Memo(lambda piece: packed(self.automaton.encode_word(piece.encode())), 400_000)
         self.chunk_ids = Memo(self.chunk, 50_000)
-        self.after_space = Memo(self.part, 700_000)
+        self.after_space = Memo(self.part, 500_000)
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers.
