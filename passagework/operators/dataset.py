@@ -21,6 +21,29 @@ def find_span(text: str, fact: str) -> tuple[int, int, str] | None:
     return (m.start(), m.end(), "whitespace") if m else None
 
 
+def verbatim(documents: DataFrame, items: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
+    """doc_id, text, question_id, fact: the documents that hold a fact as it is.
+
+    ``documents``: doc_id, text; ``items``: question_id, fact.  Few items travel to
+    the documents, which are read once.  Of many, those with three words or more
+    are joined on the longest word that is neither their first nor their last (a
+    document that holds the fact has it as a word of its own), and only pairs
+    that share it are searched.
+    """
+    items = items.where(F.trim("fact") != "")
+    held = F.col("text").contains(F.col("fact"))
+    if items.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return documents.join(F.broadcast(items), held)
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^ \t-\r]+"), F.lit(0))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    keyed = items.withColumn("w", words("fact")).withColumn("word", F.when(F.size("w") > 2, F.reduce(inner, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s)))).drop("w")
+    own = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    pairs = own.join(keyed.where("word is not null").select("question_id", "word"), "word").select("doc_id", "question_id")
+    long = pairs.join(documents, "doc_id").join(items, "question_id").where(held).select("doc_id", "text", "question_id", "fact")
+    short = documents.join(keyed.where("word is null").drop("word"), held).select("doc_id", "text", "question_id", "fact")
+    return long.unionByName(short)
+
+
 def map_evidence(pairs: DataFrame) -> DataFrame:
     """pairs (text, fact, ...) with start_char, end_char and method (null: missing); Python only where the exact search fails."""
 

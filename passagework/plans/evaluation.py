@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, metrics, stats
+from ..operators import chunking, dataset, metrics, stats
 from .common import chunk_ctes, docs, table
 from .passages import RETURNED, returned
 
@@ -26,11 +27,8 @@ GOLD = """gold AS (SELECT item_id AS question_id, (row_number() OVER (PARTITION
 
 
 def gold(spark, sf_dir):
-    """The benchmark is small and fixed, so it travels to the documents, which are read once."""
-    from pyspark.sql import Window
-
-    items = F.broadcast(table(spark, sf_dir, "benchmark").where(F.length(F.trim("text")) > 0).select(F.col("item_id").alias("question_id"), F.col("text").alias("fact")))
-    found = docs(spark, sf_dir).select("doc_id", "text").join(items, F.col("text").contains(F.col("fact")))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("fact"))
+    found = dataset.verbatim(docs(spark, sf_dir).select("doc_id", "text"), items)
     at = F.expr("locate(fact, text)") - 1
     number = F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")) - 1
     return found.select("question_id", number.cast("long").alias("span_no"), "doc_id", at.cast("long").alias("start_char"), (at + F.length("fact")).cast("long").alias("end_char"))
@@ -139,8 +137,6 @@ g AS (SELECT source, count(*) AS n, count(*) FILTER (good) AS pos, sum(k) FILTER
 SELECT source, CASE WHEN pos > 0 AND n > pos THEN round(1 - (ranks - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) END AS auc FROM g""")
 def separation_auc(spark, sf_dir):
     """How well length ranks the good documents of each source first."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("good", F.col("quality") == 1)
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
     return stats.separation(ranked, "source", "place", "good").withColumn("auc", F.round("auc", 6))

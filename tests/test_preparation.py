@@ -43,6 +43,14 @@ def test_spans(spark):
     assert dataset.mapping_report(dataset.map_evidence(rows).limit(0)).first()["mapping_rate"] == 1.0
 
 
+def test_verbatim(spark):
+    docs = spark.createDataFrame([(1, "xthe quick brown foxy"), (2, "the quick red fox"), (3, None), (4, "a")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "the quick"), (3, " "), (4, None), (5, "a")], "question_id int, fact string")
+    want = {(1, 1), (1, 2), (2, 2), (4, 5)}
+    for most in (100, 1):
+        assert {(r["doc_id"], r["question_id"]) for r in dataset.verbatim(docs, items, most).collect()} == want
+
+
 def test_clusters_and_split(spark):
     evidence = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (1, "c"), (2, "c"), (3, "d")], "question_id int, span string")
     asked = spark.createDataFrame([(i,) for i in range(5)], "question_id int")
