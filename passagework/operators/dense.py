@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of query vectors that travel to every task; more are searched in several such blocks.
 QUERY_BYTES = 64 << 20
@@ -34,6 +35,7 @@ def cosine_top(queries: DataFrame, store: DataFrame, k: int, dimensions: int | N
     packed = [(r[0], r[1]) for r in queries.select("question_id", unit(F.col("vector"), dimensions).alias("v")).toLocalIterator()]
     rows = store.select(F.col(key), unit(F.col("vector"), dimensions).alias("v"))
     kind = dict(queries.dtypes)["question_id"]
+    ids_type = to_arrow_type(queries.schema["question_id"].dataType)
     schema = f"question_id {kind}, {key} {dict(store.dtypes)[key]}, score double"
     if not packed:
         return store.sparkSession.createDataFrame([], f"{schema}, rank int")
@@ -41,13 +43,13 @@ def cosine_top(queries: DataFrame, store: DataFrame, k: int, dimensions: int | N
     found = None
     for at in range(0, len(packed), per_block):
         block = packed[at : at + per_block]
-        part = rows.mapInArrow(_multiplier(store.sparkSession.sparkContext.broadcast(([i for i, _ in block], np.array([v for _, v in block]))), k, key), schema)
+        part = rows.mapInArrow(_multiplier(store.sparkSession.sparkContext.broadcast(([i for i, _ in block], np.array([v for _, v in block]))), k, key, ids_type), schema)
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _multiplier(queries, k: int, key: str):
+def _multiplier(queries, k: int, key: str, ids_type):
     def run(batches):
         ids, q = queries.value
         kept = [[] for _ in ids]
@@ -70,7 +72,7 @@ def _multiplier(queries, k: int, key: str):
                     kept[i] = sorted(kept[i])[:k]
         if keys is not None:
             out = [(ids[i], name, score) for i, own in enumerate(kept) for _, name, score in sorted(own)[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], keys), pa.array([x[2] for x in out], pa.float64())], ["question_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], ids_type), pa.array([x[1] for x in out], keys), pa.array([x[2] for x in out], pa.float64())], ["question_id", key, "score"])
 
     return run
 
