@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 
 #: Decimals on which scores are ranked, so that sums in another order give the same list.
 RANK_DECIMALS = 9
+#: Asked terms of which so many travel to the chunks.
+BROADCAST_TERMS = 200_000
 
 
-def postings(chunks: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, tf, length: how often each term is in each chunk, and the chunk's terms with repeats."""
+def postings(chunks: DataFrame, key: str, terms: Column, only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, length: how often each term is in each chunk, and the chunk's terms with repeats.
+
+    ``only``: the terms (term) that are wanted; the others go before anything is
+    shuffled if the wanted ones are few enough to travel.
+    """
     rows = chunks.select(F.col(key), terms.alias("terms"))
     long = rows.select(key, F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
+    if only is not None:
+        wanted = only.select("term").distinct()
+        few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        long = long.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     return long.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -65,4 +75,8 @@ def best(scored: DataFrame, k: int, key: str, by: tuple[str, ...] = ("question_i
 
 def search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """question_id, key, score, rank."""
-    return best(scores(questions, postings(chunks, key, terms), collection(chunks, terms), key, k1=k1, b=b), k, key)
+    return best(scores(questions, postings(chunks, key, terms, asked_terms(questions)), collection(chunks, terms), key, k1=k1, b=b), k, key)
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select(F.explode("terms").alias("term")).distinct()

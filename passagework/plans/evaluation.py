@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, dataset, metrics, stats
+from ..sources.tables import checkpointed
 from .common import chunk_ctes, docs, table
 from .passages import RETURNED, returned
 
@@ -68,7 +69,7 @@ scores AS (
 
 
 def _scores(spark, sf_dir):
-    found, spans = returned(spark, sf_dir), gold(spark, sf_dir)
+    found, spans = checkpointed(returned(spark, sf_dir).drop("text")), checkpointed(gold(spark, sf_dir))  # ten rows per question, and few spans
     totals = metrics.count_relevant(chunking.fixed(docs(spark, sf_dir), 128, 32), spans)
     by_span = metrics.span_scores(metrics.gold_ranks(found, spans), (5, 10))
     return by_span.unionByName(metrics.long_format(metrics.rank_scores(metrics.relevance(found, spans), totals)))

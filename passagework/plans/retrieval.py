@@ -29,19 +29,21 @@ def tokenize_terms(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-def _posted(spark, sf_dir):
+def _posted(spark, sf_dir, every: bool = False):
+    """Postings of the asked terms, or of all, and the collection's size."""
     d = docs(spark, sf_dir)
-    return sparse.postings(d, "doc_id", TERMS(F.col("text"))), sparse.collection(d, TERMS(F.col("text")))
+    only = None if every else sparse.asked_terms(questions(spark, sf_dir))
+    return sparse.postings(d, "doc_id", TERMS(F.col("text")), only), sparse.collection(d, TERMS(F.col("text")))
 
 
 @entry("bm25_postings", f"WITH {BM25_CTES} SELECT doc_id, term, tf::BIGINT AS tf, length::BIGINT AS length FROM p")
 def bm25_postings(spark, sf_dir):
-    return _posted(spark, sf_dir)[0].select("doc_id", "term", "tf", "length")
+    return _posted(spark, sf_dir, True)[0].select("doc_id", "term", "tf", "length")
 
 
 @entry("term_stats", f"WITH {BM25_CTES} SELECT term, df, cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM stats, size")
 def term_stats(spark, sf_dir):
-    posted, size = _posted(spark, sf_dir)
+    posted, size = _posted(spark, sf_dir, True)
     return sparse.term_statistics(posted, size).withColumn("idf", F.round("idf", 6))
 
 
