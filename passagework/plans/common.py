@@ -12,8 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a scan from which it is worth dealing its rows out to idle cores.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than cores (one file with one row group, say) dealt out to all; other scans as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size >= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
