@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from passagework.llm import minhash, packing, quality, substring, toxicity
 from passagework.llm.common import materialize, session_defaults
 
+#: Column that tells rows apart while near-duplicates are looked for.
+ROW = "_passagework_row"
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
@@ -29,10 +32,23 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One row of each group of near-duplicates stays, that of the smallest doc_id (a null one is the last).
+
+    Rows are told apart by a 64-bit hash of id and text, not by their id: of rows
+    that repeat both, one stays, rows with a null id are compared like all others,
+    and a doc_id with two texts is decided for each.  Rows without words all stay.
+    """
     session_defaults(spark)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    twice = materialize(rows.where(F.col("text").rlike(r"[^ \t\n\r\x0B\f]")).groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").select(ROW))
+    if not twice.isEmpty():
+        first = rows.join(twice, ROW, "left_semi").groupBy(ROW).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*", ROW)
+        rows = materialize(rows.join(twice, ROW, "left_anti").unionByName(first))
+    found = minhash.near_duplicates(rows, ROW).withColumnRenamed("doc_id", ROW)
+    linked = found.where("n_shingles > 0").join(rows.select(ROW, "doc_id"), ROW)
+    best = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best")).select(f"best.{ROW}")
+    stay = best.union(found.where("n_shingles = 0").select(ROW))
+    return rows.join(stay, ROW, "left_semi").select(docs.columns)
 
 
 def own_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

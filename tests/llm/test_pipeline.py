@@ -92,3 +92,16 @@ def test_empty(spark, small, tmp_path):
 def test_queries_run(spark, name):
     got = __spark_entry__.queries()[name](spark, SF)
     assert got.count() > 0
+
+
+def test_one_row_of_each(spark):
+    """Repeated rows, null ids and a doc_id with two texts are decided row by row, and what stays keeps its text."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (1, a), (2, b), (None, c), (None, c), (5, b), (5, d), (7, e), (6, e + " end"), (None, f), (8, f), (9, None), (9, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(1, a), (2, b), (None, c), (5, d), (6, e + " end"), (8, f), (9, None), (9, None), (None, ""), (None, "")])
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.own_passages(spark, kept, "").collect()) == want
