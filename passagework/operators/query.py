@@ -32,15 +32,22 @@ def clauses(question: str) -> list[str]:
     return [question[a:b].strip() for a, b in out]
 
 
-def split_clauses(questions: DataFrame, limit: int = 4) -> DataFrame:
-    """question_id, query_no, text, role: at most ``limit`` clauses; one clause is the question itself."""
+def split_clauses(questions: DataFrame, limit: int | None = None) -> DataFrame:
+    """question_id, query_no, text, role: all clauses; one clause is the question itself.
+
+    With a ``limit`` only the first ones are returned, and ``extra`` says how many more there are.
+    """
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: clauses(t or ""))
 
     rows = questions.select("question_id", cut("question").alias("parts"))
-    return rows.select("question_id", F.posexplode(F.slice("parts", 1, limit)).alias("n", "text"), F.size("parts").alias("found")).select("question_id", (F.col("n") + 1).alias("query_no"), "text", F.when(F.col("found") > 1, "clause").otherwise("original").alias("role"))
+    found = rows.select("question_id", F.posexplode("parts").alias("n", "text"), F.size("parts").alias("found"))
+    out = ["question_id", (F.col("n") + 1).alias("query_no"), "text", F.when(F.col("found") > 1, "clause").otherwise("original").alias("role")]
+    if limit is None:
+        return found.select(*out)
+    return found.where(F.col("n") < limit).select(*out, F.greatest(F.lit(0), F.col("found") - limit).alias("extra"))
 
 
 def parse_lines(replies: DataFrame, limit: int) -> DataFrame:

@@ -45,7 +45,7 @@ registry.add("generator", "echo", lambda: models.echo)
 registry.add("reranker", "overlap", lambda: rerank.overlap_scorer)
 for _kind in models.TRANSFORMS:
     registry.add("query_transform", _kind, lambda _kind=_kind, **settings: lambda q: models.transform(q, _kind, **settings))
-registry.add("query_transform", "clauses", lambda limit=4: lambda q: query.split_clauses(q, limit))
+registry.add("query_transform", "clauses", lambda limit=None: lambda q: query.split_clauses(q, limit).select("question_id", "query_no", "text", "role"))
 
 
 @dataclass(frozen=True)

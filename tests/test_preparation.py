@@ -14,6 +14,15 @@ def test_clauses():
     assert query.clauses("") == []
 
 
+def test_every_clause(spark):
+    part = "one two three four w%d"
+    asked = spark.createDataFrame([("q", ", ".join(part % i for i in range(6))), ("r", "who built it")], "question_id string, question string")
+    got = query.split_clauses(asked).orderBy("question_id", "query_no").collect()
+    assert [(r["query_no"], r["text"], r["role"]) for r in got] == [(i + 1, part % i, "clause") for i in range(6)] + [(1, "who built it", "original")]
+    few = query.split_clauses(asked, 4).orderBy("question_id", "query_no").collect()
+    assert [(r["query_no"], r["extra"]) for r in few] == [(1, 2), (2, 2), (3, 2), (4, 2), (1, 0)]
+
+
 def test_parsing(spark):
     replies = spark.createDataFrame([("q", "1. First one\n2. first  ONE\n\n- 'Second'\nThird\nFourth")], "question_id string, reply string")
     got = query.parse_lines(replies, 3).orderBy("query_no").collect()
