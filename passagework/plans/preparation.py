@@ -152,8 +152,7 @@ def parse_verdict(spark, sf_dir):
 
 @entry("header_dates", "SELECT o_orderkey, o_orderpriority || '. ' || o_orderstatus || ', ' || strftime(o_orderdate, '%B %-d, %Y') || '.' AS header FROM orders WHERE o_orderkey < 2000")
 def header_dates(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
-    return rows.select("o_orderkey", T.prompt_header(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderdate")).alias("header"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.prompt_header(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderdate")).alias("header"))
 
 
 @entry("ingest_anti", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")

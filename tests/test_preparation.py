@@ -1,9 +1,11 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from passagework.operators import dataset, query
+from passagework.plans import preparation
 from passagework.sources import costs, tables
 from passagework.streaming import ingest
 
@@ -23,6 +25,13 @@ def test_every_clause(spark):
     assert [(r["query_no"], r["extra"]) for r in few] == [(1, 2), (2, 2), (3, 2), (4, 2), (1, 0)]
 
 
+def test_header_dates(spark, tmp_path):
+    rows = [(k, "1-URGENT", "O", datetime.datetime(1996, 1, 2)) for k in (1, 1999, 2000, 150_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["header"] for r in preparation.header_dates(spark, str(tmp_path)).collect()}
+    assert got == {k: "1-URGENT. O, January 2, 1996." for k, *_ in rows}
+
+
 def test_parsing(spark):
     replies = spark.createDataFrame([("q", "1. First one\n2. first  ONE\n\n- 'Second'\nThird\nFourth")], "question_id string, reply string")
     got = query.parse_lines(replies, 3).orderBy("query_no").collect()
