@@ -28,8 +28,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item asks with its first twelve terms."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.slice(T.terms(F.col("text")), 1, 12).alias("terms"))
+    """Each benchmark item asks with all terms of its text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), T.terms(F.col("text")).alias("terms"))
 
 
 def terms_sql(column: str) -> str:

@@ -86,7 +86,7 @@ def tuning_argmax(spark, sf_dir):
 def term_overlap(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), T.terms(F.col("text")).alias("own"))
     rows = gold(spark, sf_dir).select("question_id", "span_no").join(items, "question_id")
-    return rows.select("question_id", "span_no", F.round(diagnostics.term_overlap(F.col("own"), F.slice("own", 1, 12)), 6).alias("overlap"))
+    return rows.select("question_id", "span_no", F.round(diagnostics.term_overlap(F.col("own"), F.col("own")), 6).alias("overlap"))
 
 
 @entry("evidence_profile", f"WITH {GOLD} SELECT least(4, floor(start_char * 5 / length(d.text)))::INTEGER AS part, count(*) AS n FROM gold JOIN documents d USING (doc_id) WHERE length(d.text) > 0 GROUP BY part")

@@ -68,7 +68,7 @@ def bm25_tuned_stopwords_topk(spark, sf_dir):
     lengths = long.groupBy("doc_id").agg(F.count("*").alias("length"))
     posted = long.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(lengths, "doc_id")
     size = rows.join(lengths, "doc_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("length", F.lit(0))).alias("avg_length"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.slice(TERMS(F.col("text"), True), 1, 12).alias("terms"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), TERMS(F.col("text"), True).alias("terms"))
     stemmed = stemming.stemmed_terms(asked, "question_id", F.col("terms")).groupBy("question_id").agg(F.collect_set("stem").alias("terms"))
     best = sparse.best(sparse.scores(stemmed, posted, size, "doc_id", k1=0.8, b=1.0), 10, "doc_id")
     return best.select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -1,10 +1,13 @@
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators import context, dense, fusion, rerank, sparse
+from passagework.plans import catalogue
 
 
 def lists(spark, **rows):
@@ -78,3 +81,19 @@ def test_mmr():
     s[0, 2] = s[2, 0] = s[1, 2] = s[2, 1] = 0.1
     assert context.mmr_order(np.array([1, 0.9, 0.8, 0.1]), s, 3, 0.5) == [0, 2, 3]
     assert context.mmr_order(np.array([0.2, 0.9]), np.eye(2), 5, 1.0) == [1, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_topk"])
+def test_all_terms_asked(spark, name):
+    """The rows are those of the registered SQL without its cut of the question to twelve terms."""
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    sql = catalogue.oracle_sql()[name].replace("[1:12]", "")
+    want = con.sql(f"select question_id, doc_id, rank, score from ({sql})").fetchall()
+    got = [tuple(r) for r in catalogue.queries()[name](spark, sf).select("question_id", "doc_id", "rank", "score").collect()]
+    assert sorted(r[:3] for r in got) == sorted(r[:3] for r in want)
+    assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)], atol=2e-6)
