@@ -14,9 +14,14 @@ BATCH_ROWS = 512
 
 
 def session_defaults(spark: SparkSession) -> None:
-    """Bound the Arrow batches, so that a batch of long texts fits in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound the session's Arrow batches, so that a batch of long texts fits in a worker; smaller bounds stay.
+
+    Spark reads these settings when a result is computed, so they can't be put back here.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        own = spark.conf.get(key, "")
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,30 +39,55 @@ def bucket_of(id_col: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: Groups whose sample limits travel to the tasks; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
 def hash_sample(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
-    """At most ``size`` rows of each group, those with the smallest hash of ``key``.  ``rows`` must have few groups.
+    """group, key, _n: at most ``size`` keys of each group, those with the smallest hash, numbered in that order.
 
-    The groups are counted first, and rows whose hash is not among the smallest
-    4 * size / n of a group's range are left out before any shuffle, so what is
-    sorted is bounded however large a group is.
+    The keys of a group are counted first (about), and those whose hash is not
+    among the smallest 4 * size / n of a group's range are left out before any
+    shuffle, so what is sorted is bounded however large a group is.  A key counts
+    once, however many rows it has.  Nothing is collected.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
     share = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    if not counts:
-        return rows
-    limit = F.create_map(*[F.lit(x) for g, n in counts.items() if g is not None for x in (g, min(1.0, 4.0 * size / n))])
-    near = rows.withColumn("_share", share).where(F.col("_share") < limit[F.col(group)])
+    counts = rows.groupBy(group).agg(F.least(F.lit(1.0), 4.0 * size / F.greatest(F.lit(1), F.approx_count_distinct(key))).alias("_limit"))
+    few = counts.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    near = rows.select(group, key, share.alias("_share")).join(F.broadcast(counts) if few else counts, group).where("_share <= _limit").select(group, key, "_share").distinct()
     order = Window.partitionBy(group).orderBy("_share", key)
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_share", "_n")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_share")
+
+
+def bounded_texts(rows: DataFrame, group: str, key: str, text: str, size: int, chars: int) -> DataFrame:
+    """group, key, text of a sample that is bounded in rows and in characters.
+
+    Of each group at most ``size`` keys, in the order of their hashes, each with
+    one text (the smallest, if it has several), as long as the texts have at most
+    ``chars`` characters together; a longer text than that is passed over.
+    """
+    sample = hash_sample(rows.select(group, key), group, key, size)
+    few = sample.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    own = rows.select(group, key, F.col(text).alias("text")).where(F.length(text).between(1, chars)).join(F.broadcast(sample) if few else sample, [group, key])
+    one = own.groupBy(group, key, "_n").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy(group).orderBy("_n"))
+    return one.withColumn("_upto", upto).where(F.col("_upto") <= chars).select(group, key, "text")
+
+
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: under ``spark.checkpoint.dir``; only a local session may go without, and gets one of its own."""
+    application = spark.sparkContext.applicationId
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/passagework/{spark.sparkContext.applicationId}"
+        if application not in _folders:
+            _folders[application] = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
+        path = _folders[application]
+    return f"{path.rstrip('/')}/passagework/{application}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -65,7 +95,35 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._passagework_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that no result reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_passagework_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Nodes of a plan that give the rows of a file in the file's order.
+ORDERLY = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "View"}
+
+
+def in_file_order(df: DataFrame) -> bool:
+    """Whether a task that is run again sees the rows of ``df`` in the same order: scans, projections and filters alone."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().split(" ")[0] not in ORDERLY:
+            return False
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return True
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -58,11 +58,39 @@ def test_brute_force(spark, corpus, block):
     assert all(r["n_shingles"] == len(shingles(texts[d])) and r["kept"] == (want[d] == d) for d, r in got.items())
 
 
-def test_signatures_estimate():
+def test_band_keys_of_similar_sets():
+    """Pairs of similarity 0.8 share a third of the band keys, unrelated ones none."""
     rng = np.random.default_rng(1)
-    common, a, b = (rng.integers(0, 2**63, n, np.uint64) for n in (400, 50, 50))
-    sketch = [np.frombuffer(minhash.band_keys(np.unique(np.r_[common, x]))[1], np.uint8) for x in (a, b)]
-    assert abs((sketch[0] == sketch[1]).mean() - 0.8) < 0.12
+    shared = []
+    for _ in range(40):
+        common, a, b = (rng.integers(0, 2**63, n, np.uint64) for n in (400, 50, 50))
+        x, y = (minhash.band_keys(np.unique(np.r_[common, z])) for z in (a, b))
+        shared.append((x == y).mean())
+        assert not (minhash.band_keys(np.unique(a)) == minhash.band_keys(np.unique(b))).any()
+    assert min(shared) > 0 and abs(np.mean(shared) - 0.8**5) < 0.08
+
+
+def test_a_repeated_id_is_one_document(spark):
+    """Its texts may have different links; all its rows are in one component."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (8, c), (8, None), (6, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (6, 6, True), (7, 7, True), (8, 7, False), (8, 7, False), (9, 3, False)]
+
+
+def test_repeated_ids_against_brute_force(spark, corpus):
+    rng = random.Random(3)
+    rows = [(d if rng.random() < 0.9 else rng.choice(corpus)[0], t) for d, t in corpus]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+
+
+def test_stars_are_split(spark, corpus):
+    star, minhash.STAR = minhash.STAR, 4
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    minhash.STAR = star
+    assert got == brute(corpus)
 
 
 def test_odd_rows(odd, none):
