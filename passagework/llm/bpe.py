@@ -4,8 +4,9 @@
 begins with one state that loops on every byte token.  The gadget of a merge
 ``(u, v) -> w`` makes one new state, a copy of the state behind ``u`` without
 its arc ``v``, redirects the arcs ``u`` to it, and gives an arc ``w`` to every
-state that has an arc ``u``.  After all merges the automaton accepts exactly the
-token sequences that BPE produces, one for each byte string.
+state that has an arc ``u``.  A merge whose arc ``v`` is not there behind ``u``
+never applies and gets no gadget.  After all merges the automaton accepts exactly
+the token sequences that BPE produces, one for each byte string.
 
 The construction keeps ``state behind u`` the same for all sources, so the
 automaton is held as one target state per token and, per state, a chain of
@@ -63,10 +64,36 @@ class BpeAutomaton:
         self.made_at = [len(merges)] * size  # when the token became part of a longer one is kept by the longer one
         self.behind = [0] * size  # target state of a token's arcs
         self.parent, self.removed, self.when = [DEAD], [DEAD], [DEAD]  # state 0: the initial one
+        gone: dict[int, dict[int, int]] = {}  # per token u, the arcs v that gadgets removed behind it, with their times
+
+        def removed_behind(token: int, part: int) -> int | None:
+            """When the arc ``part`` went from the state behind ``token``; the state began as that behind its right half."""
+            before = len(merges)
+            while True:
+                when = gone.get(token, {}).get(part)
+                if when is not None and when < before:
+                    return when
+                if self.left[token] == DEAD:
+                    return None
+                before, token = min(before, self.made_at[token]), self.right[token]
+
+        def applies(u: int, v: int) -> bool:
+            """Whether the state behind ``u`` has the arc ``v``; if not, the two are never neighbours and the merge never applies."""
+            before = len(merges)
+            while v != DEAD:
+                when = removed_behind(u, v)
+                if when is not None and when <= before:
+                    return False
+                before, v = self.made_at[v], self.left[v]
+            return True
+
         for at, (u, v, w) in enumerate(merges):
-            if self.left[w] != DEAD:
-                continue  # made before by an earlier merge
+            if not applies(u, v):
+                continue
+            if self.left[w] != DEAD or w in atoms:
+                raise ValueError(f"token {w} is made twice; the automaton needs one way to make each token")
             self.left[w], self.right[w], self.made_at[w] = u, v, at
+            gone.setdefault(u, {})[v] = at
             old = self.behind[u]
             self.behind[w] = old if u == v else self.behind[v]
             self.parent.append(old)

@@ -33,6 +33,45 @@ def test_gadgets_by_hand():
         same.encode_word(b"ab")
 
 
+def naive(word, merges):
+    """Textbook BPE: the earliest merge first, from the left, until none applies."""
+    out = list(word)
+    while True:
+        pairs = [(merges.index((a, b)), k) for k, (a, b) in enumerate(zip(out, out[1:], strict=False)) if (a, b) in merges]
+        if not pairs:
+            return out
+        first = min(pairs)[0]
+        k = 0
+        while k < len(out) - 1:
+            if (out[k], out[k + 1]) == merges[first]:
+                out[k : k + 2] = [out[k] + out[k + 1]]
+            k += 1
+
+
+def test_merges_that_never_apply():
+    """With (a, b), (b, c), (a, bc) the pair (a, bc) never stands in a text, as ab is made first."""
+    machine = bpe.BpeAutomaton({0: b"a", 1: b"b", 2: b"c", 3: b"ab", 4: b"bc", 5: b"abc"}, [(0, 1, 3), (1, 2, 4), (0, 4, 5)], {0, 1, 2})
+    assert machine.encode_word(b"abc") == [3, 2] and machine.encode_word(b"bcabc") == [4, 3, 2]
+    twice = bpe.BpeAutomaton({0: b"a", 1: b"aa", 2: b"aaa"}, [(0, 0, 1), (0, 1, 2), (1, 0, 2)], {0})
+    assert twice.encode_word(b"aaaa") == [1, 1] and twice.encode_word(b"aaa") == [2]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_any_merge_list(data):
+    """Lists in any order, with merges that never apply, against textbook BPE."""
+    tokens, merges = [b"a", b"b", b"c"], []
+    for _ in range(data.draw(st.integers(1, 7))):
+        u, v = data.draw(st.sampled_from(tokens)), data.draw(st.sampled_from(tokens))
+        if (u, v) not in merges:
+            merges.append((u, v))  # perhaps another way to a token that there is
+            tokens += [u + v] if u + v not in tokens else []
+    place = {t: i for i, t in enumerate(tokens)}
+    machine = bpe.BpeAutomaton({i: t for t, i in place.items()}, [(place[u], place[v], place[u + v]) for u, v in merges], {0, 1, 2})
+    word = data.draw(st.text("abc", min_size=1, max_size=14)).encode()
+    assert [tokens[i] for i in machine.encode_word(word)] == naive([bytes([b]) for b in word], merges)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab etn.,'’ \n\t\x1c\x85　 é́1½²漢😀"), st.characters(exclude_categories=("Cs",))), max_size=60))
 def test_same_as_library(library, text):
