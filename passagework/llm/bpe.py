@@ -79,6 +79,8 @@ class BpeAutomaton:
 
         def applies(u: int, v: int) -> bool:
             """Whether the state behind ``u`` has the arc ``v``; if not, the two are never neighbours and the merge never applies."""
+            if any(x not in atoms and self.left[x] == DEAD for x in (u, v)):
+                return False  # a token that no text has
             before = len(merges)
             while v != DEAD:
                 when = removed_behind(u, v)
