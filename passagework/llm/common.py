@@ -19,7 +19,7 @@ def session_defaults(spark: SparkSession) -> None:
     Spark reads these settings when a result is computed, so they can't be put back here.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        own = spark.conf.get(key, "")
+        own = spark.conf.get(key)
         if not (own.isdigit() and 0 < int(own) <= most):
             spark.conf.set(key, str(most))
 
