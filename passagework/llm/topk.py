@@ -6,63 +6,78 @@ k-th best has at least.  With it a bucket's local threshold is a cosine: above 1
 the bucket is skipped; otherwise the bucket is pruned by length (the vectors long
 enough) or by the query's strongest coordinate (the range that a vector's unit
 coordinate must lie in), whichever leaves fewer, and what is left is verified by
-exact products.  Queries travel in blocks, buckets in blocks, and a task holds one
-block of each.
+exact products.
+
+The buckets stay where they are.  Queries travel to them in blocks, in batches of
+a bounded size; a task skips the blocks that its bucket can't answer, raises a
+query's threshold with what it has found, and sends on its best k per query.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, session_defaults
+from .common import discard, materialize, session_defaults
 
-#: Vectors in a bucket's block and queries in a block, at most; vectors per range of lengths.
-BUCKET, QUERIES, RANGE = 4096, 256, 32768
+#: Vectors in a bucket and queries in a block, at most; vectors per range of lengths; bytes of queries that travel at once, about.
+BUCKET, QUERIES, RANGE, QUERY_BYTES = 4096, 256, 8192, 64 << 20
 SCALE = 256
 #: Products of integers below this are exact in doubles.
 EXACT = 2.0**53
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (integers as doubles), norm of the rows that take part."""
-    v = F.col(vector_col).cast("array<double>")
+    """vec_id, v (as it is), norm of its integers, for the rows that take part."""
+    kind = dict(df.dtypes)[vector_col]
+    v = F.col(vector_col).cast("array<float>" if kind == "array<float>" else "array<double>")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    floor = F.transform(v, lambda x: F.floor(x * SCALE).cast("double"))
-    rows = df.where(F.col(id_col).isNotNull() & v.isNotNull() & whole).select(F.col(id_col).cast("long").alias("vec_id"), floor.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    rows = df.where(F.col(id_col).isNotNull() & v.isNotNull() & whole).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate(integers("v"), F.lit(0.0), lambda a, x: a + x * x)))
+
+
+def integers(column: str):
+    """Components x as floor(SCALE x), in doubles."""
+    return F.transform(F.col(column).cast("array<double>"), lambda x: F.floor(x * SCALE).cast("double"))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """block, part, dim, longest, ids, vectors: up to ``size`` vectors of one dimension, longest first, packed as doubles."""
+    """block, dim, longest, ids, vectors: up to ``size`` vectors of one dimension, longest first, packed as doubles.  Blocks are numbered in the order of the partitions."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
-        held: dict[int, list[tuple[int, list[float]]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def flush(dim):
+        def flush(dim, most):
             nonlocal number
-            own = held.pop(dim)
-            v = np.array([x for _, x in own], float).reshape(len(own), dim)
+            ids, v = (np.concatenate(x) for x in zip(*held[dim], strict=True))
+            held[dim] = [(ids[most:], v[most:])]
+            ids, v = ids[:most], v[:most]
             norm = np.sqrt((v * v).sum(1))
-            by = np.argsort(-norm, kind="stable")
-            ids = np.array([i for i, _ in own], np.int64)[by]
-            row = [[part << 24 | number], [part], [dim], [float(norm.max())], [ids.tobytes()], [v[by].tobytes()]]
+            by = np.lexsort((ids, -norm))
+            row = [[part << 24 | number], [dim], [float(norm.max())], [ids[by].tobytes()], [v[by].tobytes()]]
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "dim", "longest", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["block", "dim", "longest", "ids", "vectors"])
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= size:
-                    yield flush(len(v))
-        for dim in list(held):
-            yield flush(dim)
-
-    return rows.select("vec_id", "v").mapInArrow(run, "block long, part int, dim int, longest double, ids binary, vectors binary")
+            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            flat = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(float) * SCALE)
+            starts = np.cumsum(sizes) - sizes
+            for dim in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == dim)
+                held.setdefault(dim, []).append((ids[own], flat[starts[own][:, None] + np.arange(dim)]))
+                while sum(len(x) for x, _ in held[dim]) >= size:
+                    yield flush(dim, size)
+        for dim, own in held.items():
+            if sum(len(x) for x, _ in own):
+                yield flush(dim, size)
+
+    return rows.select("vec_id", "v").mapInArrow(run, "block long, dim int, longest double, ids binary, vectors binary")
 
 
 class Bucket:
@@ -122,75 +137,99 @@ class Bucket:
         return ids[by], score[by]
 
 
-def pairs(queries: DataFrame, buckets: DataFrame, parts: int) -> DataFrame:
-    """Each query block with each bucket block of its dimension that may hold an answer; joined on the bucket's part."""
-    spread = queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "least", "reach", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    return spread.join(buckets, ["part", "dim"]).where("longest >= reach").select("q_block", "block", "dim", "q_ids", "q_vectors", "least", "ids", "vectors")
+def unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(vectors, float).reshape(len(own), dim)
 
 
-def top_products(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the ``k`` best other rows.
+def bounds(asked: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """block, dim, ids, vectors, least, reach: query blocks with what each query's k-th best has at least, from the longest bucket, and the length that a bucket must have to answer any."""
+    longest = buckets.join(buckets.groupBy("dim").agg(F.min("block").alias("block")), ["dim", "block"], "left_semi").select("dim", F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
+    size = longest.agg(F.sum(F.length("b_vectors"))).first()[0] or 0
 
-    Components x count as floor(256 x).  Rows with a null id, and vectors that
-    are null or hold null or non-finite components, take no part; vectors of
-    different dimension have no product.  Rows that repeat an id are separate
-    candidates of others, and one query each with the same answers removed.
-    Products beyond 64 bits are held at the bound.
-    """
-    session_defaults(df.sparkSession)
-    rows = usable(df, id_col, vector_col)
-    n = rows.count()
-    parts = max(4, -(-n // RANGE))
-    # ids break ties of length, so that a common length does not fall into one range
-    ranged = rows.repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
-    buckets = materialize(blocks(ranged, BUCKET))
-    parts = (buckets.agg(F.max("part")).first()[0] or 0) + 1
-    asked = materialize(blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).repartition("vec_id"), QUERIES))
-
-    def seed(batches):
+    def run(batches):
         for batch in batches:
             out = []
-            for q_block, dim, q_ids, q_vectors, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")), strict=True):
-                bucket, own = Bucket(ids, vectors, dim), np.frombuffer(q_ids, np.int64)
-                q = np.frombuffer(q_vectors, float).reshape(len(own), dim)
-                least = np.full(len(own), -np.inf)
+            for dim, ids, vectors, b_ids, b_vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors", "b_ids", "b_vectors")), strict=True):
+                own, q = unpacked(ids, vectors, dim)
+                bucket, least = Bucket(b_ids, b_vectors, dim), np.full(len(own), -np.inf)
                 for i in range(len(own)):
                     score = bucket.search(int(own[i]), q[i], -np.inf, k)[1]
                     if len(score) == k:
                         least[i] = score[-1]
-                out.append((q_block, least.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["q_block", "found"])
+                norm = np.sqrt((q * q).sum(1))
+                need = np.where((least > 0) & (norm > 0), least / np.where(norm > 0, norm, 1.0) * (1 - 1e-9), -1.0)
+                out.append((least.tobytes(), float(need.min())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "dim", "ids", "vectors")), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.float64())], ["block", "dim", "ids", "vectors", "least", "reach"])
 
-    none = asked.select("*", F.lit(None).cast("binary").alias("least"), F.lit(-1.0).alias("reach"))
-    longest = buckets.groupBy("dim").agg(F.min("block").alias("block"))
-    seeds = pairs(none, buckets.join(longest, ["dim", "block"], "left_semi"), parts).mapInArrow(seed, "q_block long, found binary")  # one block per dimension, so one row per query block
+    # every query is a candidate of others, so there is a bucket for its dimension
+    both = asked.join(F.broadcast(longest) if size <= QUERY_BYTES else longest, "dim")
+    return both.mapInArrow(run, "block long, dim int, ids binary, vectors binary, least binary, reach double")
 
-    def bound(batches):
-        for batch in batches:
-            reach = []
-            for ids, vectors, least, dim in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "found", "dim")), strict=True):
-                n = len(ids) // 8
-                q = np.frombuffer(vectors, float).reshape(n, dim)
-                own, low = np.sqrt((q * q).sum(1)), np.frombuffer(least, float) if least else np.full(n, -np.inf)
-                need = np.where((low > 0) & (own > 0), low / np.where(own > 0, own, 1.0) * (1 - 1e-9), -1.0)
-                reach.append(float(need.min()))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("dim"), batch.column("ids"), batch.column("vectors"), batch.column("found"), pa.array(reach, pa.float64())], ["block", "dim", "ids", "vectors", "least", "reach"])
-
-    known = materialize(asked.join(seeds.withColumnRenamed("q_block", "block"), "block", "left").select("block", "dim", "ids", "vectors", "found").mapInArrow(bound, "block long, dim int, ids binary, vectors binary, least binary, reach double"))
-
-    def verify(batches):
+
+def verified(buckets: DataFrame, queries, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best k of a task's buckets for each query.  ``queries``: a broadcast list of (dim, ids, vectors, least, reach)."""
+
+    def run(batches):
+        asked = [(dim, *unpacked(ids, vectors, dim), np.frombuffer(least, float).copy(), reach) for dim, ids, vectors, least, reach in queries.value]
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for dim, q_ids, q_vectors, low, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "q_ids", "q_vectors", "least", "ids", "vectors")), strict=True):
-                bucket, own = Bucket(ids, vectors, dim), np.frombuffer(q_ids, np.int64)
-                q = np.frombuffer(q_vectors, float).reshape(len(own), dim)
-                least = np.frombuffer(low, float) if low else np.full(len(own), -np.inf)
-                found = [bucket.search(int(own[i]), q[i], least[i], k) for i in range(len(own))]
-                sizes = [len(x) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
-
-    found = pairs(known, buckets, parts).repartition("q_block", "block").mapInArrow(verify, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for dim, length, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "longest", "ids", "vectors")), strict=True):
+                bucket = None
+                for n, (own_dim, own, q, least, reach) in enumerate(asked):
+                    if own_dim != dim or length < reach:
+                        continue
+                    bucket = bucket or Bucket(ids, vectors, dim)
+                    for i in range(len(own)):
+                        found, score = bucket.search(int(own[i]), q[i], least[i], k)
+                        if not len(found):
+                            continue
+                        if (n, i) in best:
+                            found, score = np.r_[best[n, i][0], found], np.r_[best[n, i][1], score]
+                            by = np.lexsort((found, -score))[:k]
+                            found, score = found[by], score[by]
+                        best[n, i] = found, score
+                        if len(score) == k:
+                            least[i] = max(least[i], score[-1])
+        rows = [(int(asked[n][1][i]), f, s) for (n, i), both in best.items() for f, s in zip(*(x.tolist() for x in both), strict=True)]
+        for at in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + 100_000], strict=True)], ["query_id", "vec_id", "score"])
+
+    return buckets.select("dim", "longest", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_products(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the ``k`` best other rows, ties to the smaller id.
+
+    Components x count as floor(256 x).  Rows with a null id, and vectors that
+    are null or hold null or non-finite components, take no part; vectors of
+    different dimension have no product.  Rows that repeat an id are separate
+    candidates of others, and one query each with the same answers removed.
+    Products beyond 64 bits are held at the bound.  An empty table gives no rows;
+    other columns than the two are not read.
+    """
+    spark = df.sparkSession
+    session_defaults(spark)
+    rows = usable(df, id_col, vector_col)
+    # ids break ties of length, so that a common length does not fall into one range
+    ranged = rows.repartitionByRange(max(4, -(-rows.count() // RANGE)), F.desc("norm"), F.col("vec_id"))
+    buckets = materialize(blocks(ranged.sortWithinPartitions(F.desc("norm"), "vec_id"), BUCKET))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("own", integers("v")).dropDuplicates(["vec_id", "own"])
+    asked = materialize(bounds(blocks(queries.select("vec_id", "v"), QUERIES), buckets, k))
+    size = asked.agg(F.sum(F.length("vectors") + F.length("ids"))).first()[0] or 0
+    batches = max(1, -(-size // QUERY_BYTES))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = None
+    for n in range(batches):
+        part = asked.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == n).select("dim", "ids", "vectors", "least", "reach")
+        travelling = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about QUERY_BYTES
+        found = verified(buckets, travelling, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if batches > 1:  # a query is in one batch only, so these are its final rows
+            found = materialize(found)
+            travelling.destroy()
+        out = found if out is None else out.unionByName(found)
+    discard(asked)
+    return out
 
 
 def op4_topk(spark, sf_dir) -> DataFrame:

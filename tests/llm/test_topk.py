@@ -20,11 +20,12 @@ def test_brute_force(spark):
     rows += [(i, rows[7][1]) for i in range(600, 660)]  # one common vector
     rows += [(700, [0.0] * 6), (701, None), (702, [1.0, None] + [0.0] * 4), (703, [float("nan")] * 6), (704, [float("inf")] * 6), (None, [1.0] * 6), (710, [1.0, 2.0]), (720, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank")
-    for size in ((4096, 256), (50, 7)):
-        topk.BUCKET, topk.QUERIES = size
-        got = {tuple(r) for r in topk.top_products(df, 5, 10).collect()}
-        assert got == brute(rows, 5, 10)
-    topk.BUCKET, topk.QUERIES = 4096, 256
+    before = topk.BUCKET, topk.QUERIES, topk.RANGE, topk.QUERY_BYTES
+    for size in (before, (50, 7, 100, 64 << 20), (50, 7, 100, 900)):  # the last: queries travel in several batches
+        topk.BUCKET, topk.QUERIES, topk.RANGE, topk.QUERY_BYTES = size
+        got = [tuple(r) for r in topk.top_products(df, 5, 10).collect()]
+        assert set(got) == brute(rows, 5, 10) and len(got) == len(set(got))
+    topk.BUCKET, topk.QUERIES, topk.RANGE, topk.QUERY_BYTES = before
     assert topk.top_products(df.limit(0)).count() == 0
 
 
