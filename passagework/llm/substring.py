@@ -12,7 +12,9 @@ chunk and sends each distinct hash once, packed, to the bucket of its value; a
 hash that is in a third of all texts so reaches its bucket once per chunk.  The
 bucket answers with the places whose hash came twice, and per chunk these become
 one bitmap per text.  Bitmaps are keyed by the checksum of the whole text, so
-equal texts share one.
+equal texts share one.  A chunk's places are numbers, so a task that is run again
+must see its rows in the same order: rows that don't come from a scan are
+sorted by their key first.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, input_bytes, materialize
+from .common import Memo, discard, documents, in_file_order, input_bytes, materialize
 
 WINDOW, PERIOD = 35, 21
 #: Fixed value: a difference cover modulo 21 (every residue is a difference of two of them).
 COVER = (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
-#: Hashes that a task gathers before it sends them, and bytes of input per bucket (buckets: so many at most).
-CHUNK, BUCKET_BYTES, MAX_BUCKETS = 1_500_000, 8 << 20, 200_000
+#: Hashes that a task gathers before it sends them, and bytes of input per bucket.
+CHUNK, BUCKET_BYTES = 1_500_000, 8 << 20
 #: Bitmaps of at most so many bytes in all are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
 NONE = 2**32 - 1
@@ -119,10 +121,12 @@ def runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.repeat(first, np.diff(np.r_[first, len(own)])), first
 
 
-def occurring_twice(rows: DataFrame, find, lanes: int, buckets: int) -> DataFrame:
+def occurring_twice(rows: DataFrame, find, lanes: int, buckets: int, steady: bool) -> DataFrame:
     """key, bits: for each text of ``rows`` (key, text, bits) which of its slots have a hash that another slot of any row has.
 
     ``find(windows, text, bits)`` gives the hashes, their slots and the number of slots, or None.
+    ``steady``: whether a task that is run again sees its rows in the same order; if not they are sorted
+    (rows with equal keys are equal).
     """
 
     def emit(batches):
@@ -198,23 +202,34 @@ def occurring_twice(rows: DataFrame, find, lanes: int, buckets: int) -> DataFram
         return pa.table([pa.array([keys[16 * k : 16 * k + 16] for k in some], pa.binary()), pa.array([np.packbits(hit[starts[k] : starts[k + 1]]).tobytes() for k in some], pa.binary())], ["key", "bits"])
 
     blobs = "chunk long, a binary, b binary, c binary"
-    sent = rows.select("key", "text", "bits").mapInArrow(emit, f"bucket long, {blobs}")
+    rows = rows.select("key", "text", "bits")
+    sent = (rows if steady else rows.sortWithinPartitions("key")).mapInArrow(emit, f"bucket long, {blobs}")
     matched = materialize(sent.groupBy("bucket").applyInArrow(match, blobs))
     maps = matched.groupBy("chunk").applyInArrow(bitmaps, "key binary, bits binary")
-    return materialize(maps.groupBy("key").agg(F.first("bits").alias("bits")))
+    out = materialize(maps.groupBy("key").agg(F.first("bits").alias("bits")))
+    discard(matched)
+    return out
 
 
-def with_bits(rows: DataFrame, maps: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with their bitmaps, which are broadcast if few."""
-    size = maps.agg(F.sum(F.length("bits") + 48)).first()[0] or 0
-    return rows.join(F.broadcast(maps) if size <= BROADCAST_BYTES else maps, "key", how)
+def few(maps: DataFrame) -> bool:
+    """Whether the bitmaps may be broadcast."""
+    return (maps.agg(F.sum(F.length("bits") + 48)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def with_bits(rows: DataFrame, maps: DataFrame, how: str, small: bool) -> DataFrame:
+    """``rows`` joined with their bitmaps, which are broadcast if they are ``small``."""
+    return rows.join(F.broadcast(maps) if small else maps, "key", how)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """key, bits: which windows of a text (rows: key, text) start with the same words anywhere else."""
-    buckets = max(8, min(MAX_BUCKETS, input_bytes(rows) // BUCKET_BYTES))
-    first = occurring_twice(rows.select("key", "text", F.lit(None).cast("binary").alias("bits")), anchors, 1, buckets)
-    return occurring_twice(with_bits(rows, first, "inner"), candidates, 2, buckets)
+    buckets = max(8, input_bytes(rows) // BUCKET_BYTES)
+    steady = in_file_order(rows)
+    first = occurring_twice(rows.select("key", "text", F.lit(None).cast("binary").alias("bits")), anchors, 1, buckets, steady)
+    small = few(first)
+    found = occurring_twice(with_bits(rows, first, "inner", small), candidates, 2, buckets, steady and small)
+    discard(first)
+    return found
 
 
 def remaining(text: str | None, bits: bytes | None) -> tuple[int, int, str]:
@@ -242,7 +257,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text has no words, and a text without a window keeps all.  A row that
     is there twice repeats itself, so each of the two loses its windows.  Null
-    ids are like any other.
+    ids are like any other; long texts count whole, an empty table gives no rows,
+    and other columns than id and text are not read.
     """
     maps = repeated_windows(keyed(df, text_col))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("key"))
@@ -253,7 +269,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_bits(rows, maps, "left").select("doc_id", "text", "bits").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return with_bits(rows, maps, "left", few(maps)).select("doc_id", "text", "bits").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -262,7 +278,7 @@ def without_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     names, at = df.columns, df.columns.index(text_col)
     hidden = [f"_{k}" for k in range(len(names))]
     rows = df.toDF(*hidden).withColumn("key", F.unhex(F.md5(F.col(hidden[at]).cast("binary"))))
-    joined = with_bits(rows, maps, "left").select(*hidden, "bits")
+    joined = with_bits(rows, maps, "left", few(maps)).select(*hidden, "bits")
 
     def run(batches):
         for batch in batches:

@@ -40,6 +40,25 @@ def test_brute_force(spark, chunk):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_rows_in_another_order(spark):
+    """A task that is run again may see a join's rows in another order; they are sorted before their places are numbered."""
+    from passagework.llm.common import in_file_order
+
+    rows = spark.createDataFrame([(bytes([k]), f"text {k}") for k in range(9)], "key binary, text string")
+    path = substring.materialize(rows)
+    assert in_file_order(path.where("key is not null").select("key"))
+    assert not in_file_order(path.join(rows, "key")) and not in_file_order(path.repartition(3)) and not in_file_order(path.orderBy("key"))
+
+
+@pytest.mark.parametrize("broadcast", [0, 24 << 20])
+def test_maps_joined_or_broadcast(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(substring, "BROADCAST_BYTES", broadcast)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"{passage} own {k}" if k % 3 else " ".join(f"w{k}x{j}" for j in range(90)) for k in range(40)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)
+
+
 def test_odd_rows(odd, none):
     rows = odd.collect()
     got = substring.drop_repeats(odd).collect()
