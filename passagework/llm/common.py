@@ -59,19 +59,20 @@ def hash_sample(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_share")
 
 
-def bounded_texts(rows: DataFrame, group: str, key: str, text: str, size: int, chars: int) -> DataFrame:
-    """group, key, text of a sample that is bounded in rows and in characters.
+def bounded_texts(rows: DataFrame, sample: DataFrame, on: list[str], group: str, chars: int) -> DataFrame:
+    """group, the columns of ``on``, text: the texts of a ``hash_sample``, bounded in rows and in characters.
 
-    Of each group at most ``size`` keys, in the order of their hashes, each with
-    one text (the smallest, if it has several), as long as the texts have at most
-    ``chars`` characters together; a longer text than that is passed over.
+    ``rows``: the columns of ``on``, text.  Each sampled key has one text (the
+    smallest, if it has several).  Of each group the texts are taken in the
+    sample's order as long as they have at most ``chars`` characters together; a
+    single text that is longer is passed over.
     """
-    sample = hash_sample(rows.select(group, key), group, key, size)
     few = sample.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    own = rows.select(group, key, F.col(text).alias("text")).where(F.length(text).between(1, chars)).join(F.broadcast(sample) if few else sample, [group, key])
-    one = own.groupBy(group, key, "_n").agg(F.min("text").alias("text"))
-    upto = F.sum(F.length("text")).over(Window.partitionBy(group).orderBy("_n"))
-    return one.withColumn("_upto", upto).where(F.col("_upto") <= chars).select(group, key, "text")
+    own = rows.where(F.length("text").between(1, chars)).join(F.broadcast(sample) if few else sample, on)
+    keys = list(dict.fromkeys([group, *on]))
+    one = own.groupBy(*keys, "_n").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text").cast("long")).over(Window.partitionBy(group).orderBy("_n"))
+    return one.withColumn("_upto", upto).where(F.col("_upto") <= chars).select(*keys, "text")
 
 
 _folders: dict[str, str] = {}

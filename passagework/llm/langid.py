@@ -17,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, hash_sample, id_and_text
+from .common import bounded_texts, bucket_of, discard, documents, hash_sample, id_and_text, materialize
 
-#: The bounds of what is learned: documents and dictionary bytes per language, and languages (the most frequent ones).
-SAMPLE_DOCS, DICTIONARY_BYTES, MAX_LANGUAGES = 300, 64 << 10, 64
+#: The bounds of what is learned, for each language: documents, their characters, and bytes of the dictionary.  Every language is learned.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 300, 2_000_000, 64 << 10
 #: Bytes that are compressed at once, so that a dictionary helps in all of a long text.
 BLOCK, LEVEL = 1024, 6
 #: Share of the smallest size by which the runner-up must be larger for a prediction to be accepted.
@@ -31,22 +31,37 @@ LETTER = regex.compile(r"\p{L}")
 def learn(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary bytes of each language, from the rows where ``train`` holds and the language is not null.
 
-    The sample of a language is the rows with the smallest hash of the id; it is
-    found without reading a text.  Equal texts count once.
+    The sample of a language is the rows with the smallest hash of the id, found
+    without reading a text.  Dictionaries are made on the executors, a language in
+    one task: of each half of the sample first; what the other half's
+    dictionaries take for another language is left out of the final one (unless
+    that leaves nothing).  Equal lines count once.  The driver gets
+    DICTIONARY_BYTES at most for each language and half.
     """
-    rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    top = {r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    chosen = hash_sample(rows.where(F.col("lang").isin(*top)), "lang", "id", SAMPLE_DOCS).collect() if top else []  # at most SAMPLE_DOCS * MAX_LANGUAGES
-    place = {(r["id"], r["lang"]) for r in chosen}
-    if not place:
-        return {}
-    ids = df.sparkSession.createDataFrame([(i,) for i in {i for i, _ in place} if i is not None] or [(None,)], "id long")  # at most SAMPLE_DOCS * MAX_LANGUAGES
-    texts = df.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi").where(F.length("text") > 0)
-    found: dict[str, dict[str, int]] = {}
-    for r in texts.toLocalIterator():
-        if (r["id"], r["lang"]) in place and LETTER.search(r["text"]):
-            found.setdefault(r["lang"], {})[r["text"]] = zlib.crc32(str(r["id"]).encode())
-    return dictionaries({lang: [t for t, _ in sorted(own.items(), key=lambda x: (x[1], x[0]))] for lang, own in sorted(found.items())})
+    rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sample = materialize(hash_sample(rows.where("id is not null"), "lang", "id", SAMPLE_DOCS))
+    texts = materialize(bounded_texts(rows.where(F.col("text").rlike(r"\p{L}")), sample, ["lang", "id"], "lang", SAMPLE_CHARS).withColumn("half", (F.crc32(F.col("id").cast("string").cast("binary")) % 2).cast("int")))
+    found: list[dict[str, bytes]] = [{}, {}]
+    for r in texts.groupBy("lang", "half").applyInArrow(_contents, "lang string, half int, content binary").collect():
+        found[r["half"]][r["lang"]] = bytes(r["content"])
+
+    def judge(batches):
+        models = [Classifier(x) for x in found[::-1]]  # each half by the other's
+        for batch in batches:
+            langs, halves, own = (batch.column(k).to_pylist() for k in range(3))
+            clean = [int(models[half].predict(t)[0] == lang) for lang, half, t in zip(langs, halves, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.int32()), batch.column(2)], ["lang", "half", "text"])
+
+    judged = texts.select("lang", "half", "text").mapInArrow(judge, "lang string, half int, text string")  # half: 1 where the text is clean
+    final: dict[str, bytes] = {}
+    for r in sorted(judged.groupBy("lang", "half").applyInArrow(_contents, "lang string, half int, content binary").collect(), key=lambda r: r["half"]):
+        final[r["lang"]] = bytes(r["content"])  # the clean one replaces the other
+    discard(sample, texts)
+    return final
+
+
+def _contents(table: pa.Table) -> pa.Table:
+    return pa.table([table.column("lang")[:1], table.column("half")[:1], pa.array([content(table.column("text").to_pylist())], pa.binary())], ["lang", "half", "content"])
 
 
 def content(texts: list[str]) -> bytes:
@@ -61,17 +76,6 @@ def content(texts: list[str]) -> bytes:
     return b"\n".join(chosen)[:DICTIONARY_BYTES]
 
 
-def dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
-    """A dictionary per language; each half of the sample is first read with the other half's dictionaries, and what is then taken for another language is left out."""
-    halves = [{lang: texts[k::2] for lang, texts in samples.items()} for k in (0, 1)]
-    clean: dict[str, list[str]] = {lang: [] for lang in samples}
-    for own, other in (halves, halves[::-1]):
-        model = Classifier({lang: content(texts) for lang, texts in other.items()})
-        for lang, texts in own.items():
-            clean[lang] += [t for t in texts if model.predict(t)[0] == lang]
-    return {lang: content(texts or samples[lang]) for lang, texts in clean.items()}
-
-
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages, self.compressors = sorted(dictionaries), []
@@ -102,7 +106,9 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
 
     ``und`` with score 0 for a text that is null or has no letter, and for every
     text if no language was learned.  Equal sizes go to the language that sorts
-    first, and are not accepted.  Repeated rows and null ids are kept.
+    first, and are not accepted.  Repeated rows and null ids are kept; long texts
+    are compressed whole; other columns than id and text are not read, and an
+    empty table gives no rows.
     """
 
     def run(batches):
