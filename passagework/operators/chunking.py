@@ -2,18 +2,21 @@
 
 A chunk is chunk_id, doc_id, text, start_char, end_char: spans tile the document,
 separators stay with the piece before them, white space alone makes no chunk, and
-only kept chunks are numbered.  Fixed windows and lines are array expressions;
-splitters that look at sentences run in Python over Arrow batches, one document at
-a time, without a shuffle.
+only kept chunks are numbered.  Fixed windows and lines are found by the JVM, and
+Arrow adds up their lengths; splitters that look at sentences scan a text once for
+the places where it may be cut.  One document is cut at a time, without a shuffle,
+in time that grows with its length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,32 @@ def numbered(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return kept.withColumn("chunk_id", F.format_string("%s:%04d", F.col(key).cast("string"), n))
 
 
-def _pieces(docs: DataFrame, pattern: str) -> DataFrame:
-    """doc_id, t (pieces that tile the text), ends (running lengths)."""
-    t = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(pattern), F.lit(0))
-    ends = F.aggregate(F.col("t"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    return docs.select("doc_id", t.alias("t")).where(F.size("t") > 0).withColumn("ends", ends)
+def placed(rows: DataFrame) -> DataFrame:
+    """doc_id, n, start_char, text, total: one row per element of ``texts``, which begin where the ``lengths`` before them end.
+
+    ``rows``: doc_id, total, texts, lengths (in code points).  Running sums over
+    whole batches, so the time is linear in the pieces.
+    """
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in batches:
+            doc, total, texts, lengths = (batch.column(k) for k in range(4))
+            sizes = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            before = np.cumsum(own) - own
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            start = before - before[first[row]] if len(own) else before
+            n = np.arange(len(own)) - first[row]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([doc.take(at), pa.array(n, pa.int32()), pa.array(start, pa.int32()), texts.flatten(), total.take(at)], ["doc_id", "n", "start_char", "text", "total"])
+
+    return rows.select("doc_id", F.col("total").cast("int"), "texts", "lengths").mapInArrow(run, f"doc_id {kind}, n int, start_char int, text string, total int")
+
+
+def chunk_name(doc: Column, n: Column) -> Column:
+    return F.format_string("%s:%04d", doc.cast("string"), n)
 
 
 def fixed(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
@@ -55,80 +79,115 @@ def fixed(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     more = -(-overlap // step)
 
     def window(unit: Column, n: Column) -> Column:
-        text = F.concat(unit, F.coalesce(F.regexp_substr(F.array_join(F.slice("u", n + 2, F.lit(more)), ""), run(1, overlap)), F.lit(""))) if overlap else unit
-        return F.struct(n.alias("n"), F.aggregate(F.slice("u", F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x)).alias("start_char"), text.alias("text"))
+        return F.concat(unit, F.coalesce(F.regexp_substr(F.array_join(F.slice("u", n + 2, F.lit(more)), ""), run(1, overlap)), F.lit(""))) if overlap else unit
 
-    kept = F.filter(F.transform("u", window), lambda w: (w["n"] == 0) | (w["n"] * step + overlap < F.col("total")))
-    rows = units.withColumn("total", total).select("doc_id", "total", F.inline(kept))
-    made = rows.select("doc_id", F.format_string("%s:%04d", F.col("doc_id").cast("string"), "n").alias("chunk_id"), "start_char", "text", F.least(F.col("total") - F.col("n") * step, F.lit(size)).alias("n_tokens"))
+    texts, lengths = F.transform("u", window), F.transform("u", F.length)
+    rows = placed(units.select("doc_id", total.alias("total"), texts.alias("texts"), lengths.alias("lengths"))).where((F.col("n") == 0) | (F.col("n") * step + overlap < F.col("total")))
+    made = rows.select("doc_id", chunk_name(F.col("doc_id"), F.col("n")).alias("chunk_id"), "start_char", "text", F.least(F.col("total") - F.col("n") * step, F.lit(size)).alias("n_tokens"))
     return made.withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """One chunk per line; blank lines stay with the line before them."""
-    cut = _pieces(docs, r"\s*\S[^\n]*(?:\n(?:[^\S\n]*\n)*(?:[^\S\n]+$)?)?")
-    rows = cut.select("doc_id", F.posexplode("t").alias("n", "text"), "ends")
-    return rows.select("doc_id", F.format_string("%s:%04d", F.col("doc_id").cast("string"), "n").alias("chunk_id"), F.element_at("ends", F.col("n") + 1).alias("start_char"), F.element_at("ends", F.col("n") + 2).alias("end_char"), "text")
-
-
-# --- splitters over one text -------------------------------------------------------------
-
-
-def tiles(text: str, span: Span, cuts) -> list[Span]:
-    """``span`` divided at ``cuts``; a blank part joins the one before it, or the next at the very start."""
-    start, end = span
-    out: list[Span] = []
-    open_at, solid = start, False  # the span being built, and whether it holds anything visible
-    points = sorted({c for c in cuts if start < c < end}) + [end]
-    at = start
-    for point in points:
-        blank = not text[at:point].strip()
-        if solid and not blank:
-            out.append((open_at, at))
-            open_at = at
-        solid = solid or not blank
-        at = point
-    if end > start:
-        out.append((open_at, end))
-    return out
+    t = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\s*\S[^\n]*(?:\n(?:[^\S\n]*\n)*(?:[^\S\n]+$)?)?"), F.lit(0))
+    rows = placed(docs.select("doc_id", t.alias("texts")).where(F.size("texts") > 0).select("doc_id", F.lit(0).alias("total"), "texts", F.transform("texts", F.length).alias("lengths")))
+    return rows.select("doc_id", chunk_name(F.col("doc_id"), F.col("n")).alias("chunk_id"), "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), "text")
 
 
-def after(pattern: str) -> Callable[[str, Span], list[Span]]:
-    found = re.compile(pattern)
-    return lambda text, span: tiles(text, span, [m.end() for m in found.finditer(text, *span)])
+def of_ranked(ranked: DataFrame, docs: DataFrame, cut: Callable[[DataFrame], DataFrame], few: int = 1_000_000) -> DataFrame:
+    """``ranked`` (chunk_id, ...) with the columns of its chunks; only documents that have a ranked chunk are cut again.
 
+    ``ranked`` should be a table (it is read twice); up to ``few`` rows of it travel.
+    """
+    travels = (lambda x: F.broadcast(x)) if ranked.limit(few + 1).count() <= few else (lambda x: x)
+    holders = ranked.select(F.regexp_extract("chunk_id", "^(.*):[^:]*$", 1).alias("_holder")).distinct()
+    rows = docs.join(travels(holders), F.col("doc_id").cast("string") == F.col("_holder"), "left_semi")
+    return cut(rows).join(travels(ranked), "chunk_id")
 
-paragraphs, line_spans, words = after(r"\n\s*\n"), after(r"\n"), after(r"\s+")
 
+# --- splitters over one text -------------------------------------------------------------
 
-def sentences(text: str, span: Span) -> list[Span]:
-    """After closing punctuation or a line break; not after an abbreviation or a single initial, nor before a lower-case letter."""
-    cuts = []
-    for m in SENTENCE.finditer(text, *span):
-        mark = m[0]
-        if "\n" not in mark and mark[0] == ".":
-            tail = text[max(span[0], m.start() - LOOK_BACK) : m.start()].split()
-            word = tail[-1].lower().lstrip("(\"'“‘") if tail else ""
-            initial = len(word) == 1 and word.isalpha()
-            if text[m.end() : m.end() + 1].islower() or initial or word in ABBREVIATIONS:
+#: Kinds of places where a text may be cut.
+PARAGRAPH, LINE, SENTENCE_END, WORD = "paragraph", "line", "sentence", "word"
+
+
+class Scan:
+    """One text: where its tokens (runs of visible characters) begin and end, and after which separators it may be cut."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.begin, self.end = [], []
+        for m in re.finditer(r"\S+", text):
+            self.begin.append(m.start())
+            self.end.append(m.end())
+        self._cuts: dict[str, list[int]] = {}
+
+    def cuts(self, kind: str) -> list[int]:
+        """All places of a kind, in order."""
+        if kind not in self._cuts:
+            if kind == WORD:
+                own = self.begin[1:]
+            elif kind == LINE:
+                own = [m.end() for m in re.finditer("\n", self.text)]
+            elif kind == PARAGRAPH:
+                own = [m.end() for m in re.finditer(r"\n\s*\n", self.text)]
+            else:
+                own = [m.end() for m in SENTENCE.finditer(self.text) if "\n" in m[0] or m[0][0] != "." or self.closes(m.start(), m.end())]
+            self._cuts[kind] = own
+        return self._cuts[kind]
+
+    def closes(self, stop: int, after: int) -> bool:
+        """Whether a full stop ends a sentence: not before a lower-case letter, nor after an abbreviation or an initial."""
+        if self.text[after : after + 1].islower():
+            return False
+        words = self.text[max(0, stop - LOOK_BACK) : stop].split()
+        word = words[-1].lower().lstrip("(\"'“‘") if words else ""
+        return not (word in ABBREVIATIONS or len(word) == 1 and word.isalpha())
+
+    def tokens(self, span: Span) -> tuple[int, int]:
+        """The numbers of the span's first token and of the one after its last."""
+        return bisect_left(self.begin, span[0]), bisect_left(self.begin, span[1])
+
+    def count(self, span: Span) -> int:
+        first, last = self.tokens(span)
+        return last - first
+
+    def divided(self, span: Span, places: Sequence[int]) -> list[Span]:
+        """``span`` cut at those of ``places`` that have a token of it on both sides.
+
+        Of several places between two tokens the last one counts, so that white
+        space stays with what is before it.
+        """
+        first, last = self.tokens(span)
+        before: dict[int, int] = {}  # number of a token -> the last place before it
+        for place in places[bisect_right(places, span[0]) : bisect_left(places, span[1])]:
+            before[bisect_left(self.begin, place)] = place
+        edges = [span[0], *(place for n, place in before.items() if first < n < last), span[1]]
+        return list(zip(edges, edges[1:], strict=False)) if span[1] > span[0] else []
+
+    def by_tokens(self, span: Span, size: int) -> list[Span]:
+        """``span`` cut before every ``size``-th token."""
+        first, last = self.tokens(span)
+        return self.divided(span, [self.end[n - 1] for n in range(first + size, last, size)])
+
+    def packed(self, span: Span, size: int, overlap: int, kinds: Sequence[str]) -> list[Span]:
+        """Pieces of the first kind, neighbours joined while they fit; a piece beyond ``size`` is cut by the other kinds in turn, at last by tokens."""
+        if not kinds:
+            return self.by_tokens(span, size)
+        out: list[Span] = []
+        fitting: list[Span] = []
+        for piece in [*self.divided(span, self.cuts(kinds[0])), None]:
+            if piece and self.count(piece) <= size:
+                fitting.append(piece)
                 continue
-        cuts.append(m.end())
-    return tiles(text, span, cuts)
-
-
-class RegexTokens:
-    """The default tokenizer: runs of visible characters, with the space before.  ``starts`` gives each token's first character."""
-
-    def starts(self, text: str, span: Span) -> list[int]:
-        return [m.start() for m in re.finditer(r"\s*\S+", text[span[0] : span[1]])]
-
-    def count(self, text: str, span: Span) -> int:
-        return sum(1 for _ in re.finditer(r"\S+", text[span[0] : span[1]]))
-
+            out += pack(fitting, [self.count(p) for p in fitting], size, overlap)
+            fitting = []
+            if piece:
+                out += self.packed(piece, size, overlap, kinds[1:])
+        return out
 
-def token_spans(text: str, span: Span, size: int, tokens: RegexTokens) -> list[Span]:
-    """A cut before every ``size``-th token."""
-    return tiles(text, span, [span[0] + s for s in tokens.starts(text, span)[size::size]])
+    def visible(self, span: Span) -> bool:
+        return self.count(span) > 0
 
 
 def pack(pieces: Sequence[Span], sizes: Sequence[int], size: int, overlap: int = 0) -> list[Span]:
@@ -152,32 +211,7 @@ def pack(pieces: Sequence[Span], sizes: Sequence[int], size: int, overlap: int =
     return out
 
 
-LEVELS = {"recursive": (paragraphs, line_spans, sentences, words), "paragraph": (paragraphs, sentences, words), "sentence": (sentences, words)}
-
-
-def structured(text: str, span: Span, size: int, overlap: int, levels, tokens) -> list[Span]:
-    """Pieces of the first level, packed; a piece beyond ``size`` is divided by the next level, at last by tokens."""
-    if not levels:
-        return token_spans(text, span, size, tokens)
-    out: list[Span] = []
-    run: list[Span] = []
-    sizes: list[int] = []
-
-    def close():
-        out.extend(pack(run, sizes, size, overlap))
-        run.clear()
-        sizes.clear()
-
-    for piece in levels[0](text, span):
-        n = tokens.count(text, piece)
-        if n <= size:
-            run.append(piece)
-            sizes.append(n)
-        else:
-            close()
-            out.extend(structured(text, piece, size, overlap, levels[1:], tokens))
-    close()
-    return out
+LEVELS = {"recursive": (PARAGRAPH, LINE, SENTENCE_END, WORD), "paragraph": (PARAGRAPH, SENTENCE_END, WORD), "sentence": (SENTENCE_END, WORD)}
 
 
 def _emit(docs: DataFrame, cut: Callable[[str], list[tuple]], extra: str = "") -> DataFrame:
@@ -206,7 +240,7 @@ def _emit(docs: DataFrame, cut: Callable[[str], list[tuple]], extra: str = "") -
 def structure_chunks(docs: DataFrame, kind: str = "recursive", size: int = 512, overlap: int = 0) -> DataFrame:
     """``recursive`` (paragraph, line, sentence, word, token), ``paragraph`` or ``sentence``."""
     levels = LEVELS[kind]
-    return _emit(docs, lambda text: structured(text, (0, len(text)), size, overlap, levels, RegexTokens()))
+    return _emit(docs, lambda text: Scan(text).packed((0, len(text)), size, overlap, levels))
 
 
 def parent_child(docs: DataFrame, parent_size: int = 512, child_size: int = 128, kind: str = "recursive") -> DataFrame:
@@ -216,10 +250,9 @@ def parent_child(docs: DataFrame, parent_size: int = 512, child_size: int = 128,
     levels = LEVELS[kind]
 
     def cut(text: str) -> list[tuple]:
-        tokens, out = RegexTokens(), []
-        parents = [p for p in structured(text, (0, len(text)), parent_size, 0, levels, tokens) if text[p[0] : p[1]].strip()]
-        for n, parent in enumerate(parents):
-            children = [c for c in structured(text, parent, child_size, 0, levels, tokens) if text[c[0] : c[1]].strip()]
+        scan, out = Scan(text), []
+        for n, parent in enumerate(filter(scan.visible, scan.packed((0, len(text)), parent_size, 0, levels))):
+            children = filter(scan.visible, scan.packed(parent, child_size, 0, levels))
             out += [(*parent, text[c[0] : c[1]], *c, f"{n:04d}:{k:02d}") for k, c in enumerate(children)]
         return out
 
@@ -253,12 +286,14 @@ def semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashed_
     """Segments between the largest jumps in meaning of neighbouring sentences (each embedded with ``window`` neighbours), packed to ``max_size``."""
 
     def cut(text: str) -> list[Span]:
-        own = [s for s in sentences(text, (0, len(text))) if text[s[0] : s[1]].strip()]
+        scan = Scan(text)
+        whole = (0, len(text))
+        own = [s for s in scan.divided(whole, scan.cuts(SENTENCE_END)) if scan.visible(s)]
         wide = [text[own[max(0, i - window)][0] : own[min(len(own) - 1, i + window)][1]] for i in range(len(own))]
         ends = [own[i][1] for i in breakpoints(embed(wide), percentile)] if own else []
         out: list[Span] = []
-        for segment in tiles(text, (0, len(text)), ends):
-            out += structured(text, segment, max_size, 0, LEVELS["sentence"], RegexTokens())
+        for segment in scan.divided(whole, ends):
+            out += scan.packed(segment, max_size, 0, LEVELS["sentence"])
         return out
 
     return _emit(docs, cut)

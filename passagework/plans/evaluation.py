@@ -35,6 +35,11 @@ def gold(spark, sf_dir):
     return found.select("question_id", number.cast("long").alias("span_no"), "doc_id", at.cast("long").alias("start_char"), (at + F.length("fact")).cast("long").alias("end_char"))
 
 
+def _with_gold(rows, spans):
+    """The documents that hold a gold span; only these need to be cut."""
+    return rows.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 @entry("gold_spans", f"WITH {GOLD} SELECT * FROM gold")
 def gold_spans(spark, sf_dir):
     return gold(spark, sf_dir)
@@ -54,7 +59,8 @@ RELEVANT = """total AS (SELECT g.question_id, count(DISTINCT (c.doc_id, c.start_
 
 @entry("count_relevant", f"WITH {chunk_ctes(128, 32)}, {GOLD}, {RELEVANT} SELECT question_id, total FROM total")
 def count_relevant(spark, sf_dir):
-    return metrics.count_relevant(chunking.fixed(docs(spark, sf_dir), 128, 32), gold(spark, sf_dir))
+    spans = checkpointed(gold(spark, sf_dir))
+    return metrics.count_relevant(chunking.fixed(_with_gold(docs(spark, sf_dir), spans), 128, 32), spans)
 
 
 SCORES = f"""{RANKS}, {RELEVANT},
@@ -70,7 +76,7 @@ scores AS (
 
 def _scores(spark, sf_dir):
     found, spans = checkpointed(returned(spark, sf_dir).drop("text")), checkpointed(gold(spark, sf_dir))  # ten rows per question, and few spans
-    totals = metrics.count_relevant(chunking.fixed(docs(spark, sf_dir), 128, 32), spans)
+    totals = metrics.count_relevant(chunking.fixed(_with_gold(docs(spark, sf_dir), spans), 128, 32), spans)
     by_span = metrics.span_scores(metrics.gold_ranks(found, spans), (5, 10))
     return by_span.unionByName(metrics.long_format(metrics.rank_scores(metrics.relevance(found, spans), totals)))
 
@@ -89,12 +95,14 @@ def metrics_by_group(spark, sf_dir):
 
 @entry("gold_not_contained", f"WITH {chunk_ctes(128, 32)}, {GOLD} SELECT question_id, span_no FROM gold g WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.doc_id = g.doc_id AND c.start_char <= g.start_char AND g.end_char <= c.end_char)")
 def gold_not_contained(spark, sf_dir):
-    return metrics.spans_not_contained(chunking.fixed(docs(spark, sf_dir), 128, 32), gold(spark, sf_dir)).select("question_id", "span_no")
+    spans = checkpointed(gold(spark, sf_dir))
+    return metrics.spans_not_contained(chunking.fixed(_with_gold(docs(spark, sf_dir), spans), 128, 32), spans).select("question_id", "span_no")
 
 
 @entry("gold_cut_by_chunk", f"WITH {chunk_ctes(128)}, {GOLD} SELECT question_id, span_no FROM gold g WHERE EXISTS (SELECT 1 FROM chunk c WHERE c.doc_id = g.doc_id AND g.start_char < c.start_char AND c.start_char < g.end_char)")
 def gold_cut_by_chunk(spark, sf_dir):
-    return metrics.spans_cut(chunking.fixed(docs(spark, sf_dir), 128), gold(spark, sf_dir)).select("question_id", "span_no")
+    spans = checkpointed(gold(spark, sf_dir))
+    return metrics.spans_cut(chunking.fixed(_with_gold(docs(spark, sf_dir), spans), 128), spans).select("question_id", "span_no")
 
 
 BUDGET = rf"""{RETURNED}, {GOLD},

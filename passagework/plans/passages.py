@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, context, dense, sparse
+from ..sources.tables import checkpointed
 from .common import BM25_CTES, bm25_sql, chunk_ctes, docs, questions, table, vector_questions, vectors
 
 ENTRIES: dict[str, tuple] = {}
@@ -96,9 +97,10 @@ returned AS (SELECT question_id, rank, chunk_id, doc_id, start_char, end_char, t
 
 
 def returned(spark, sf_dir):
-    chunks = chunking.fixed(docs(spark, sf_dir), 128, 32)
-    top = sparse.search(questions(spark, sf_dir), chunks, "chunk_id", T.terms(F.col("text")))
-    return top.join(chunks, "chunk_id").select("question_id", "rank", "chunk_id", "doc_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text", "score")
+    cut = lambda rows: chunking.fixed(rows, 128, 32)
+    d = docs(spark, sf_dir)
+    top = checkpointed(sparse.search(questions(spark, sf_dir), cut(d), "chunk_id", T.terms(F.col("text"))))  # ten rows per question
+    return chunking.of_ranked(top, d, cut).select("question_id", "rank", "chunk_id", "doc_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text", "score")
 
 
 @entry("chunk_bm25_topk", f"WITH {RETURNED} SELECT question_id, rank::INTEGER AS rank, chunk_id, doc_id, start_char, end_char, round(score, 6) AS score FROM returned")
@@ -164,10 +166,20 @@ def echo_answer(spark, sf_dir):
     return context.echo_answers(_passages(spark, sf_dir))
 
 
-@entry("assemble_context")
+ASSEMBLED = rf"""{RETURNED},
+uniq AS (SELECT *, row_number() OVER (PARTITION BY question_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY rank) AS k FROM returned),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS place FROM uniq WHERE k = 1),
+opened AS (SELECT *, CASE WHEN start_char <= max(end_char) OVER (PARTITION BY question_id, doc_id ORDER BY start_char, end_char, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM chosen WHERE place <= 6),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY question_id, doc_id ORDER BY start_char, end_char, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM opened),
+merged AS (SELECT question_id, doc_id, min(start_char) AS start_char, max(end_char) AS end_char, min(rank) AS rank FROM islands GROUP BY question_id, doc_id, island),
+sized AS (SELECT m.*, sum(len(regexp_extract_all(substring(d.text, (start_char + 1)::BIGINT, (end_char - start_char)::BIGINT), '\S+'))) OVER (PARTITION BY question_id ORDER BY rank) AS running, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM merged m JOIN documents d USING (doc_id)),
+fits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS r, count(*) OVER (PARTITION BY question_id) AS n FROM sized WHERE i = 1 OR running <= 600)"""
+
+
+@entry("assemble_context", f"WITH {ASSEMBLED} SELECT question_id, doc_id, rank::INTEGER AS rank, start_char, end_char, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN (n - r) % 2 = 0 THEN r - n ELSE n - r END)::INTEGER AS position FROM fits")
 def assemble_context(spark, sf_dir):
     rows = context.assemble(returned(spark, sf_dir), docs(spark, sf_dir), 6, pool=10, budget=600, order="edges")
-    return rows.select("question_id", "doc_id", "rank", "start_char", "end_char", "position")
+    return rows.select("question_id", "doc_id", F.col("rank").cast("int").alias("rank"), "start_char", "end_char", "position")
 
 
 @entry("mmr_select")

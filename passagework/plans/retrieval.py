@@ -29,21 +29,20 @@ def tokenize_terms(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-def _posted(spark, sf_dir, every: bool = False):
-    """Postings of the asked terms, or of all, and the collection's size."""
+def _posted(spark, sf_dir):
+    """Postings of all terms, and the collection's size."""
     d = docs(spark, sf_dir)
-    only = None if every else sparse.asked_terms(questions(spark, sf_dir))
-    return sparse.postings(d, "doc_id", TERMS(F.col("text")), only), sparse.collection(d, TERMS(F.col("text")))
+    return sparse.postings(d, "doc_id", TERMS(F.col("text"))), sparse.collection(d, TERMS(F.col("text")))
 
 
 @entry("bm25_postings", f"WITH {BM25_CTES} SELECT doc_id, term, tf::BIGINT AS tf, length::BIGINT AS length FROM p")
 def bm25_postings(spark, sf_dir):
-    return _posted(spark, sf_dir, True)[0].select("doc_id", "term", "tf", "length")
+    return _posted(spark, sf_dir)[0].select("doc_id", "term", "tf", "length")
 
 
 @entry("term_stats", f"WITH {BM25_CTES} SELECT term, df, cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM stats, size")
 def term_stats(spark, sf_dir):
-    posted, size = _posted(spark, sf_dir, True)
+    posted, size = _posted(spark, sf_dir)
     return sparse.term_statistics(posted, size).withColumn("idf", F.round("idf", 6))
 
 
@@ -63,15 +62,9 @@ def bm25_topk(spark, sf_dir):
 @entry("bm25_tuned_stopwords_topk")
 def bm25_tuned_stopwords_topk(spark, sf_dir):
     """Tuned settings: k1 0.8, b 1, stop words left out, stems instead of words."""
-    rows = docs(spark, sf_dir)
-    long = stemming.stemmed_terms(rows, "doc_id", TERMS(F.col("text"), True)).select("doc_id", F.col("stem").alias("term"))
-    lengths = long.groupBy("doc_id").agg(F.count("*").alias("length"))
-    posted = long.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(lengths, "doc_id")
-    size = rows.join(lengths, "doc_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("length", F.lit(0))).alias("avg_length"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), TERMS(F.col("text"), True).alias("terms"))
-    stemmed = stemming.stemmed_terms(asked, "question_id", F.col("terms")).groupBy("question_id").agg(F.collect_set("stem").alias("terms"))
-    best = sparse.best(sparse.scores(stemmed, posted, size, "doc_id", k1=0.8, b=1.0), 10, "doc_id")
-    return best.select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    found = sparse.search(asked, docs(spark, sf_dir), "doc_id", TERMS(F.col("text"), True), k1=0.8, b=1.0, stem=stemming.stem)
+    return found.select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 HEADED = BM25_CTES.replace(terms_sql("text") + " AS terms FROM documents", terms_sql("concat_ws(chr(10), source || '. ' || lang || '.', text)") + " AS terms FROM documents")
@@ -95,10 +88,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY k1, b, question_id ORDER BY
 SELECT k1, b, question_id, doc_id, round(score, 6) AS score FROM ranked WHERE rank = 1""")
 def bm25_param_grid(spark, sf_dir):
     """The best document under nine settings, in one job."""
-    posted, size = _posted(spark, sf_dir)
-    grid = spark.createDataFrame(GRID, "k1 double, b double")
-    found = sparse.scores(questions(spark, sf_dir), posted, size, "doc_id", grid)
-    return sparse.best(found, 1, "doc_id", ("k1", "b", "question_id")).select("k1", "b", "question_id", "doc_id", F.round("score", 6).alias("score"))
+    found = sparse.grid_search(questions(spark, sf_dir), docs(spark, sf_dir), "doc_id", TERMS(F.col("text")), 1, GRID)
+    k1, b = (F.array(*[F.lit(float(s[n])) for s in GRID])[F.col("setting")] for n in (0, 1))
+    return found.select(k1.alias("k1"), b.alias("b"), "question_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @entry("porter_vocabulary")
@@ -113,7 +105,7 @@ def hash_embed(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    """Two lists of twenty for ten questions: whole vectors, and their first sixteen components."""
+    """Two lists of twenty for each question: whole vectors, and their first sixteen components."""
     q, store = vector_questions(spark, sf_dir), vectors(spark, sf_dir)
     whole = dense.cosine_top(q, store, 20).withColumn("list_no", F.lit(0))
     part = dense.cosine_top(q, store, 20, 16).withColumn("list_no", F.lit(1))
@@ -187,12 +179,9 @@ fused AS (SELECT question_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, m
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, seen) AS rank FROM fused)
 SELECT question_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def hybrid_topk(spark, sf_dir):
-    """Two BM25 settings to depth 200, fused; the postings are made once."""
-    posted, size = _posted(spark, sf_dir)
-    grid = spark.createDataFrame([(1.2, 0.75, 0), (0.8, 1.0, 1)], "k1 double, b double, list_no int")
-    found = sparse.scores(questions(spark, sf_dir), posted, size, "doc_id", grid.select("k1", "b")).join(F.broadcast(grid), ["k1", "b"])
-    lists = sparse.best(found, 200, "doc_id", ("list_no", "question_id"))
-    return fusion.reciprocal_rank(lists, "doc_id", top=10).select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Two BM25 settings to depth 200, fused; the corpus is read once."""
+    found = sparse.grid_search(questions(spark, sf_dir), docs(spark, sf_dir), "doc_id", TERMS(F.col("text")), 200, [(1.2, 0.75), (0.8, 1.0)])
+    return fusion.reciprocal_rank(found.withColumnRenamed("setting", "list_no"), "doc_id", top=10).select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @entry("collapse_spans", f"""WITH {LIST_CTES}, spans AS (SELECT question_id, rank, chunk_id, label FROM lists JOIN (SELECT vec_id AS chunk_id, label FROM embeddings) USING (chunk_id) WHERE list_no = 0),
@@ -231,7 +220,11 @@ def rerank_merge_max(spark, sf_dir):
     return _out(rerank.merge_max(_lists(spark, sf_dir), "chunk_id", 10))
 
 
-@entry("rerank_pairs_cached")
+@entry("rerank_pairs_cached", rf"""WITH {BM25_CTES}, scored AS (SELECT question_id, doc_id, sum({bm25_sql()}) AS score FROM asked JOIN stats USING (term) JOIN p USING (term), size GROUP BY question_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored),
+words AS (SELECT question_id, r.doc_id, rank, list_distinct(regexp_extract_all(lower(b.text), '\S+')) AS qw, list_distinct(regexp_extract_all(lower(t.text), '\S+')) AS pw FROM ranked r JOIN benchmark b ON b.item_id = question_id JOIN documents t ON t.doc_id = r.doc_id WHERE rank <= 10),
+shares AS (SELECT question_id, doc_id, rank, CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(qw, pw)) / len(qw) END AS share FROM words)
+SELECT question_id, doc_id, rank::INTEGER AS rank, round(share, 6) AS new_score, row_number() OVER (PARTITION BY question_id ORDER BY round(share, 9) DESC, rank)::INTEGER AS new_rank FROM shares""")
 def rerank_pairs_cached(spark, sf_dir):
     """Each distinct question-passage pair of the BM25 lists scored once by the stand-in scorer."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))

@@ -21,16 +21,44 @@ RAW_ARTICLE = "body STRING, " + ", ".join(f"{m} STRING" for m in METADATA)
 RAW_QUESTION = "query STRING, answer STRING, question_type STRING, evidence_list ARRAY<STRUCT<url: STRING, title: STRING, fact: STRING>>"
 
 
+_folders: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share and read again, so that an iteration's lineage ends there."""
+    """``df`` written to the folder that driver and executors share and read again, so that an iteration's lineage ends there.
+
+    The folder is ``spark.checkpoint.dir``; only a local session may go without.
+    """
     spark = df.sparkSession
+    application = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='passagework-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/passagework/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        folder = _folders.setdefault(application, "") or f"file://{tempfile.mkdtemp(prefix='passagework-')}"
+        _folders[application] = folder
+    path = f"{folder.rstrip('/')}/passagework/{application}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._passagework_path = path
+    return out
+
+
+def dropped(*written: DataFrame | None) -> None:
+    """Delete tables that ``checkpointed`` wrote and that no result reads any more."""
+    for df in written:
+        path = getattr(df, "_passagework_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2048, size: int = 32 << 20) -> None:
+    """Bound the session's Arrow batches, so that a batch of long texts fits in a worker; smaller bounds stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        own = spark.conf.get(key)
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(key, str(most))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +84,11 @@ def raw_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_questions(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of questions; question_id in file order."""
-    rows = spark.read.option("multiLine", True).schema(RAW_QUESTION).json(path)
-    return rows
+    """One JSON array of questions, with question_id ``q_0000`` in file order."""
+    fields = RAW_QUESTION.replace("query STRING, answer STRING, question_type STRING, evidence_list ", "query: STRING, answer: STRING, question_type: STRING, evidence_list: ")
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"ARRAY<STRUCT<{fields}>>").alias("a"))
+    rows = whole.select(F.posexplode("a").alias("n", "x"))
+    return rows.select(F.format_string("q_%04d", "n").alias("question_id"), "x.*")
 
 
 def read_labels(spark: SparkSession, path: str, column: str = "human") -> DataFrame:
@@ -87,7 +117,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_metrics(df: DataFrame, path: str) -> None:
     """run, group, metric, mean, low, high, n with four decimals."""
-    rounded = [F.format_number(c, 4).alias(c) if c in ("mean", "low", "high") else F.col(c) for c in df.columns]
+    rounded = [F.format_string("%.4f", c).alias(c) if c in ("mean", "low", "high") else F.col(c) for c in df.columns]
     df.select(*rounded).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -113,6 +143,38 @@ def load_index(spark: SparkSession, path: str, settings: dict) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def stamp(chunks: DataFrame, settings: dict, key: str = "chunk_id") -> dict:
+    """What saved postings were made from: the settings, and the chunks' number and a checksum of their ids (in any order)."""
+    one = chunks.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.col(key).cast("string")).cast("decimal(38,0)")).alias("ids")).first()
+    return {"settings": settings, "chunks": one["n"], "chunk_ids": str(one["ids"] or 0)}
+
+
+def postings_for(chunks: DataFrame, path: str, settings: dict, build, key: str = "chunk_id", files: int = 8) -> DataFrame:
+    """The saved postings (key, term, tf, length) of these chunks, or those that ``build()`` makes now, saved in the order of terms.
+
+    Each setting has its own folder.  Postings of other chunks than these are stale
+    and are replaced.  Ordered files let a reader skip what its terms can't be in.
+    """
+    spark, folder = chunks.sparkSession, f"{path.rstrip('/')}/{fingerprint(settings)[:12]}"
+    now = stamp(chunks, settings, key)
+    try:
+        there = spark.read.schema("stamp string").json(f"{folder}/meta").first()
+        if there and json.loads(there["stamp"]) == now:
+            return spark.read.parquet(f"{folder}/rows")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().repartitionByRange(files, "term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/rows")
+    spark.createDataFrame([(json.dumps(now),)], "stamp string").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def content_hash(spark: SparkSession, path: str) -> str:
+    """The files' sha256; of several, that of their hashes in the order of their names."""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()
+    return rows[0]["h"] if len(rows) == 1 else hashlib.sha256("".join(r["h"] for r in rows).encode()).hexdigest()
+
+
 def cache_key(*parts):
     """Checksum of what a result depends on, as a column."""
     return F.sha2(F.concat_ws("\0", *parts), 256)
@@ -134,6 +196,21 @@ def new_documents(documents: DataFrame, indexed: DataFrame) -> DataFrame:
     return documents.join(indexed.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def persist_fresh(fresh: DataFrame, path: str) -> None:
+    """Append new cache rows to the cache's table."""
+    fresh.write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The cache's table, a key once; empty if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).dropDuplicates(["key"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 

@@ -27,20 +27,43 @@ def test_lines(spark):
 
 
 def test_sentences():
-    spans = C.sentences(ARTICLE, (0, len(ARTICLE)))
+    scan, whole = C.Scan(ARTICLE), (0, len(ARTICLE))
+    spans = scan.divided(whole, scan.cuts(C.SENTENCE_END))
     assert [ARTICLE[a:b].strip() for a, b in spans] == ["The U.S. team met Dr. Lee.", '"It was late!"', "he said.", "J. Smith left.", "Was it?", "Yes, it was. a lower start.", "Last one"]
-    assert len(C.paragraphs(ARTICLE, (0, len(ARTICLE)))) == 3
+    assert len(scan.divided(whole, scan.cuts(C.PARAGRAPH))) == 3
+    assert C.Scan(" \n ").divided((0, 3), [2]) == [(0, 3)] and C.Scan("").packed((0, 0), 3, 0, C.LEVELS["recursive"]) == []
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab .!?\n\t'\"J", max_size=120), st.integers(1, 7), st.sampled_from(sorted(C.LEVELS)))
 def test_tiling(text, size, kind):
     """Spans begin where the text begins, each where the one before ended, and end at the end; none is over the size."""
-    spans = C.structured(text, (0, len(text)), size, 0, C.LEVELS[kind], C.RegexTokens())
+    scan = C.Scan(text)
+    spans = scan.packed((0, len(text)), size, 0, C.LEVELS[kind])
     if text:
         assert spans[0][0] == 0 and spans[-1][1] == len(text)
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
-        assert all(C.RegexTokens().count(text, s) <= size for s in spans)
+        assert all(scan.count(s) <= size and (scan.visible(s) or len(spans) == 1) for s in spans)
+
+
+def test_long_texts(spark):
+    """Ten million characters in one text take seconds, as the time grows with the length and not with its square."""
+    import time
+
+    text = "word and\n" * 1_100_000
+    began = time.time()
+    docs = frame(spark, text)
+    assert C.lines(docs).agg({"end_char": "max"}).first()[0] == len(text)
+    assert C.fixed(docs, 128, 32).count() == 22917
+    assert C.structure_chunks(docs, "recursive", 128).count() == 17188
+    assert time.time() - began < 60
+
+
+def test_ranked_chunks(spark):
+    docs = spark.createDataFrame([("a:b", "one two three four"), ("c", "five six"), ("d", "seven")], "doc_id string, text string")
+    ranked = spark.createDataFrame([("q", "a:b:0001", 1), ("q", "d:0000", 2)], "question_id string, chunk_id string, rank int")
+    got = C.of_ranked(ranked, docs, lambda rows: C.fixed(rows, 2)).orderBy("rank").collect()
+    assert [(r["doc_id"], r["text"], r["start_char"]) for r in got] == [("a:b", " three four", 7), ("d", "seven", 0)]
 
 
 def test_pack():

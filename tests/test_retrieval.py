@@ -1,5 +1,4 @@
 import math
-import os
 
 import numpy as np
 import pytest
@@ -7,7 +6,6 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators import context, dense, fusion, rerank, sparse
-from passagework.plans import catalogue
 
 
 def lists(spark, **rows):
@@ -35,6 +33,49 @@ def test_bm25_ties_and_empty(spark):
     assert sparse.search(asked, chunks.limit(0), "id", T.terms(F.col("text"))).count() == 0
 
 
+def test_search_is_scores_and_best(spark, monkeypatch):
+    """The block product gives what the join of postings gives, for whole grids, with ties, in several parts and with stems."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(4000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(300)] + [(300, None), (301, rows_text := "w1 w2 w3"), (302, rows_text)]
+    chunks = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([(q, rng.choices([*words, "nowhere"], k=rng.randint(0, 9))) for q in range(25)], "question_id long, terms array<string>")
+    terms, grid = T.terms(F.col("text")), [(1.2, 0.75), (0.4, 1.0)]
+    settings = spark.createDataFrame(grid, "k1 double, b double")
+    every = sparse.scores(asked, sparse.postings(chunks, "id", terms), sparse.collection(chunks, terms), "id", settings)
+    want = {(grid.index((r["k1"], r["b"])), r["question_id"], r["id"]): (r["rank"], r["score"]) for r in sparse.best(every, 7, "id", ("k1", "b", "question_id")).collect()}
+
+    def found(**more):
+        return {(r["setting"], r["question_id"], r["id"]): (r["rank"], r["score"]) for r in sparse.grid_search(asked, chunks, "id", terms, 7, grid, **more).collect()}
+
+    for most, at_once, travel in ((4096, 512, 200_000), (6, 16, 200_000), (6, 16, 10)):
+        monkeypatch.setattr(sparse, "QUESTIONS", most)
+        monkeypatch.setattr(sparse, "CHUNKS", at_once)
+        monkeypatch.setattr(sparse, "BROADCAST_TERMS", travel)
+        got = found()
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
+    one = sparse.search(asked.limit(0), chunks, "id", terms)
+    assert one.columns == ["question_id", "id", "score", "rank"] and one.count() == 0
+    last = found(stem=lambda t: t[:2])
+    assert last.keys() != want.keys()
+
+
+def test_dense_nulls_and_dimensions(spark):
+    store = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [None, 1.0])], "chunk_id int, vector array<double>")
+    asked = store.withColumnRenamed("chunk_id", "question_id")
+    assert sorted((r["question_id"], r["chunk_id"], r["rank"]) for r in dense.cosine_top(asked, store, 5).collect()) == [(1, 1, 1), (1, 3, 2), (3, 1, 2), (3, 3, 1)]
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "chunk_id int, vector array<double>")
+    with pytest.raises(ValueError):
+        dense.cosine_top(mixed.withColumnRenamed("chunk_id", "question_id"), store, 5)
+    with pytest.raises(Exception, match="dimensions"):
+        dense.cosine_top(asked, mixed, 5).collect()
+    dense.QUERY_BYTES, before = 16, dense.QUERY_BYTES  # a query in each block
+    assert dense.cosine_top(asked, store, 1).count() == 2
+    dense.QUERY_BYTES = before
+
+
 def test_dense(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(40, 8))
@@ -81,19 +122,3 @@ def test_mmr():
     s[0, 2] = s[2, 0] = s[1, 2] = s[2, 1] = 0.1
     assert context.mmr_order(np.array([1, 0.9, 0.8, 0.1]), s, 3, 0.5) == [0, 2, 3]
     assert context.mmr_order(np.array([0.2, 0.9]), np.eye(2), 5, 1.0) == [1, 0]
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_topk"])
-def test_all_terms_asked(spark, name):
-    """The rows are those of the registered SQL without its cut of the question to twelve terms."""
-    import duckdb
-
-    sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    sql = catalogue.oracle_sql()[name].replace("[1:12]", "")
-    want = con.sql(f"select question_id, doc_id, rank, score from ({sql})").fetchall()
-    got = [tuple(r) for r in catalogue.queries()[name](spark, sf).select("question_id", "doc_id", "rank", "score").collect()]
-    assert sorted(r[:3] for r in got) == sorted(r[:3] for r in want)
-    assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)], atol=2e-6)
