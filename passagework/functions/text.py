@@ -46,6 +46,11 @@ def prompt_header(title: Column, source: Column, stamp: Column) -> Column:
     return F.concat_ws(" ", marked, F.concat(where, F.lit(".")))
 
 
+def passage_text(text: Column, line: Column) -> Column:
+    """What a reranker reads: the header's line, if it is not empty, above the text."""
+    return F.when(F.coalesce(line, F.lit("")) == "", text).otherwise(F.concat(line, F.lit("\n"), text))
+
+
 def published(text: Column) -> Column:
     """An ISO time, or null where there is none."""
     return F.try_to_timestamp(text)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import dense
 
 # Prompt texts.
 SYSTEM = "Answer the question from the passages alone."
@@ -123,7 +124,7 @@ def rendered(passages: DataFrame, position: str = "rank", header: Column | None
 
 
 def prompts(questions: DataFrame, blocks: DataFrame | None, with_header: bool = False) -> DataFrame:
-    """question_id, system, user.  Without ``blocks``: the closed-book prompt."""
+    """question_id, system, user.  Without ``blocks``: the closed-book prompt.  ``with_header``: some passage has a header."""
     asked = F.concat(F.lit("Question: "), F.col("question"))
     if blocks is None:
         return questions.select("question_id", F.lit(CLOSED_BOOK).alias("system"), asked.alias("user"))
@@ -136,22 +137,66 @@ def echo_answers(passages: DataFrame) -> DataFrame:
     return first.select("question_id", F.substring("text", 1, 200).alias("answer"))
 
 
-def assemble(chunks: DataFrame, documents: DataFrame, top_k: int, pool: int | None = None, unique: bool = True, merge: bool = True, budget: int | None = None, order: str = "rank") -> DataFrame:
-    """The whole chain: pool, dedupe, select, merge, budget, order."""
-    rows = chunks.where(F.col("rank") <= max(pool or top_k, top_k))
+ORDERS = ("rank", "edges", "chronological")
+
+
+def with_headers(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """``passages`` with the header line of their documents (doc_id and, where there are, title, source, published_at)."""
+    own = lambda c: F.col(c).cast("string") if c in documents.columns else F.lit(None).cast("string")
+    line = T.prompt_header(own("title"), own("source"), T.published(own("published_at")))
+    return passages.drop("header").join(documents.select("doc_id", line.alias("header")), "doc_id", "left").withColumn("header", F.coalesce("header", F.lit("")))
+
+
+def wrapped(chunks: DataFrame, documents: DataFrame, header: bool = False) -> DataFrame:
+    """Chunks from outside a ranking (gold evidence, say) as passages: one each, in the order of ``rank``; nothing is dropped or merged."""
+    rows = chunks.withColumns({"position": F.row_number().over(Window.partitionBy("question_id").orderBy("rank")), "n_chunks": F.lit(1).cast("long"), "header": F.lit("")})
+    return with_headers(rows, documents) if header else rows
+
+
+def assemble(chunks: DataFrame, documents: DataFrame, top_k: int, pool: int | None = None, unique: bool = True, merge: bool = True, budget: int | None = None, order: str = "rank", mmr_weight: float | None = None, vectors: DataFrame | None = None, header: bool = False) -> DataFrame:
+    """The whole chain, in this order: pool, dedupe, select, merge, header, budget, order.
+
+    ``chunks``: question_id, rank, score, chunk_id, doc_id, start_char, end_char,
+    text.  ``documents``: doc_id, text, and for headers and dates title, source and
+    published_at, as far as they are there.  ``mmr_weight`` with ``vectors`` (chunk_id,
+    vector) selects for relevance and variety from the pool; without it the first
+    ``top_k`` stay.  A passage's rank is the best of its chunks'.
+    """
+    if order not in ORDERS:
+        raise ValueError(f"{order}: known are {', '.join(ORDERS)}")
+    if pool is not None and pool < top_k:
+        raise ValueError(f"a pool of {pool} is smaller than top_k, {top_k}")
+    rows = chunks.where(F.col("rank") <= (pool or top_k))
     rows = dedupe(rows) if unique else rows
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).where(F.col("rank") <= top_k)
-    if merge:
-        rows = stitched(merge_neighbours(rows), documents)
+    if mmr_weight is not None:
+        if vectors is None:
+            raise ValueError("variety needs the chunks' vectors")
+        scored = rows.withColumn("relevance", min_max(F.col("score"), "question_id"))
+        own = scored.join(vectors.select("chunk_id", dense.unit(F.col("vector")).alias("vector")), "chunk_id").select("question_id", "chunk_id", "rank", "relevance", "vector")
+        rows = rows.join(mmr(own, "chunk_id", top_k, mmr_weight).select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi")
+    else:
+        place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))
+        rows = rows.withColumn("_place", place).where(F.col("_place") <= top_k).drop("_place")
+    rows = stitched(merge_neighbours(rows), documents) if merge else rows.withColumn("n_chunks", F.lit(1).cast("long"))
+    rows = with_headers(rows, documents) if header else rows.withColumn("header", F.lit(""))
     if budget is not None:
-        rows = within_tokens(rows, token_count(F.col("text")), budget)
+        rows = within_tokens(rows, token_count(passage_body(F.col("text"), F.col("header"))), budget)
     if order == "edges":
         return order_edges(rows)
     if order == "chronological":
-        return order_chronological(rows, F.lit(None).cast("timestamp"))
+        stamp = T.published(F.col("_published").cast("string"))
+        dated = documents.select("doc_id", (F.col("published_at") if "published_at" in documents.columns else F.lit(None)).cast("string").alias("_published"))
+        return order_chronological(rows.join(dated, "doc_id", "left"), stamp).drop("_published")
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
 
 
+def contents(passages: DataFrame) -> DataFrame:
+    """question_id, context_passages, context_chunks, context_tokens of assembled passages, as they are rendered."""
+    own = passages.groupBy("question_id").agg(F.count("*").alias("context_passages"), F.sum("n_chunks").alias("context_chunks"))
+    blocks = rendered(passages, "position", F.col("header"))
+    return own.join(blocks.select("question_id", token_count(F.col("passages")).cast("long").alias("context_tokens")), "question_id")
+
+
 def token_count(text: Column) -> Column:
     """Runs of characters that are not white space: the default tokenizer."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))

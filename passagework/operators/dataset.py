@@ -24,24 +24,34 @@ def find_span(text: str, fact: str) -> tuple[int, int, str] | None:
 def verbatim(documents: DataFrame, items: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
     """doc_id, text, question_id, fact: the documents that hold a fact as it is.
 
-    ``documents``: doc_id, text; ``items``: question_id, fact.  Few items travel to
-    the documents, which are read once.  Of many, those with three words or more
-    are joined on the longest word that is neither their first nor their last (a
-    document that holds the fact has it as a word of its own), and only pairs
-    that share it are searched.
+    ``documents``: doc_id, text; ``items``: question_id, fact.  A fact of three words
+    or more is found by a join on its longest inner word (a document that holds the
+    fact has it as a word of its own); the words of up to ``broadcast_rows`` facts
+    travel to the documents.  Shorter facts have no such word: each document is
+    searched for all of them, in blocks of ``broadcast_rows``.
     """
-    items = items.where(F.trim("fact") != "")
-    held = F.col("text").contains(F.col("fact"))
-    if items.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return documents.join(F.broadcast(items), held)
     words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^ \t-\r]+"), F.lit(0))
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    keyed = items.withColumn("w", words("fact")).withColumn("word", F.when(F.size("w") > 2, F.reduce(inner, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s)))).drop("w")
-    own = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    pairs = own.join(keyed.where("word is not null").select("question_id", "word"), "word").select("doc_id", "question_id")
-    long = pairs.join(documents, "doc_id").join(items, "question_id").where(held).select("doc_id", "text", "question_id", "fact")
-    short = documents.join(keyed.where("word is null").drop("word"), held).select("doc_id", "text", "question_id", "fact")
-    return long.unionByName(short)
+    longest = F.reduce(inner, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
+    keyed = items.where(F.trim("fact") != "").withColumn("w", words("fact")).withColumn("word", F.when(F.size("w") > 2, longest)).drop("w")
+    held = F.col("text").contains(F.col("fact"))
+    columns = ["doc_id", "text", "question_id", "fact"]
+    short = keyed.where("word is null").select("question_id", "fact")
+    n = short.count()
+    long = keyed.where("word is not null")
+    if long.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        # only words that some fact needs are compared, and the text stays where it is
+        own = documents.select("doc_id", "text", F.array_distinct(words("text")).alias("w"))
+        found = own.select("doc_id", "text", F.explode("w").alias("word")).join(F.broadcast(long), "word").where(held).select(columns)
+    else:
+        own = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+        pairs = own.join(long.select("question_id", "word"), "word").select("doc_id", "question_id")
+        found = pairs.join(documents, "doc_id").join(long.drop("word"), "question_id").where(held).select(columns)
+    blocks = -(-n // broadcast_rows)
+    for block in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("question_id", "fact"), F.lit(blocks)) == block)
+        found = found.unionByName(documents.join(F.broadcast(part), held).select(columns))
+    return found
 
 
 def map_evidence(pairs: DataFrame) -> DataFrame:
@@ -59,6 +69,117 @@ def map_evidence(pairs: DataFrame) -> DataFrame:
     return hit.unionByName(rest)
 
 
+def build_questions(raw: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions; every evidence item with what became of it).
+
+    ``raw``: question_id, query, answer, question_type, evidence_list (url, title,
+    fact).  ``documents``: doc_id, text, url, title, ordinal.  Questions have
+    evidence: their distinct spans in order, and ``complete``: whether all their
+    items were found.  An item's ``outcome`` is exact, whitespace, no article, no
+    sentence or duplicate; ``repeats`` says that an exact sentence stands more than
+    once in its article.
+    """
+    items = raw.select("question_id", F.posexplode("evidence_list").alias("item_no", "e")).select("question_id", "item_no", "e.url", "e.title", "e.fact")
+    placed = articles(items, documents).join(documents.select("doc_id", "text"), "doc_id", "left")
+    mapped = map_evidence(placed.where("doc_id is not null")).withColumn("repeats", (F.col("method") == "exact") & (F.length(F.replace("text", F.col("fact"))) <= F.length("text") - 2 * F.length("fact")))
+    found = mapped.unionByName(placed.where("doc_id is null"), allowMissingColumns=True).drop("text")
+    span = Window.partitionBy("question_id", "doc_id", "start_char", "end_char").orderBy("item_no")
+    outcome = F.when(F.col("doc_id").isNull(), "no article").when(F.col("method").isNull(), "no sentence").when(F.row_number().over(span) > 1, "duplicate").otherwise(F.col("method"))
+    found = found.withColumns({"outcome": outcome, "repeats": F.coalesce("repeats", F.lit(False))})
+    kept = F.when(F.col("outcome").isin("exact", "whitespace"), F.struct("item_no", "doc_id", "start_char", "end_char"))
+    own = found.groupBy("question_id").agg(F.array_sort(F.collect_list(kept)).alias("spans"), F.bool_and(~F.col("outcome").isin("no article", "no sentence")).alias("complete"))
+    spans = F.transform("spans", lambda s: F.struct(s["doc_id"].alias("doc_id"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char")))
+    joined = raw.join(own, "question_id", "left").withColumn("evidence", spans)
+    empty = F.array().cast(dict(joined.dtypes)["evidence"])
+    questions = joined.select("question_id", F.col("query").alias("text"), "answer", "question_type", F.coalesce("evidence", empty).alias("evidence"), F.coalesce("complete", F.lit(True)).alias("complete"))
+    return questions, found
+
+
+def build_report(questions: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: what became of the evidence of a question set."""
+    how = {"exact": "exact", "whitespace": "whitespace", "no article": "article_not_in_corpus", "no sentence": "sentence_not_in_article", "duplicate": "duplicates"}
+    one = items.agg(F.count("*").alias("facts"), *[F.count_if(F.col("outcome") == k).alias(v) for k, v in how.items()], F.count_if(F.col("repeats")).alias("repeated_sentences"))
+    asked = questions.agg(F.count("*").alias("questions"), F.count_if(F.size("evidence") == 0).alias("without_evidence"), F.count_if(~F.col("complete")).alias("incomplete"))
+    mapped = F.col("facts") - F.col("article_not_in_corpus") - F.col("sentence_not_in_article")
+    return asked.crossJoin(one).withColumn("mapping_rate", F.coalesce(F.try_divide(mapped.cast("double"), F.nullif("facts", F.lit(0))), F.lit(1.0)))  # two single rows
+
+
+def answerable(questions: DataFrame, subset_only: bool = False) -> DataFrame:
+    """The questions that have gold evidence, and of those only the subset that is to be answered if asked for."""
+    rows = questions.where(F.size("evidence") > 0)
+    return rows.where("answer_subset") if subset_only else rows
+
+
+def shared_gold_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id, start_char, end_char of the gold spans that two question sets share."""
+    columns = ["doc_id", "start_char", "end_char"]
+    return a.select(columns).intersect(b.select(columns))
+
+
+def evidence_split(questions: DataFrame, sizes: dict[str, int], max_share: float, seed: str = "0") -> DataFrame:
+    """question_id, split: dev, test, pool, test_pool.
+
+    ``questions``: question_id, question_type, cluster, has_evidence.  Dev and test
+    share no cluster; a cluster gives at most ``max_share`` of a split's answerable
+    questions; each split has the types in proportion, and questions without
+    evidence in their share of the whole.  What is left of the test side's clusters
+    is test_pool; all else is pool.  Too few questions are an error.
+    """
+    n = questions.agg(F.count("*").alias("n"), F.count_if(~F.col("has_evidence")).alias("null")).first()
+    nulls = {s: round(size * n["null"] / n["n"]) if n["n"] else 0 for s, size in sizes.items()}
+    quota = {s: size - nulls[s] for s, size in sizes.items()}
+    own = questions.where("has_evidence")
+    largest = own.groupBy("cluster").count().orderBy(F.desc("count"), "cluster").limit(10 * sum(quota.values()) + 1).collect()
+    filled, got, side = dict.fromkeys(quota, 0), dict.fromkeys(quota, 0), []
+    for cluster, size in largest:
+        if all(got[s] >= quota[s] for s in quota):
+            break
+        name = min(filled, key=lambda s: (filled[s] / quota[s] if quota[s] else float("inf"), s))
+        side.append((cluster, name))
+        filled[name] += size
+        got[name] += min(size, int(max_share * quota[name]))
+    short = [s for s in quota if got[s] < quota[s]]
+    if short:
+        raise ValueError(f"too few questions for {', '.join(sorted(short))}: {got} of {quota}")
+    kind = dict(questions.dtypes)["cluster"]
+    placed = own.join(F.broadcast(questions.sparkSession.createDataFrame(side, f"cluster {kind}, side string")), "cluster", "left")  # as many rows as quotas ask for
+    taken = None
+    for s in quota:
+        capped_ = capped(placed.where(F.col("side") == s), "question_id", "cluster", int(max_share * quota[s]), seed)
+        drawn = stratified_sample(capped_, "question_id", "question_type", quota[s], seed).select("question_id", F.lit(s).alias("split"))
+        taken = drawn if taken is None else taken.unionByName(drawn)
+    order = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("question_id").cast("string"))), "question_id"))
+    blank = questions.where(~F.col("has_evidence")).select("question_id", F.md5(F.concat(F.lit(f"{seed}:"), F.col("question_id").cast("string"))).alias("_h")).orderBy("_h", "question_id").limit(sum(nulls.values()))
+    names = [s for s in nulls for _ in range(nulls[s])]
+    if names:
+        numbered = blank.withColumn("_n", order)  # no more rows than the quotas
+        taken = taken.unionByName(numbered.select("question_id", F.array(*map(F.lit, names))[F.col("_n") - 1].alias("split")))
+    rest = questions.select("question_id", "cluster", "has_evidence").join(taken, "question_id", "left_anti").join(placed.select("question_id", "side"), "question_id", "left")
+    return taken.unionByName(rest.select("question_id", F.when(F.col("side") == "test", "test_pool").otherwise("pool").alias("split")))
+
+
+def pick(pool: DataFrame, key: str, verdict: str, n: int, seed: str = "0") -> DataFrame:
+    """Up to ``n`` rows for a sheet of labels: at most half of them failed ones, the rest passed ones, in a seeded order."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = pool.withColumn("_h", hashed)
+    failed = rows.where(~F.col(verdict)).orderBy("_h", key).limit(n // 2)
+    left = n - failed.count()
+    return failed.unionByName(rows.where(F.col(verdict)).orderBy("_h", key).limit(left)).orderBy("_h", key).drop("_h")
+
+
+def label_sheet(answers: DataFrame, n: int = 40, seed: str = "0") -> DataFrame:
+    """id, question, reference_answer, answer, human (empty): answers that no comparison of strings settles, each distinct (question, answer) once.
+
+    ``answers``: question_id, question, reference, answer, match and judge_correct (nullable).
+    """
+    undecided = answers.where(F.col("match").isNull() & F.col("judge_correct").isNotNull())
+    distinct = undecided.groupBy("question_id", "answer").agg(*[F.min(c).alias(c) for c in ("question", "reference", "judge_correct")])
+    keyed = distinct.withColumn("_k", F.concat_ws("\0", F.col("question_id").cast("string"), "answer"))
+    chosen = pick(keyed, "_k", "judge_correct", n, seed)
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_k"))), "_k"))  # no more than n rows
+    return chosen.select(F.format_string("c%02d", place).alias("id"), "question", F.col("reference").alias("reference_answer"), "answer", F.lit("").alias("human"))
+
+
 def articles(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     """Evidence (url, title, ...) with the doc_id of its article: by url, else by title; of equal keys the last document."""
     by_url = documents.where("url is not null").groupBy("url").agg(F.max_by("doc_id", "ordinal").alias("_u"))
@@ -126,17 +247,19 @@ def capped(rows: DataFrame, key: str, cluster: str, cap: int, seed: str = "0") -
 def disjoint_split(labels: DataFrame, quota: dict[str, int], cap: int, seed: str = "0") -> DataFrame:
     """question_id, split: whole clusters, largest first, to the side that is emptiest for its quota; the rest is unused.
 
-    Cluster sizes are counted by Spark; the greedy choice is over clusters on the
-    driver, as each depends on all before it.
+    Cluster sizes are counted by Spark; the greedy choice is on the driver, as each
+    depends on all before it, over no more clusters than the quotas have places.
     """
     rows = capped(labels, "question_id", "cluster", cap, seed)
-    sizes = sorted(((r[1], r[0]) for r in rows.groupBy("cluster").count().toLocalIterator()), key=lambda x: (-x[0], x[1]))
+    # each cluster that is placed fills a quota by one at least, so no more than these can be placed
+    largest = rows.groupBy("cluster").count().orderBy(F.desc("count"), "cluster").limit(sum(quota.values())).collect()
     filled, side = dict.fromkeys(sorted(quota), 0), []
-    for size, cluster in sizes:
+    for cluster, size in largest:
         name = min(filled, key=lambda s: (filled[s] / quota[s] if quota[s] else float("inf"), s))
-        if filled[name] < quota[name]:
-            side.append((cluster, name))
-            filled[name] += size
+        if filled[name] >= quota[name]:
+            break
+        side.append((cluster, name))
+        filled[name] += size
     kind = dict(labels.dtypes)["cluster"]
     chosen = labels.sparkSession.createDataFrame(side, f"cluster {kind}, split string")
     order = Window.partitionBy("split").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("question_id").cast("string"))), "question_id")

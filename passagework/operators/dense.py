@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,34 +25,47 @@ def unit(vector: Column, dimensions: int | None = None) -> Column:
     return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
 
 
+def usable(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """The rows with a vector that has no null component."""
+    return rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
+
+
 def cosine_top(queries: DataFrame, store: DataFrame, k: int, dimensions: int | None = None, key: str = "chunk_id") -> DataFrame:
     """question_id, key, score, rank by cosine; ties in the order of ``key``.
 
     ``queries``: question_id, vector.  ``store``: key, vector.  The queries travel
-    packed to the tasks that read the store (in blocks of at most QUERY_BYTES), a
+    packed to the tasks that read the store (in blocks of about QUERY_BYTES), a
     task multiplies each batch with them and sends on its k best per query, so
-    the store is never shuffled.
+    the store is never shuffled.  Rows without a vector, or with a null in it, take
+    no part; vectors of another dimension than the queries' are an error.
     """
-    packed = [(r[0], r[1]) for r in queries.select("question_id", unit(F.col("vector"), dimensions).alias("v")).toLocalIterator()]
-    rows = store.select(F.col(key), unit(F.col("vector"), dimensions).alias("v"))
+    spark = store.sparkSession
+    asked = usable(queries, "question_id").select("question_id", unit(F.col("vector"), dimensions).alias("v"))
+    rows = usable(store, key).select(F.col(key), unit(F.col("vector"), dimensions).alias("v"))
     kind = dict(queries.dtypes)["question_id"]
     ids_type = to_arrow_type(queries.schema["question_id"].dataType)
     schema = f"question_id {kind}, {key} {dict(store.dtypes)[key]}, score double"
-    if not packed:
-        return store.sparkSession.createDataFrame([], f"{schema}, rank int")
-    per_block = max(1, QUERY_BYTES // (8 * max(1, len(packed[0][1]))))
-    found = None
-    for at in range(0, len(packed), per_block):
-        block = packed[at : at + per_block]
-        part = rows.mapInArrow(_multiplier(store.sparkSession.sparkContext.broadcast(([i for i, _ in block], np.array([v for _, v in block]))), k, key, ids_type), schema)
-        found = part if found is None else found.unionByName(part)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("widest"), F.min(F.size("v")).alias("least")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    if size["widest"] != size["least"]:
+        raise ValueError(f"queries have from {size['least']} to {size['widest']} dimensions")
+    blocks = -(-size["n"] * 8 * max(1, size["widest"]) // QUERY_BYTES)
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).collect()  # about QUERY_BYTES
+        travelling = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own]).reshape(len(own), -1)))
+        found = rows.mapInArrow(_multiplier(travelling, k, key, ids_type), schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = found if out is None else out.unionByName(found)  # a question is in one block only
+    return out
 
 
 def _multiplier(queries, k: int, key: str, ids_type):
     def run(batches):
         ids, q = queries.value
+        if not ids:
+            return
         kept = [[] for _ in ids]
         keys = None
         for batch in batches:
@@ -59,6 +73,9 @@ def _multiplier(queries, k: int, key: str, ids_type):
                 continue
             keys = batch.column(0).type
             names = batch.column(0).to_pylist()
+            sizes = set(pc.list_value_length(batch.column(1)).to_pylist())
+            if sizes != {q.shape[1]}:
+                raise ValueError(f"the store has vectors of {sorted(sizes)} dimensions, the queries of {q.shape[1]}")
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             product = np.round(q @ v.T, 12)
             for i, row in enumerate(product):

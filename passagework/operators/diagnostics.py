@@ -42,10 +42,27 @@ def best_setting(scores: DataFrame, settings: list[str]) -> DataFrame:
     return means.orderBy(F.desc(F.round("mean", 9)), "ordinal").limit(1)
 
 
-def picked(rows: DataFrame, kind: str, cluster: str, order: str, each: int = 5) -> DataFrame:
-    """Up to ``each`` examples of each kind, in order, at most one of a cluster and kind."""
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(kind, cluster).orderBy(order))).where("_n = 1")
-    return first.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(order))).where(F.col("_n") <= each).drop("_n")
+def picked(rows: DataFrame, kind: str, cluster: str, order: str, each: int = 5, sentence: str | None = None) -> DataFrame:
+    """Up to ``each`` examples of each kind, in order, of which no two share a cluster (nor a ``sentence``, if given).
+
+    Without ``sentence`` these are the first of each cluster.  With it a row may be
+    barred by either, so the first row that is still free is taken ``each`` times;
+    what was taken (a row per kind and round) bars the rest.
+    """
+    if sentence is None:
+        first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(kind, cluster).orderBy(order))).where("_n = 1")
+        return first.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(order))).where(F.col("_n") <= each).drop("_n")
+    spark, out = rows.sparkSession, []
+    free = rows
+    for _ in range(each):
+        best = free.groupBy(kind).agg(F.min(F.struct(order, *[c for c in rows.columns if c != order])).alias("x")).select("x.*").select(rows.columns).collect()
+        if not best:
+            break
+        out += best
+        taken = F.broadcast(spark.createDataFrame(best, rows.schema))  # a row per kind
+        for barred in (cluster, sentence):
+            free = free.join(taken.select(kind, barred).distinct(), [kind, barred], "left_anti").select(rows.columns)
+    return spark.createDataFrame(out, rows.schema)
 
 
 def gains(scored: DataFrame) -> DataFrame:

@@ -99,6 +99,17 @@ def budget_scores(ranges: DataFrame, gold: DataFrame) -> DataFrame:
     return spans.join(size, "question_id", "left").select("question_id", "recall", F.coalesce(F.try_divide(F.col("gold_chars").cast("double"), F.nullif("chars", F.lit(0))), F.lit(0.0)).alias("precision"))
 
 
+def context_scores(passages: DataFrame, contents: DataFrame, gold: DataFrame) -> DataFrame:
+    """question_id, metric, value of assembled contexts: their size, the share of the gold spans that they touch, and whether that is all.
+
+    ``passages``: question_id, doc_id, start_char, end_char, rank; ``contents``: question_id and sizes.
+    """
+    sizes = long_format(contents.select("question_id", *[F.col(c).cast("double").alias(c) for c in contents.columns if c != "question_id"]))
+    found = gold_ranks(passages, gold).withColumn("held", F.col("gold_rank").isNotNull())
+    own = found.groupBy("question_id").agg(F.avg(F.col("held").cast("double")).alias("context_recall"), F.min(F.col("held").cast("int")).cast("double").alias("context_full_support"))
+    return sizes.unionByName(long_format(own))
+
+
 def by_group(scores: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     """metric, group (null: all), mean, n, in one pass over grouping sets.  ``scores``: question_id, metric, value."""
     rows = scores.join(groups, "question_id").where("value is not null")

@@ -6,11 +6,12 @@ cache table (key, reply): each distinct request that it lacks is made once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,9 +21,16 @@ from . import query
 Generator = Callable[[pd.Series, pd.Series], pd.Series]
 
 
+FIRST_PASSAGE = re.compile(r'<passage id="1">\n(.*?)\n</passage>', re.DOTALL)
+
+
 def echo(systems: pd.Series, users: pd.Series) -> pd.Series:
-    """The first 200 characters of what is asked."""
-    return users.map(lambda u: (u or "")[:200])
+    """The first 200 characters of the first passage, or of what is asked if there is none."""
+    def answer(u: str) -> str:
+        found = FIRST_PASSAGE.search(u or "")
+        return (found[1] if found else u or "")[:200]
+
+    return users.map(answer)
 
 
 def words_as_lines(systems: pd.Series, users: pd.Series) -> pd.Series:
@@ -70,6 +78,28 @@ class Routing:
                 raise ValueError(f"{value}: known are {', '.join(known)}")
 
 
+class Refused(Exception):
+    """A model declines a request; the operators around it fall back to what they were given."""
+
+
+#: What a generator that declined replies, so that it passes through a column.
+REFUSED = "\x00refused"
+
+
+def tolerant(generator: Generator) -> Generator:
+    """``generator`` with each request on its own, so that one that is refused doesn't fail the others; other errors do."""
+    def call(systems: pd.Series, users: pd.Series) -> pd.Series:
+        out = []
+        for n in range(len(users)):
+            try:
+                out.append(generator(systems.iloc[n : n + 1], users.iloc[n : n + 1]).iloc[0])
+            except Refused:
+                out.append(REFUSED)
+        return pd.Series(out, dtype=object)
+
+    return call
+
+
 #: Name -> instruction, role of the queries, most lines, and default routing.
 TRANSFORMS: dict[str, tuple[str, str, int, Routing]] = {
     "rewrite": ("Rewrite the question as one search query.", "rewrite", 1, Routing()),
@@ -79,38 +109,65 @@ TRANSFORMS: dict[str, tuple[str, str, int, Routing]] = {
 }
 
 
+def routing_of(kind: str, own: Routing | None) -> Routing:
+    """The routing that is asked for, or the transformation's own."""
+    return own or (TRANSFORMS[kind][3] if kind in TRANSFORMS else Routing())
+
+
 def transform(questions: DataFrame, kind: str, generator: Generator = words_as_lines, limit: int | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """question_id, query_no, text, role of the transformed queries; an empty reply leaves the question itself (role original)."""
+    """question_id, query_no, text, role, fallback, missing of the transformed queries.
+
+    An empty or refused reply leaves the question itself (role original; fallback
+    empty or refused).  Paraphrases that repeat the question go, and ``missing``
+    says how many fewer there are than asked for.
+    """
     instruction, role, most, _ = TRANSFORMS[kind]
+    most = limit or most
+    if kind == "decompose" and most < 2:
+        raise ValueError("a question is decomposed into two parts at least")
     asked = questions.select("question_id", "question", F.lit(instruction).alias("system"), F.concat(F.lit("Question: "), F.col("question")).alias("user"))
-    replies = generate(asked, kind, generator, cache)
+    replies = generate(asked, kind, tolerant(generator), cache).withColumn("refused", F.col("reply") == REFUSED)
+    good = replies.where(~F.col("refused"))
     if kind == "hyde":
-        made = replies.select("question_id", F.lit(1).alias("query_no"), query.parse_passage(F.col("reply")).alias("text"), F.lit(role).alias("role")).where("text <> ''")
+        made = good.select("question_id", F.lit(1).alias("query_no"), query.parse_passage(F.col("reply")).alias("text")).where("text <> ''")
+    elif kind == "multi_query":
+        lines = query.parse_lines(good, most + 1).select("question_id", "query_no", "text")
+        others = lines.join(questions.select("question_id", "question"), "question_id").where(T.text_key(F.col("text")) != T.text_key(F.col("question")))
+        made = others.withColumn("query_no", F.row_number().over(Window.partitionBy("question_id").orderBy("query_no"))).where(F.col("query_no") <= most).drop("question")
     else:
-        made = query.parse_lines(replies, limit or most).select("question_id", "query_no", "text", F.lit(role).alias("role"))
-    own = questions.join(made.select("question_id").distinct(), "question_id", "left_anti")
-    return made.unionByName(own.select("question_id", F.lit(1).alias("query_no"), F.col("question").alias("text"), F.lit("original").alias("role")))
+        made = query.parse_lines(good, most).select("question_id", "query_no", "text")
+    n = F.count("*").over(Window.partitionBy("question_id"))
+    missing = F.lit(most) - n if kind == "multi_query" else F.lit(0)
+    made = made.select("question_id", "query_no", "text", F.lit(role).alias("role"), F.lit(None).cast("string").alias("fallback"), missing.cast("int").alias("missing"))
+    own = replies.join(made.select("question_id").distinct(), "question_id", "left_anti")
+    return made.unionByName(own.select("question_id", F.lit(1).alias("query_no"), F.col("question").alias("text"), F.lit("original").alias("role"), F.when(F.col("refused"), "refused").otherwise("empty").alias("fallback"), F.lit(most if kind == "multi_query" else 0).alias("missing")))
 
 
 def standalone(turns: DataFrame, keep: int = 3, generator: Generator = echo) -> DataFrame:
     """conv_id, turn, asked, question: user turns rewritten with the last ``keep`` rows before; without history, or after an empty reply, unchanged."""
     rows = query.history(turns, keep).where("role = 'user'").withColumn("system", F.lit("Make the last message a question that stands alone."))
     alone = rows.where("history = ''").select("conv_id", "turn", F.col("text").alias("asked"), F.col("text").alias("question"))
-    talked = generate(rows.where("history <> ''").withColumn("user", F.concat("text", F.lit("\n"), "history")), "followup", generator)
-    first = F.trim(F.split_part("reply", F.lit("\n"), F.lit(1)))
+    talked = generate(rows.where("history <> ''").withColumn("user", F.concat("text", F.lit("\n"), "history")), "followup", tolerant(generator))
+    said = F.when(F.col("reply") == REFUSED, "").otherwise(F.col("reply"))
+    first = F.trim(F.split_part(said, F.lit("\n"), F.lit(1)))
     return alone.unionByName(talked.select("conv_id", "turn", F.col("text").alias("asked"), F.when(first == "", F.col("text")).otherwise(first).alias("question")))
 
 
 def listwise(candidates: DataFrame, depth: int = 20, generator: Generator = lambda systems, users: users.map(lambda u: "2, 1")) -> DataFrame:
-    """question_id, chunk_id, rank, new_rank, new_score (1 / new rank): the first ``depth`` in the order of a reply that names their numbers.
+    """question_id, chunk_id, rank, new_rank, new_score (1 / new rank), refused: the first ``depth`` in the order of a reply that names their numbers, the others below them as they were.
 
-    ``candidates``: question_id, question, chunk_id, rank, text.
+    ``candidates``: question_id, question, chunk_id, rank, text.  After a refusal the
+    order stays.
     """
-    head = candidates.where(F.col("rank") <= depth)
-    numbered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("]\n"), F.trim(x["text"]))), "\n\n")
+    head = candidates.where(F.col("rank") <= depth).withColumn("number", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
+    numbered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: F.concat(F.lit("["), x["number"].cast("string"), F.lit("]\n"), F.trim(x["text"]))), "\n\n")
     asked = head.groupBy("question_id").agg(F.concat(numbered, F.lit("\n\nQuestion: "), F.first("question")).alias("user"), F.count("*").cast("int").alias("n")).withColumn("system", F.lit("Order the passages by relevance."))
-    order = query.parse_ranking(generate(asked, "listwise", generator).select("question_id", "reply", "n"))
-    return head.join(order.select("question_id", (F.col("passage") + 1).alias("rank"), F.col("place").alias("new_rank")), ["question_id", "rank"]).select("question_id", "chunk_id", "rank", "new_rank", (1.0 / F.col("new_rank")).alias("new_score"))
+    replies = generate(asked, "listwise", tolerant(generator)).select("question_id", F.when(F.col("reply") == REFUSED, "").otherwise(F.col("reply")).alias("reply"), "n", (F.col("reply") == REFUSED).alias("refused"))
+    order = query.parse_ranking(replies.select("question_id", "reply", "n")).join(replies.select("question_id", "refused"), "question_id")
+    placed = head.join(order.select("question_id", "refused", (F.col("passage") + 1).alias("number"), F.col("place").alias("new_rank")), ["question_id", "number"])
+    rest = candidates.where(F.col("rank") > depth).withColumns({"new_rank": F.col("rank"), "refused": F.lit(False)})
+    out = placed.select("question_id", "chunk_id", "rank", "new_rank", "refused").unionByName(rest.select("question_id", "chunk_id", "rank", "new_rank", "refused"))
+    return out.select("question_id", "chunk_id", "rank", "new_rank", (1.0 / F.col("new_rank")).alias("new_score"), "refused")
 
 
 def judge(answers: DataFrame, generator: Generator, kind: str = "correctness") -> DataFrame:
@@ -149,6 +206,18 @@ def answer_scores(rows: DataFrame) -> DataFrame:
     return rows.select("question_id", F.explode(pairs).alias("x")).select("question_id", "x.metric", "x.value").where("value is not null")
 
 
+class TooExpensive(RuntimeError):
+    """An estimate is above what the caller allows."""
+
+
+def confirmed(estimated: DataFrame, limit: float) -> dict:
+    """The estimate's row, or TooExpensive if its cost is above ``limit``."""
+    row = estimated.first().asDict()
+    if row["cost"] > limit:
+        raise TooExpensive(f"{row['calls']} calls would cost {row['cost']:.2f}, above {limit:.2f}")
+    return row
+
+
 def estimate(requests: DataFrame, cache: DataFrame, prices: DataFrame, model: str, output_tokens: int = 100) -> DataFrame:
     """One row: calls, input_tokens, cost of the requests (key, tokens) that the cache lacks, before they are made."""
     one = tables.misses(requests, cache).agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("input_tokens"))

@@ -16,20 +16,19 @@ LEAST_WORDS = 5
 
 
 def clauses(question: str) -> list[str]:
-    """Parts between commas and joining words; a short part stays with the one before, a short first part with the next."""
-    edges = [(m.start(), m.end()) for m in CLAUSE.finditer(question)]
-    starts = [0, *(e for _, e in edges)]
-    ends = [*(s for s, _ in edges), len(question)]
-    short = lambda a, b: len(question[a:b].split()) < LEAST_WORDS
-    out: list[tuple[int, int]] = []
-    for a, b in zip(starts, ends, strict=True):
-        if out and short(a, b):
-            out[-1] = (out[-1][0], b)
-        elif question[a:b].strip():
-            out.append((a, b))
-    if len(out) > 1 and short(*out[0]):
-        out[:2] = [(out[0][0], out[1][1])]
-    return [question[a:b].strip() for a, b in out]
+    """Parts between commas and joining words.
+
+    A part begins a clause if it has LEAST_WORDS words; the first part that is not
+    blank begins one in any case, but if that clause stays short it takes the next
+    one in.
+    """
+    breaks = list(CLAUSE.finditer(question))
+    begins, ends = [0, *(m.end() for m in breaks)], [*(m.start() for m in breaks), len(question)]
+    words = [len(question[a:b].split()) for a, b in zip(begins, ends, strict=True)]
+    heads = [k for k, n in enumerate(words) if n >= LEAST_WORDS or n and not any(words[:k])]
+    if len(heads) > 1 and len(question[begins[heads[0]] : ends[heads[1] - 1]].split()) < LEAST_WORDS:
+        del heads[1]
+    return [question[begins[a] : ends[b - 1]].strip() for a, b in zip(heads, [*heads[1:], len(words)], strict=False)]
 
 
 def split_clauses(questions: DataFrame, limit: int | None = None) -> DataFrame:

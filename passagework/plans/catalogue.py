@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, evaluation, passages, preparation, retrieval
+from . import comparison, evaluation, passages, preparation, retrieval, studies
 
-ENTRIES: dict[str, tuple] = {**retrieval.ENTRIES, **passages.ENTRIES, **evaluation.ENTRIES, **preparation.ENTRIES, **comparison.ENTRIES}
+ENTRIES: dict[str, tuple] = {**retrieval.ENTRIES, **passages.ENTRIES, **evaluation.ENTRIES, **preparation.ENTRIES, **comparison.ENTRIES, **studies.ENTRIES}
 
 
 def queries() -> dict:

@@ -7,14 +7,16 @@ questions at once.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stemming
 from ..functions import text as T
-from ..operators import chunking, context, dense, fusion, metrics, models, query, rerank, sparse
+from ..operators import chunking, context, dataset, dense, embedding, fusion, metrics, models, query, rerank, sparse, stats
 from ..sources import tables
 
 
@@ -41,13 +43,52 @@ for _kind in chunking.LEVELS:
     registry.add("chunker", _kind, lambda size=512, overlap=0, _kind=_kind: lambda d: chunking.structure_chunks(d, _kind, size, overlap))
 registry.add("chunker", "semantic", lambda **settings: lambda d: chunking.semantic(d, **settings))
 registry.add("chunker", "parent_child", lambda **settings: lambda d: chunking.parent_child(d, **settings))
+registry.add("embedder", "hashing", embedding.hashing)
+for _kind in ("dense", "sparse", "hybrid"):
+    registry.add("retriever", _kind, lambda _kind=_kind, **settings: Retriever(_kind, **settings))
+registry.add("context", "assembler", lambda **settings: lambda chunks, documents, top_k, vectors: context.assemble(chunks, documents, top_k, vectors=vectors, **settings))
+registry.add("followup", "standalone", lambda turns=3, generator=models.echo: lambda rows: models.standalone(rows, turns, generator))
+registry.add("store", "parquet", lambda: tables)
 registry.add("generator", "echo", lambda: models.echo)
-registry.add("reranker", "overlap", lambda: rerank.overlap_scorer)
+registry.add("reranker", "overlap", lambda: lambda pairs: rerank.score_pairs(pairs, scorer=rerank.overlap_scorer))
+registry.add("reranker", "cross_encoder", lambda scorer, batch=32: lambda pairs: rerank.cross_encoded(pairs, scorer, batch=batch)[0])
 for _kind in models.TRANSFORMS:
     registry.add("query_transform", _kind, lambda _kind=_kind, **settings: lambda q: models.transform(q, _kind, **settings))
 registry.add("query_transform", "clauses", lambda limit=None: lambda q: query.split_clauses(q, limit).select("question_id", "query_no", "text", "role"))
 
 
+@dataclass(frozen=True)
+class Retriever:
+    """What a search is made of.
+
+    ``stopwords``: they are left out; ``stems``: words are stemmed; ``header``: title,
+    source and date are indexed with the text (chunks with such columns); ``method``:
+    rrf (with ``fusion_k``), minmax or zscore (with ``weights`` of the dense and the
+    sparse list).
+    """
+
+    kind: str = "hybrid"
+    depth: int = 200
+    k1: float = 1.2
+    b: float = 0.75
+    stopwords: bool = False
+    stems: bool = False
+    header: bool = False
+    method: str = "rrf"
+    fusion_k: float = 60.0
+    weights: tuple[float, float] = (0.5, 0.5)
+
+    def __post_init__(self):
+        if self.method not in ("rrf", "minmax", "zscore"):
+            raise ValueError(f"{self.method}: known are rrf, minmax and zscore")
+
+    def fused(self, lists: DataFrame, k: int) -> DataFrame:
+        weights = dict(enumerate(map(float, self.weights)))
+        if self.method == "rrf":
+            return fusion.reciprocal_rank(lists, "chunk_id", self.fusion_k, top=k)
+        return fusion.weighted(lists, "chunk_id", weights, self.method, k)
+
+
 @dataclass(frozen=True)
 class Component:
     name: str
@@ -59,40 +100,44 @@ class Settings:
     """What a pipeline is made of; unknown keys are an error."""
 
     chunker: Component = Component("recursive", {"size": 128})
-    retriever: str = "hybrid"
-    dimensions: int = 256
-    depth: int = 200
+    embedder: Component = Component("hashing", {"dimensions": 256})
+    retriever: Component = Component("hybrid")
     top_k: int = 5
     overfetch: int = 1
     query_transform: Component | None = None
-    routing: models.Routing = models.Routing()
+    routing: models.Routing | None = None  # None: the transformation's own
     reranker: Component | None = None
     rerank_depth: int = 20
-    pool: int | None = None
-    budget: int | None = None
-    order: str = "rank"
+    rerank_header: bool = False
+    context: Component = Component("assembler")
     generator: Component = Component("echo")
 
+    @property
+    def pool(self) -> int:
+        """What the context may choose from, and so how many ranks are needed."""
+        return max(self.top_k, self.context.params.get("pool") or 0)
+
     @classmethod
     def load(cls, text: str) -> Settings:
         raw = json.loads(text)
         unknown = set(raw) - set(cls.__dataclass_fields__)
         if unknown:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-        for key in ("chunker", "query_transform", "reranker", "generator"):
+        for key in ("chunker", "embedder", "retriever", "query_transform", "reranker", "context", "generator"):
             if raw.get(key):
-                raw[key] = Component(**raw[key])
+                raw[key] = Component(raw[key]) if isinstance(raw[key], str) else Component(**raw[key])
         if raw.get("routing"):
             raw["routing"] = models.Routing(**raw["routing"])
         return cls(**raw)
 
     def index_settings(self) -> dict:
         """What an index depends on."""
-        return {"chunker": asdict(self.chunker), "dimensions": self.dimensions}
+        return {"chunker": asdict(self.chunker), "embedder": asdict(self.embedder)}
 
 
 def ingest(documents: DataFrame, settings: Settings, index_path: str) -> dict:
-    """Cut the documents that the index lacks and append them; counters of what was done."""
+    """Cut the documents that the index lacks and append them; counters of what was done, also kept beside the index."""
+    began = time.time()
     spark = documents.sparkSession
     cut = registry.make("chunker", settings.chunker.name, **settings.chunker.params)
     documents = documents.dropDuplicates(["doc_id"])
@@ -109,91 +154,172 @@ def ingest(documents: DataFrame, settings: Settings, index_path: str) -> dict:
     else:
         chunks.write.mode("append").parquet(f"{index_path}/rows")
     counted = chunks.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents")).first()
-    return {"documents": counted["documents"], "chunks": counted["chunks"]}
-
+    done = {"documents": counted["documents"], "chunks": counted["chunks"]}
+    spark.createDataFrame([(*done.values(), time.time() - began)], "documents long, chunks long, seconds double").coalesce(1).write.mode("append").json(f"{index_path}/ingest")
+    return done
 
-def embedded(rows: DataFrame, key: str, text, dimensions: int) -> DataFrame:
-    """key, vector: the stand-in for an embedder."""
-    @F.pandas_udf("array<double>")
-    def vector(texts):
-        import pandas as pd
 
-        return pd.Series(list(chunking.hashed_vectors([t or "" for t in texts], dimensions)))
-
-    return rows.select(key, vector(text).alias("vector"))
+def searched_text(index: DataFrame, header: bool) -> Column:
+    """What is indexed of a chunk: its own text or the part that stands for it, under its header's line if that is asked for."""
+    body = F.coalesce(F.col("embed_text"), F.col("text")) if "embed_text" in index.columns else F.col("text")
+    if not header:
+        return body
+    own = lambda c: F.col(c).cast("string") if c in index.columns else F.lit(None).cast("string")
+    return T.passage_text(body, T.header(own("title"), own("source"), T.published(own("published_at"))))
 
 
 def search(queries: DataFrame, index: DataFrame, settings: Settings, k: int) -> DataFrame:
-    """question_id, chunk_id, rank, score of each query text (question_id, text), dense, sparse or both fused."""
-    body = F.coalesce(F.col("embed_text"), F.col("text")) if "embed_text" in index.columns else F.col("text")
-    depth = max(settings.depth, k)
+    """question_id, chunk_id, rank, score of each query text (question_id, text and, if there is one, role), dense, sparse or both fused.
+
+    A made-up answer passage (role hypothetical) is embedded as a passage.
+    """
+    own = registry.make("retriever", settings.retriever.name, **settings.retriever.params)
+    depth = max(own.depth, k) if own.kind == "hybrid" else k
+    body = searched_text(index, own.header)
     lists = []
-    if settings.retriever in ("dense", "hybrid"):
-        lists.append(dense.cosine_top(embedded(queries, "question_id", F.col("text"), settings.dimensions), embedded(index, "chunk_id", body, settings.dimensions), depth, key="chunk_id"))
-    if settings.retriever in ("sparse", "hybrid"):
-        asked = queries.select("question_id", T.terms(F.col("text")).alias("terms"))
-        lists.append(sparse.search(asked, index, "chunk_id", T.terms(body), depth).select("question_id", "chunk_id", "score", "rank"))
-    if not lists:
-        raise ValueError("retriever is dense, sparse or hybrid")
+    if own.kind in ("dense", "hybrid"):
+        embedder = registry.make("embedder", settings.embedder.name, **settings.embedder.params)
+        made_up = F.col("role") == "hypothetical" if "role" in queries.columns else F.lit(False)
+        asked = embedding.embedded(queries.where(~made_up), "question_id", F.col("text"), embedder, "query")[0]
+        if "role" in queries.columns:
+            asked = asked.unionByName(embedding.embedded(queries.where(made_up), "question_id", F.col("text"), embedder)[0])
+        passages, _ = embedding.embedded(index.select("chunk_id", body.alias("_body")), "chunk_id", F.col("_body"), embedder)
+        lists.append(dense.cosine_top(asked, passages, depth, key="chunk_id"))
+    if own.kind in ("sparse", "hybrid"):
+        asked = queries.select("question_id", T.terms(F.col("text"), own.stopwords).alias("terms"))
+        lists.append(sparse.search(asked, index, "chunk_id", T.terms(body, own.stopwords), depth, own.k1, own.b, stemming.stem if own.stems else None).select("question_id", "chunk_id", "score", "rank"))
     if len(lists) == 1:
         return lists[0].where(F.col("rank") <= k)
-    both = lists[0].withColumn("list_no", F.lit(0)).unionByName(lists[1].withColumn("list_no", F.lit(1)))
-    return fusion.reciprocal_rank(both, "chunk_id", top=k)
+    return own.fused(lists[0].withColumn("list_no", F.lit(0)).unionByName(lists[1].withColumn("list_no", F.lit(1))), k)
 
 
-def first_stage(questions: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
-    """question_id, chunk_id, rank, score with the chunk's columns; queries are transformed, searched, combined and equal spans collapsed."""
-    fetch = max(settings.top_k, settings.pool or 0, settings.rerank_depth if settings.reranker else 0)
+def transformed(questions: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The queries that are searched with, and those that are reranked with: question_id, query_no, text, role."""
     own = questions.select("question_id", F.lit(1).alias("query_no"), F.col("question").alias("text"), F.lit("original").alias("role"))
-    routed = own
-    if settings.query_transform:
-        made = registry.make("query_transform", settings.query_transform.name, **settings.query_transform.params)(questions)
-        routed = query.route(own, made, settings.routing.retrieve_with)
-        fetch_each = max(fetch, settings.routing.depth)
-    else:
-        fetch_each = fetch
-    texts = routed.select(F.struct("question_id", "query_no").alias("pair"), "text")
-    named = texts.select(F.concat_ws("\0", F.col("pair.query_no").cast("string"), F.col("pair.question_id").cast("string")).alias("question_id"), "text", "pair")
-    found = search(named.select("question_id", "text"), index, settings, fetch_each * settings.overfetch)
-    lists = found.join(named.select("question_id", "pair"), "question_id").select("pair.question_id", F.col("pair.query_no").alias("list_no"), "chunk_id", "rank", "score")
     if not settings.query_transform:
+        return own, own
+    routing = models.routing_of(settings.query_transform.name, settings.routing)
+    made = registry.make("query_transform", settings.query_transform.name, **settings.query_transform.params)(questions)
+    made = tables.checkpointed(made.select("question_id", "query_no", "text", "role"))  # model calls; read for both routes
+    return query.route(own, made, routing.retrieve_with), query.route(own, made, routing.rerank_with)
+
+
+def first_stage(questions: DataFrame, index: DataFrame, settings: Settings, routed: DataFrame | None = None) -> DataFrame:
+    """question_id, chunk_id, rank, score with the chunk's columns; queries are transformed, searched, combined and equal spans collapsed."""
+    fetch = max(settings.pool, settings.rerank_depth if settings.reranker else 0)
+    routing = models.routing_of(settings.query_transform.name, settings.routing) if settings.query_transform else None
+    routed = transformed(questions, settings)[0] if routed is None else routed
+    each = max(fetch, routing.depth) if routing else fetch
+    pair = F.struct("question_id", "query_no")
+    named = routed.select(F.concat_ws("\0", F.col("query_no").cast("string"), F.col("question_id").cast("string")).alias("_name"), pair.alias("pair"), "text", "role")
+    found = search(named.select(F.col("_name").alias("question_id"), "text", "role"), index, settings, each * settings.overfetch)
+    lists = found.join(named.select(F.col("_name").alias("question_id"), "pair"), "question_id").select("pair.question_id", F.col("pair.query_no").alias("list_no"), "chunk_id", "rank", "score")
+    if not routing:
         combined = lists.drop("list_no")
-    elif settings.routing.combine == "rrf":
-        combined = fusion.reciprocal_rank(lists, "chunk_id", settings.routing.combine_k)
+    elif routing.combine == "rrf":
+        combined = fusion.reciprocal_rank(lists, "chunk_id", routing.combine_k)
     else:
         combined = fusion.round_robin(lists, "chunk_id")
     rows = combined.join(index, "chunk_id")
     return fusion.collapse(rows, ["doc_id", "start_char", "end_char"]).where(F.col("rank") <= fetch)
 
 
-def reranked(candidates: DataFrame, questions: DataFrame, settings: Settings) -> DataFrame:
-    """Candidates with their new rank, cut at what the context needs."""
-    keep = max(settings.top_k, settings.pool or 0)
+def reranked(candidates: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame:
+    """Candidates with their new rank, cut at what the context needs.
+
+    ``queries``: question_id, query_no, text.  Each query scores the first
+    ``rerank_depth`` on its own; several orders of a question are merged by the
+    best score or interleaved.  The others stay below in their old order.
+    """
     if not settings.reranker:
-        return candidates.where(F.col("rank") <= keep)
+        return candidates.where(F.col("rank") <= settings.pool)
+    routing = models.routing_of(settings.query_transform.name if settings.query_transform else "", settings.routing)
     scorer = registry.make("reranker", settings.reranker.name, **settings.reranker.params)
-    pairs = candidates.join(questions.select("question_id", "question"), "question_id").withColumn("passage", F.col("text"))
-    scored = rerank.score_pairs(pairs, scorer=scorer).drop("question", "passage")
-    return rerank.head_and_tail(scored, settings.rerank_depth, keep).drop("rank", "new_score").withColumnRenamed("new_rank", "rank")
-
-
-def ask(questions: DataFrame, documents: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
-    """question_id, question, answer, passages for all questions (question_id, question)."""
-    ranked = reranked(first_stage(questions, index, settings), questions, settings)
-    placed = context.assemble(ranked, documents, settings.top_k, settings.pool, budget=settings.budget, order=settings.order)
-    blocks = context.rendered(placed, "position")
-    prompts = context.prompts(questions, blocks)
+    head = candidates.where(F.col("rank") <= settings.rerank_depth)
+    read = searched_text(candidates, True) if settings.rerank_header else F.col("text")
+    pairs = head.select("question_id", "chunk_id", "rank", read.alias("passage")).join(queries.select("question_id", "query_no", F.col("text").alias("question")), "question_id")
+    scored = scorer(pairs).select("question_id", "query_no", "chunk_id", "rank", "new_score")
+    kind = "best" if routing.rerank_combine == "max" else "round_robin"
+    order = rerank.clause_orders(scored).where(F.col("order") == kind).select("question_id", "chunk_id", F.col("rank").alias("new_rank"), F.col("score").alias("new_score"))
+    top = head.drop("score").join(order, ["question_id", "chunk_id"]).withColumnRenamed("new_score", "score")
+    rest = candidates.where(F.col("rank") > settings.rerank_depth).withColumn("new_rank", F.col("rank"))
+    out = top.unionByName(rest).drop("rank").withColumnRenamed("new_rank", "rank")
+    return out.where(F.col("rank") <= settings.pool)
+
+
+def ranked(questions: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
+    """First stage and reranking."""
+    searched, scored = transformed(questions, settings)
+    return reranked(first_stage(questions, index, settings, searched), scored, settings)
+
+
+def assembled(questions: DataFrame, documents: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
+    """The passages of each question, with ``position``."""
+    vectors = None
+    if settings.context.params.get("mmr_weight") is not None:
+        embedder = registry.make("embedder", settings.embedder.name, **settings.embedder.params)
+        vectors, _ = embedding.embedded(index.select("chunk_id", searched_text(index, False).alias("_body")), "chunk_id", F.col("_body"), embedder)
+    assembler = registry.make("context", settings.context.name, **settings.context.params)
+    return assembler(ranked(questions, index, settings), documents, settings.top_k, vectors)
+
+
+MODES = ("retrieved", "gold", "closed_book", "guesser")
+
+
+def ask(questions: DataFrame, documents: DataFrame, index: DataFrame, settings: Settings, mode: str = "retrieved", gold: DataFrame | None = None) -> DataFrame:
+    """question_id, question, answer, passages for all questions (question_id, question).
+
+    ``mode``: ``retrieved``; ``gold`` (the gold spans are the passages); ``closed_book``
+    (no passages); ``guesser`` (the most common answer of the question's type; needs
+    question_type and answer).
+    """
+    if mode not in MODES:
+        raise ValueError(f"{mode}: known are {', '.join(MODES)}")
+    if mode == "guesser":
+        guess = dataset.modal(questions, "question_type", F.col("answer"), "question_id").select("question_type", F.col("answer").alias("_guess"))
+        return questions.join(guess, "question_type").select("question_id", "question", F.col("_guess").alias("answer"), F.lit(None).cast("string").alias("passages"))
+    blocks = None
+    with_header = bool(settings.context.params.get("header"))
+    if mode == "retrieved":
+        blocks = context.rendered(assembled(questions, documents, index, settings), "position", F.col("header"))
+    elif mode == "gold":
+        spans = gold.join(documents.select("doc_id", "text"), "doc_id").withColumns({"rank": F.col("span_no") + 1, "text": F.substring(F.col("text"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))})
+        blocks = context.rendered(context.wrapped(spans, documents, with_header), "position", F.col("header"))
+    requests = context.prompts(questions, blocks, with_header)
     generator = registry.make("generator", settings.generator.name, **settings.generator.params)
-    answers = models.generate(prompts, settings.generator.name, generator).select("question_id", F.col("reply").alias("answer"))
-    return questions.join(answers, "question_id").join(blocks, "question_id")
-
-
-def evaluate(questions: DataFrame, gold: DataFrame, index: DataFrame, settings: Settings, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """question_id, metric, value of the ranking against gold spans."""
-    ranked = tables.checkpointed(reranked(first_stage(questions, index, settings), questions, settings).select("question_id", "rank", "chunk_id", "doc_id", "start_char", "end_char"))
-    spans = metrics.span_scores(metrics.gold_ranks(ranked, gold), ks)
-    totals = metrics.count_relevant(index, gold)
-    return spans.unionByName(metrics.long_format(metrics.rank_scores(metrics.relevance(ranked, gold), totals)))
+    answers = models.generate(requests, settings.generator.name, generator).select("question_id", F.col("reply").alias("answer"))
+    out = questions.select("question_id", "question").join(answers, "question_id")
+    return out.withColumn("passages", F.lit(None).cast("string")) if blocks is None else out.join(blocks, "question_id")
+
+
+def evaluate(questions: DataFrame, gold: DataFrame, index: DataFrame, settings: Settings, ks: tuple[int, ...] = (1, 5, 10), budget: int | None = None, documents: DataFrame | None = None, rank_k: int = 10) -> DataFrame:
+    """question_id, metric, value of the ranking against gold spans.
+
+    With ``budget`` also what that many tokens hold; with ``documents`` also what the
+    assembled context holds.
+    """
+    columns = ["question_id", "rank", "score", "chunk_id", "doc_id", "start_char", "end_char", "text"]
+    found = tables.checkpointed(ranked(questions, index, settings).select(columns))
+    out = metrics.span_scores(metrics.gold_ranks(found, gold), ks)
+    held = index.join(gold.select("doc_id").distinct(), "doc_id", "left_semi")
+    totals = metrics.count_relevant(held, gold)
+    out = out.unionByName(metrics.long_format(metrics.rank_scores(metrics.relevance(found, gold), totals, rank_k)))
+    if budget is not None:
+        kept = metrics.within_budget(found, context.token_count(F.col("text")), budget)
+        ranges = kept.withColumn("end_char", F.col("start_char") + metrics.cut_to_tokens(F.col("text"), F.col("tokens_kept")))
+        own = metrics.budget_scores(ranges, gold).select("question_id", F.col("recall").alias(f"recall@{budget}tok"), F.col("precision").alias(f"precision@{budget}tok"))
+        out = out.unionByName(metrics.long_format(own))
+    if documents is not None:
+        placed = tables.checkpointed(assembled(questions, documents, index, settings))
+        out = out.unionByName(metrics.context_scores(placed, context.contents(placed), gold))
+    return out
+
+
+def summary(scores: DataFrame, clusters: DataFrame, groups: DataFrame | None = None, group: str | None = None, samples: int = 2000, seed: int = 0) -> DataFrame:
+    """metric (and group) with mean, low, high, n: means with cluster-bootstrap intervals.  ``clusters``: question_id, cluster."""
+    rows = scores.join(clusters, "question_id")
+    rows = rows.join(groups, "question_id") if groups is not None else rows
+    return stats.bootstrap(rows, ["metric", *([group] if group else [])], "cluster", "value", samples, seed)
 
 
 def guard_split(path: str, allowed: bool = False) -> None:
@@ -209,8 +335,8 @@ def run_name(name: str, mode: str = "retrieved", sample: int = 0) -> str:
     return "-".join([name, *([mode] if mode != "retrieved" else []), *([f"r{sample}"] if sample else [])])
 
 
-def save_run(scores: DataFrame, folder: str, settings: Settings, answered: bool = False) -> None:
-    """Long metrics and settings; a run without answers does not replace one that has them."""
+def save_run(scores: DataFrame, folder: str, settings: Settings, answered: bool = False, rows: DataFrame | None = None) -> None:
+    """Long metrics, settings and, if given, a row per question; a run without answers does not replace one that has them."""
     spark = scores.sparkSession
     try:
         before = spark.read.json(f"{folder}/meta").first()
@@ -220,6 +346,8 @@ def save_run(scores: DataFrame, folder: str, settings: Settings, answered: bool
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     scores.write.mode("overwrite").parquet(f"{folder}/scores")
+    if rows is not None:
+        tables.write_jsonl(rows, f"{folder}/questions.jsonl")
     spark.createDataFrame([(json.dumps(asdict(settings), sort_keys=True), answered)], "settings string, answered boolean").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
 

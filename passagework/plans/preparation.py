@@ -21,20 +21,22 @@ def entry(name: str, sql: str | None = None):
     return add
 
 
-#: Documents are questions here and the hash of their first thirty characters is the span that they share.
-SPANS = "e AS (SELECT doc_id AS question_id, md5(left(text, 30)) AS span FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, 'length ' || n_chars FROM documents WHERE n_chars % 37 = 0)"
+#: Documents are questions here and their lines, lower-cased and trimmed, are the spans that they share.
+SPANS = r"e AS (SELECT DISTINCT question_id, md5(line) AS span FROM (SELECT doc_id AS question_id, unnest(list_transform(string_split(lower(text), chr(10)), lambda x: trim(x))) AS line FROM documents) WHERE line <> '')"
 
 
 def _evidence(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
-    first = rows.where(F.length("text") > 0).select(F.col("doc_id").alias("question_id"), F.md5(F.substring("text", 1, 30).cast("binary")).alias("span"))
-    second = rows.where("n_chars % 37 = 0").select(F.col("doc_id").alias("question_id"), F.concat(F.lit("length "), F.col("n_chars").cast("string")).alias("span"))
-    return first.unionByName(second), rows.select(F.col("doc_id").alias("question_id"))
+    lines = rows.select(F.col("doc_id").alias("question_id"), F.explode(F.split(F.lower("text"), "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
+    return lines.select("question_id", F.md5(F.col("line").cast("binary")).alias("span")).distinct(), rows.select(F.col("doc_id").alias("question_id"))
 
 
-CLUSTERS = f"""RECURSIVE {SPANS}, pairs AS (SELECT DISTINCT a.question_id AS x, b.question_id AS y FROM e a JOIN e b USING (span)),
-walk AS (SELECT doc_id AS question_id, doc_id AS seen FROM documents UNION SELECT w.question_id, p.y FROM walk w JOIN pairs p ON p.x = w.seen),
-clusters AS (SELECT question_id, min(seen) AS cluster FROM walk GROUP BY question_id)"""
+#: Labels (the smallest question reached) move over shared spans; each round looks at what the one before changed.
+CLUSTERS = f"""RECURSIVE {SPANS}, clusters(question_id, cluster) USING KEY (question_id) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT question_id, m FROM (SELECT e.question_id, min(s.m) AS m FROM (SELECT span, min(cluster) AS m FROM clusters JOIN e USING (question_id) GROUP BY span) s JOIN e USING (span) GROUP BY e.question_id) near
+  JOIN (SELECT question_id, cluster FROM recurring.clusters) known USING (question_id) WHERE m < cluster)"""
 
 
 @entry("evidence_clusters", f"WITH {CLUSTERS} SELECT question_id, cluster FROM clusters")
@@ -72,10 +74,10 @@ def cap_per_cluster(spark, sf_dir):
     return dataset.capped(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source", 5).select("doc_id", "source")
 
 
-@entry("modal_guess", "WITH c AS (SELECT lang, split_part(trim(text), ' ', 1) AS answer, count(*) AS n, min(doc_id) AS seen FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, seen) AS k FROM c) SELECT lang, answer, n FROM r WHERE k = 1")
+@entry("modal_guess", "WITH c AS (SELECT lang, source AS answer, count(*) AS n, min(doc_id) AS seen FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, seen) AS k FROM c) SELECT lang, answer, n FROM r WHERE k = 1")
 def modal_guess(spark, sf_dir):
-    """The most common first word of each language."""
-    return dataset.modal(table(spark, sf_dir, "documents"), "lang", F.split_part(F.trim("text"), F.lit(" "), F.lit(1)), "doc_id")
+    """The most common source of each language."""
+    return dataset.modal(table(spark, sf_dir, "documents"), "lang", F.col("source"), "doc_id")
 
 
 @entry("answer_form", "SELECT CASE WHEN lower(trim(answer)) IN ('yes', 'no') THEN 'yes/no' WHEN starts_with(lower(trim(answer)), 'insufficient information') THEN 'insufficient information' ELSE 'entity' END AS form, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN ' Yes' WHEN 1 THEN 'Insufficient information.' WHEN 2 THEN 'no' ELSE source END AS answer FROM documents) GROUP BY ALL")
@@ -136,11 +138,22 @@ def parse_ranking(spark, sf_dir):
     return query.parse_ranking(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), reply.alias("reply"), F.lit(8).alias("n")))
 
 
-@entry("parse_lines")
+PARSED = r"""WITH t AS (SELECT conv_id || ':' || turn AS question_id, string_split(text, chr(10)) AS x FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT question_id, array_to_string(list_concat(list_transform(x, lambda t, i: i || '. "' || t || '"'), ['- ' || replace(x[1], ' ', '  ')]), chr(10)) AS reply FROM t),
+n AS (SELECT question_id, unnest(l) AS raw, unnest(range(0, len(l))) AS pos FROM (SELECT question_id, string_split_regex(reply, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]') AS l FROM r)),
+b AS (SELECT question_id, pos, trim(regexp_replace(regexp_replace(trim(raw), '^\s*(?:[-*•]+|\(?\d+[.):]|[Qq]\d+[.):])\s*', ''), '(?i)^(?:(?:rewritten|search|sub)[- ]?)?(?:query|question|passage|phrasing)\s*\d*\s*:\s*', '')) AS bare FROM n),
+c AS (SELECT question_id, pos, CASE WHEN length(bare) > 1 AND contains('"''“”‘’`', bare[1]) AND contains('"''“”‘’`', bare[length(bare)]) THEN trim(substring(bare, 2, length(bare) - 2)) ELSE bare END AS text FROM b),
+k AS (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS key FROM c WHERE text <> ''),
+f AS (SELECT question_id, key, min(pos) AS pos, arg_min(text, pos) AS text, count(*) AS times FROM k GROUP BY question_id, key),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS query_no, sum(times - 1) OVER (PARTITION BY question_id) AS repeated, greatest(0, count(*) OVER (PARTITION BY question_id) - 3) AS extra FROM f)
+SELECT question_id, query_no::INTEGER AS query_no, text, repeated::BIGINT AS repeated, extra::BIGINT AS extra FROM o WHERE query_no <= 3"""
+
+
+@entry("parse_lines", PARSED)
 def parse_lines(spark, sf_dir):
-    """First turns as replies: their lines numbered and quoted, some twice."""
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.split("text", "\n").alias("x"))
-    reply = F.array_join(F.concat(F.transform("x", lambda t, i: F.concat((i + 1).cast("string"), F.lit(". \""), t, F.lit('"'))), F.transform(F.slice("x", 1, 1), lambda t: F.concat(F.lit("- "), F.upper(t)))), "\n")
+    """Every turn as a reply: its lines numbered and quoted, the first once more; the limit of three lines is the feature."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.split("text", "\n").alias("x"))
+    reply = F.array_join(F.concat(F.transform("x", lambda t, i: F.concat((i + 1).cast("string"), F.lit(". \""), t, F.lit('"'))), F.transform(F.slice("x", 1, 1), lambda t: F.concat(F.lit("- "), F.replace(t, F.lit(" "), F.lit("  "))))), "\n")
     return query.parse_lines(rows.select("question_id", reply.alias("reply")), 3)
 
 
@@ -150,7 +163,7 @@ def parse_verdict(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(T.verdict(reply, "correct", "incorrect").cast("string"), F.lit("unreadable")).alias("verdict"))
 
 
-@entry("header_dates", "SELECT o_orderkey, o_orderpriority || '. ' || o_orderstatus || ', ' || strftime(o_orderdate, '%B %-d, %Y') || '.' AS header FROM orders WHERE o_orderkey < 2000")
+@entry("header_dates", "SELECT o_orderkey, o_orderpriority || '. ' || o_orderstatus || ', ' || strftime(o_orderdate, '%B %-d, %Y') || '.' AS header FROM orders")
 def header_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.prompt_header(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderdate")).alias("header"))
 

@@ -25,9 +25,11 @@ def asked(spark):
 
 @pytest.mark.parametrize("settings", [
     Settings(top_k=2),
-    Settings(retriever="sparse", top_k=2, reranker=Component("overlap"), order="edges"),
-    Settings(retriever="dense", top_k=2, query_transform=Component("clauses"), budget=20),
-    Settings(top_k=2, query_transform=Component("decompose"), routing=models.Routing(retrieve_with="both", combine="round_robin")),
+    Settings(retriever=Component("sparse", {"stopwords": True, "stems": True, "k1": 0.8, "b": 1.0}), top_k=2, reranker=Component("overlap"), context=Component("assembler", {"order": "edges"})),
+    Settings(retriever=Component("dense"), top_k=2, query_transform=Component("clauses"), context=Component("assembler", {"budget": 20, "mmr_weight": 0.7, "pool": 4})),
+    Settings(top_k=2, query_transform=Component("decompose"), routing=models.Routing(retrieve_with="both", rerank_with="both", combine="round_robin", rerank_combine="max"), reranker=Component("overlap")),
+    Settings(top_k=2, retriever=Component("hybrid", {"method": "minmax", "weights": (0.3, 0.7)}), query_transform=Component("multi_query")),
+    Settings(top_k=2, query_transform=Component("hyde")),
 ])
 def test_ask(spark, index, settings):
     docs, rows, _ = index
@@ -39,7 +41,7 @@ def test_ask(spark, index, settings):
 def test_evaluate(spark, index):
     _, rows, _ = index
     gold = spark.createDataFrame([("q1", 0, 1, 0, 32), ("q2", 0, 2, 0, 36)], "question_id string, span_no int, doc_id int, start_char int, end_char int")
-    got = {(r[0], r[1]): r[2] for r in pipeline.evaluate(asked(spark), gold, rows, Settings(retriever="sparse", top_k=3)).collect()}
+    got = {(r[0], r[1]): r[2] for r in pipeline.evaluate(asked(spark), gold, rows, Settings(retriever=Component("sparse"), top_k=3)).collect()}
     assert got[("q1", "recall@5")] == 1.0 and got[("q2", "mrr")] == 0.5
 
 
@@ -53,6 +55,10 @@ def test_settings(spark, index, tmp_path):
         pipeline.registry.add("chunker", "fixed", None)
     with pytest.raises(pipeline.tables.IndexMismatch):
         pipeline.ingest(index[0], Settings(), index[2])
+    with pytest.raises(ValueError):
+        pipeline.registry.make("retriever", "hybrid", method="sum")
+    assert Settings.load('{"retriever": "sparse", "context": {"name": "assembler", "params": {"pool": 9}}}').pool == 9
+    assert spark.read.json(f"{index[2]}/ingest").agg(F.sum("documents"), F.sum("chunks")).first()[:] == (3, 6)
     with pytest.raises(PermissionError):
         pipeline.guard_split("data/questions_test_final.jsonl")
     assert [pipeline.run_name("a"), pipeline.run_name("a", "gold", 2), pipeline.run_name("a", "guesser")] == ["a", "a-gold-r2", "guesser"]

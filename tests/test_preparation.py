@@ -98,6 +98,12 @@ def test_sources(spark, tmp_path):
     raw.write_text(json.dumps([{"body": "één", "title": "T", "url": "u"}, {"body": "two"}]))
     docs = tables.raw_documents(spark, str(raw)).orderBy("doc_id").collect()
     assert [(d["doc_id"], d["text"], d["metadata"]["title"]) for d in docs] == [("doc_0000", "één", "T"), ("doc_0001", "two", None)]
+    asked = tmp_path / "questions.json"
+    asked.write_text(json.dumps([{"query": "who?", "answer": "x", "question_type": "inference", "evidence_list": [{"url": "u", "title": "T", "fact": "f"}]}, {"query": "why?"}]))
+    got = tables.raw_questions(spark, str(asked)).orderBy("question_id").collect()
+    assert [(r["question_id"], r["query"], r["evidence_list"] and r["evidence_list"][0]["fact"]) for r in got] == [("q_0000", "who?", "f"), ("q_0001", "why?", None)]
+    tables.write_metrics(spark.createDataFrame([("r", "recall", 1234.5, 0.25)], "run string, metric string, mean double, low double"), str(tmp_path / "metrics"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "metrics")).first()["mean"] == "1234.5000"
     sheet = tmp_path / "sheet.csv"
     sheet.write_text("id,human\n1,Yes\n2,n\n3,?\n4,TRUE\n")
     assert {r["id"]: r["label"] for r in tables.read_labels(spark, str(sheet)).collect()} == {"1": True, "2": False, "4": True}

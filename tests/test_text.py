@@ -11,9 +11,9 @@ def one(spark, column, **values):
 
 def test_terms(spark):
     t = F.col("t")
-    assert " ".join(one(spark, T.terms(t), t="Amazon's GPT-4 deal: $1.2 billion in the U.S.")) == "amazon gpt 4 deal 1 2 billion in the u s"
+    assert " ".join(one(spark, T.terms(t), t="Lena's R2-D2 kit (v3.5) cost €40; o'clock")) == "lena r2 d2 kit v3 5 cost 40 o clock"
     assert one(spark, T.terms(t), t=None) == []
-    assert one(spark, T.terms(t, True), t="The ferry and the fog") == ["ferry", "fog"]
+    assert one(spark, T.terms(t, True), t="An owl is on the barn") == ["owl", "barn"]
     assert one(spark, T.terms(t), t="été l’été snake_case") == ["été", "l", "été", "snake", "case"]
 
 
@@ -28,11 +28,11 @@ def test_headers(spark):
 
 def test_answers(spark):
     a, r = F.col("a"), F.col("r")
-    assert one(spark, T.match_verdict(a, r), a="The Spotify!", r="spotify") is True
+    assert one(spark, T.match_verdict(a, r), a="The Orchard, Inc!", r="orchard inc") is True
     assert one(spark, T.match_verdict(a, r), a="Insufficient information.", r="yes") is False
     assert one(spark, T.match_verdict(a, r), a="Yes", r="No") is False
-    assert one(spark, T.match_verdict(a, r), a="Spotify, although the information is partial.", r="no") is None
-    assert one(spark, T.is_abstention(a), a="Half of it. Insufficient information.", r="") is True
+    assert one(spark, T.match_verdict(a, r), a="Orchard, as far as the papers say.", r="no") is None
+    assert one(spark, T.is_abstention(a), a="Some say so. Insufficient information.", r="") is True
 
 
 def test_replies(spark):
@@ -44,6 +44,6 @@ def test_replies(spark):
 
 
 def test_stems(spark):
-    known = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "relational": "relat", "generalization": "gener", "hopefulness": "hope", "adoption": "adopt", "sky": "sky", "filing": "file", "controlling": "control", "by": "by"}
-    got = stemming.stems(spark.createDataFrame([(w,) for w in [*known, "sky", None]], "term string"))
+    known = {"glasses": "glass", "berries": "berri", "decreed": "decre", "planned": "plan", "educational": "educ", "civilization": "civil", "playfulness": "play", "invention": "invent", "dry": "dry", "hiding": "hide", "installing": "instal", "on": "on", "feed": "feed", "sized": "size", "troubled": "troubl", "boss": "boss", "cities": "citi", "electrical": "electr", "falling": "fall", "rates": "rate", "employment": "employ"}
+    got = stemming.stems(spark.createDataFrame([(w,) for w in [*known, "dry", None]], "term string"))
     assert {r["term"]: r["stem"] for r in got.collect()} == known
