@@ -19,14 +19,18 @@ ROW = "_passagework_row"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go.
+
+    A null or empty text has no evidence, and so stays unless the training rows
+    are nearly all toxic; null ids and repeated rows are judged like any other.
+    """
     session_defaults(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.training())
     return toxicity.drop_toxic(docs, model)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go, and with them null, empty and very short texts; null ids and repeated rows are judged like any other."""
     session_defaults(spark)
     return quality.keep_good(docs)
 
@@ -52,14 +56,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def own_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur twice go from the texts; ``n_chars`` follows."""
+    """Passages that occur twice go from the texts; ``n_chars`` follows.
+
+    All rows stay, null texts as they are.  A row that is there twice would lose
+    its text; the stage before keeps one of such rows.
+    """
     session_defaults(spark)
     out = substring.without_repeats(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences."""
+    """The pieces of all documents, in sequences; a null or empty text is its end id alone, and null ids and repeated rows are packed like any other."""
     session_defaults(spark)
     return packing.pack(docs)
 
