@@ -78,7 +78,8 @@ def formatted(df: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role
     Turns are ordered by their number, then role and text; null numbers come
     first.  A null role or text is empty.  Repeated rows are turns of their own, and
     a null conv_id is a conversation like any other.  The rows of a conversation
-    are together and in the order of its segments.
+    are together and in the order of its segments.  Other columns than the four
+    are not read; an empty table gives no rows.
     """
     session_defaults(df.sparkSession)
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

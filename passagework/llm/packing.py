@@ -228,7 +228,10 @@ def pack(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 0,
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A null or empty text is the end id alone.  Rows with a null id and repeated
-    rows are packed like any other; an empty table gives an empty table.
+    rows are packed like any other; an empty table gives an empty table.  Very
+    long texts are encoded whole and cut into pieces; which of several pieces of
+    one length goes where is a tie, and is decided by their order in the table.
+    Other columns than id and text are not read.
     """
     cut = materialize(pieces(df, vocabulary, end_id, id_col, text_col))
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most CAPACITY rows

@@ -23,8 +23,8 @@ from .common import documents, id_and_text
 
 #: Words of which a repeat has at least so many.
 MIN_REPEAT = 8
-#: Per cent of a document's words that repeats may cover, and that its longest repeat may have (if that has LONG_WORDS words).
-MAX_COVERED, MAX_LONGEST, LONG_WORDS = 30, 25, 30
+#: Per cent of a document's words that repeats may cover (the base rule allows 30), and that its longest repeat may have (if that has LONG_WORDS words).
+MAX_COVERED, MAX_LONGEST, LONG_WORDS = 25, 25, 30
 #: Words whose suffixes are sorted together; a longer document is sorted alone.
 SORT_WORDS = 150_000
 SYMBOLS = "#*$%&|<>"
@@ -132,8 +132,10 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id and the columns of ``FIELDS`` for every row.
 
     A null or empty text has no words and fails the base rules.  Rows with a
-    null id and repeated rows are judged like any other.  No shuffle; memory is
-    bounded by one Arrow batch and the suffixes that are sorted together.
+    null id and repeated rows are judged like any other, long texts whole; other
+    columns than id and text are not read, and an empty table gives no rows.  No
+    shuffle; memory is bounded by one Arrow batch and the suffixes that are sorted
+    together.
     """
 
     def run(batches):
@@ -146,7 +148,11 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose text the rules keep."""
+    """The rows of ``df``, all columns, whose text the rules keep.
+
+    A null or empty text has no words and goes.  Rows are judged one by one, so
+    repeated rows go or stay together, and null ids don't matter.
+    """
     at = df.columns.index(text_col)
 
     def run(batches):

@@ -23,7 +23,8 @@ def test_plain_text_is_not_escaped():
 def test_operator(spark):
     rows = [(1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", None), (2, None, None, "x"), (2, 0, "assistant", "y"), (None, 0, "assistant", "z"), (3, 0, "assistant", "s"), (3, 0, "assistant", "s")]
     rows += [(9, i, "assistant" if i % 2 else "user", f"turn {i} é") for i in range(1000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("x", "formatted")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.selectExpr("*", "'clash' as formatted", "1 as segment", "2 as n_turns", "array(1) as loss_spans", "'x' as turns_sha256")
     got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df)).collect()}
     want = {}
     for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1])):

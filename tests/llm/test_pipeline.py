@@ -55,7 +55,7 @@ def test_brute_force(spark, small):
     folder, docs = small
     table = spark.read.parquet(f"{folder}/documents.parquet")
     model = toxicity.fit(table, spark.read.parquet(f"{folder}/labels.parquet"), toxicity.training())
-    scorer = toxicity.Scorer(*model)
+    scorer = toxicity.Scorer(*toxicity.unpacked(model[0]), model[1])
     left = [(d, t) for d, t, *_ in docs if scorer.score(t) < toxicity.THRESHOLD]
     assert 0 < len(left) < len(docs)
     good = [(d, t) for (d, t), m in zip(left, quality.measure([t for _, t in left]), strict=True) if m[-1]]
@@ -105,3 +105,28 @@ def test_one_row_of_each(spark):
     kept = corpus_pipeline.one_of_each(spark, docs, "")
     assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
     assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.own_passages(spark, kept, "").collect()) == want
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows and columns with the operators' names: each stage has a defined result and keeps the columns."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    good = [text(40) for _ in range(24)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(None, text(40)), (90, None), (91, ""), (92, "zzurk " + text(30)), (93, text(9000)), (94, "same line again and again it goes here\n" * 30), (95, good[0]), (3, good[3])]
+    rows += [(100 + i, text(30) + " zzurk wwipp") for i in range(12)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, label int"
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "k", 0.5, 7) for i, t in rows], columns)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i is not None and 100 <= i)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = corpus_pipeline.materialize(stage(spark, frame, str(tmp_path)))
+        assert frame.columns == docs.columns
+        left[name] = Counter((r["doc_id"], r["text"]) for r in frame.collect())
+    assert (90, None) in left["toxicity"] and (91, "") in left["toxicity"] and not any(i is not None and i >= 92 and "zzurk" in (t or "") for i, t in left["toxicity"])
+    ids = Counter(i for i, _ in left["quality"].elements())
+    assert not {90, 91, 94} & set(ids) and ids[3] == 2 and ids[None] == 1 and ids[93] == 1
+    assert Counter(i for i, _ in left["near_duplicates"].elements()) == Counter([*range(24), None, 93])
+    assert left["passages"] == left["near_duplicates"]
+    pieces = corpus_pipeline.packed(spark, frame, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {*range(24), None, 93} and sum(r["piece"] > 0 for r in pieces if r["doc_id"] == 93) > 0

@@ -35,6 +35,18 @@ def test_rules():
     assert quality.measure([distinct])[0][7]
 
 
+def test_each_limit_acts():
+    """Texts that pass the base rules and that one limit of the method alone rejects."""
+    own = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    part = own("p", 9)
+    many = " ".join([f"{part} {own('x' + str(k), 29)}" for k in range(4)])  # 36 of 152 words covered by 9 at once
+    covered = f"{part} {own('a', 24)} {part} {own('b', 24)} {part} {own('c', 15)}"  # 27 of 90
+    once = f"{own('l', 31)} {own('y', 15)} {own('l', 31)}"  # the base rule rejects it too
+    rows = quality.measure([many, covered, once])
+    assert [(r[6], r[7]) for r in rows] == [(False, True), (False, False), (True, False)]
+    assert 100 * rows[1][4] > 25 * rows[1][0] and rows[1][5] < quality.LONG_WORDS
+
+
 def test_operator(odd, none):
     got = quality.repetition_rules(odd).collect()
     assert len(got) == odd.count() and all(r["kept"] is not None for r in got)
