@@ -77,6 +77,21 @@ def evidence_profile(spans: DataFrame, documents: DataFrame, parts: int = 5) ->
     return placed.select(at.cast("int").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
+def evidence_counts(spans: DataFrame) -> DataFrame:
+    """kind (spans, documents), each, questions: how many gold spans, and documents with one, the answerable questions have."""
+    own = spans.groupBy("question_id").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("each")) for k in ("spans", "documents")])
+    return own.select(F.explode(pairs).alias("x")).select("x.*").groupBy("kind", "each").agg(F.count("*").alias("questions"))
+
+
+def evidence_coverage(spans: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: distinct spans, documents that hold one, all documents, and the spans' share of all characters (overlaps count twice)."""
+    distinct = spans.select("doc_id", "start_char", "end_char").distinct()
+    gold = distinct.agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("holding"), F.coalesce(F.sum(F.col("end_char") - F.col("start_char")), F.lit(0)).alias("_gold"))
+    every = documents.agg(F.count("*").alias("documents"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("_all"))
+    return gold.crossJoin(every).select("spans", "holding", "documents", F.coalesce(F.try_divide(F.col("_gold").cast("double"), F.col("_all")), F.lit(0.0)).alias("coverage"))  # two single rows
+
+
 def evidence_uses(evidence: DataFrame, top: int = 10) -> DataFrame:
     """The spans that most questions share: span, uses."""
     return evidence.groupBy("span").agg(F.countDistinct("question_id").alias("uses")).orderBy(F.desc("uses"), "span").limit(top)

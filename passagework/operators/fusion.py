@@ -51,6 +51,26 @@ def weighted(lists: DataFrame, key: str, weights: dict[int, float], method: str
     return _ranked(fused.join(total, "question_id").withColumn("score", F.col("gain") + F.col("floors")), key, top, 9)
 
 
+def weight_grid(lists: DataFrame, key: str, shares: list[float], methods: tuple[str, ...] = ("minmax", "zscore"), top: int | None = None) -> DataFrame:
+    """method, share (of list 0; list 1 has the rest), question_id, key, score, rank: every setting of weighted fusion over the same lists."""
+    out = None
+    for method in methods:
+        for share in shares:
+            rows = weighted(lists, key, {0: share, 1: 1 - share}, method, top).withColumns({"method": F.lit(method), "share": F.lit(float(share))})
+            out = rows if out is None else out.unionByName(rows)
+    return out.select("method", "share", "question_id", key, "score", "rank")
+
+
+def constant_grid(lists: DataFrame, key: str, constants: list[float], top: int | None = None) -> DataFrame:
+    """k, question_id, key, score, rank: reciprocal rank fusion with each constant, in one pass over the lists."""
+    grid = lists.sparkSession.createDataFrame([(float(k),) for k in constants], "k double")
+    rows = lists.crossJoin(F.broadcast(grid))  # a handful of literal rows
+    fused = rows.groupBy("k", "question_id", key).agg(F.sum(1.0 / (F.col("k") + F.col("rank"))).alias("score"), _first_seen().alias("seen"))
+    order = Window.partitionBy("k", "question_id").orderBy(F.desc(F.round("score", 12)), "seen")
+    out = fused.withColumn("rank", F.row_number().over(order))
+    return (out.where(F.col("rank") <= top) if top else out).select("k", "question_id", key, "score", "rank")
+
+
 def round_robin(lists: DataFrame, key: str, top: int | None = None) -> DataFrame:
     """Lists interleaved by position, then list; the first occurrence counts; score 1 / rank."""
     first = lists.groupBy("question_id", key).agg(F.min(F.struct("rank", "list_no")).alias("seen"))

@@ -100,6 +100,30 @@ def tolerant(generator: Generator) -> Generator:
     return call
 
 
+def hosted(connect: Callable[[], Callable[[str, str], list[str] | str]], attempts: int = 3) -> Generator:
+    """A generator over a hosted model.
+
+    ``connect()`` is called once per worker and gives a function of (system, user)
+    to a text or to a list of text blocks, which are joined and stripped.  A
+    ConnectionError or TimeoutError is tried again; ``Refused`` is passed on.
+    """
+    state: dict = {}
+
+    def one(system: str, user: str) -> str:
+        if "client" not in state:
+            state["client"] = connect()
+        for left in reversed(range(attempts)):
+            try:
+                said = state["client"](system, user)
+                return (said if isinstance(said, str) else "".join(said)).strip()
+            except (ConnectionError, TimeoutError):
+                if not left:
+                    raise
+        raise ValueError("attempts is at least 1")
+
+    return lambda systems, users: pd.Series([one(s, u) for s, u in zip(systems, users, strict=True)], dtype=object)
+
+
 #: Name -> instruction, role of the queries, most lines, and default routing.
 TRANSFORMS: dict[str, tuple[str, str, int, Routing]] = {
     "rewrite": ("Rewrite the question as one search query.", "rewrite", 1, Routing()),

@@ -43,10 +43,11 @@ def flips(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("metric").agg(F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-9).alias("differing"), F.count("*").alias("shared"), F.avg(F.col("a") - F.col("b")).alias("mean_difference"))
 
 
-def winners(pairs: DataFrame) -> DataFrame:
-    """metric, winner (a, b or tie), questions."""
+def winners(pairs: DataFrame, by: str | None = None) -> DataFrame:
+    """metric (and ``by``), winner (a, b or tie), questions."""
     gap = F.col("a") - F.col("b")
-    return pairs.withColumn("winner", F.when(gap > 1e-9, "a").when(gap < -1e-9, "b").otherwise("tie")).groupBy("metric", "winner").agg(F.count("*").alias("questions"))
+    group = ["metric", *([by] if by else []), "winner"]
+    return pairs.withColumn("winner", F.when(gap > 1e-9, "a").when(gap < -1e-9, "b").otherwise("tie")).groupBy(*group).agg(F.count("*").alias("questions"))
 
 
 def resampled(sums: np.ndarray, counts: np.ndarray, samples: int, seed: int, level: float) -> tuple[float, float, float, int]:

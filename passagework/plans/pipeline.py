@@ -95,6 +95,41 @@ class Component:
     params: dict = field(default_factory=dict)
 
 
+def parsed(text: str) -> dict:
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("settings are no JSON, and there is no YAML parser") from None
+        return yaml.safe_load(text)
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """How a pipeline is evaluated; shared by runs that are to be compared."""
+
+    ks: tuple[int, ...] = (1, 5, 10)
+    rank_k: int = 10
+    budget: int = 2000
+    samples: int = 2000
+    seed: int = 0
+    confirm_above: float = 1.0
+
+    def __post_init__(self):
+        if not self.ks or min(self.ks) < 1 or self.rank_k < 1 or self.budget < 1:
+            raise ValueError("cut-offs and budget are at least 1")
+
+    @classmethod
+    def load(cls, text: str) -> Evaluation:
+        raw = parsed(text)
+        unknown = set(raw) - set(cls.__dataclass_fields__)
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        return cls(**raw | ({"ks": tuple(raw["ks"])} if "ks" in raw else {}))
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a pipeline is made of; unknown keys are an error."""
@@ -119,7 +154,8 @@ class Settings:
 
     @classmethod
     def load(cls, text: str) -> Settings:
-        raw = json.loads(text)
+        """From JSON, or YAML where a parser for it is installed."""
+        raw = parsed(text)
         unknown = set(raw) - set(cls.__dataclass_fields__)
         if unknown:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")

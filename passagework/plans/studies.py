@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, dataset, fusion, metrics, rerank, sparse, sweeps
+from ..operators import chunking, context, dataset, diagnostics, fusion, metrics, rerank, sparse, stats, sweeps
 from ..sources.tables import checkpointed
-from .common import BM25_CTES, bm25_sql, chunk_ctes, docs, questions, table, terms_sql
+from .common import BM25_CTES, LIST_CTES, bm25_sql, chunk_ctes, docs, questions, table, terms_sql
 from .evaluation import GOLD, gold
 from .passages import MERGED, returned
 from .retrieval import SECOND, _lists, _rescored
@@ -220,6 +220,36 @@ def failure_kinds(spark, sf_dir):
     return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@entry("wins_by_type", """WITH p AS (SELECT lang AS question_type, quality::DOUBLE AS a, (1 - toxic)::DOUBLE AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)
+SELECT 'correct' AS metric, question_type, CASE WHEN a - b > 1e-9 THEN 'a' WHEN a - b < -1e-9 THEN 'b' ELSE 'tie' END AS winner, count(*) AS questions FROM p GROUP BY ALL""")
+def wins_by_type(spark, sf_dir):
+    scores, asked = _runs(spark, sf_dir)
+    pairs = stats.paired(scores.where("run = 'a'"), scores.where("run = 'b'")).join(asked.select("question_id", "question_type"), "question_id")
+    return stats.winners(pairs, "question_type")
+
+
+CONSTANTS = (1, 5, 10, 20, 40, 60, 100, 200)
+
+
+@entry("fusion_constants", f"""WITH {LIST_CTES}, fused AS (SELECT k::DOUBLE AS k, question_id, chunk_id, sum(1.0::DOUBLE / (k + rank)) AS score, min((list_no, rank)) AS seen FROM lists, (SELECT unnest({list(CONSTANTS)}) AS k) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, question_id ORDER BY round(score, 12) DESC, seen) AS rank FROM fused)
+SELECT k, question_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+def fusion_constants(spark, sf_dir):
+    """Reciprocal rank fusion with eight constants over the same lists."""
+    found = fusion.constant_grid(_lists(spark, sf_dir), "chunk_id", list(CONSTANTS), 10)
+    return found.select("k", "question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@entry("evidence_counts", f"WITH {GOLD}, o AS (SELECT question_id, count(*) AS spans, count(DISTINCT doc_id) AS documents FROM gold GROUP BY question_id) SELECT 'spans' AS kind, spans AS \"each\", count(*) AS questions FROM o GROUP BY spans UNION ALL SELECT 'documents', documents, count(*) FROM o GROUP BY documents")
+def evidence_counts(spark, sf_dir):
+    return diagnostics.evidence_counts(gold(spark, sf_dir))
+
+
+@entry("evidence_coverage", f"WITH {GOLD}, d AS (SELECT DISTINCT doc_id, start_char, end_char FROM gold) SELECT count(*) AS spans, count(DISTINCT doc_id) AS holding, (SELECT count(*) FROM documents) AS documents, round(coalesce(sum(end_char - start_char), 0)::DOUBLE / (SELECT sum(length(coalesce(text, ''))) FROM documents), 9) AS coverage FROM d")
+def evidence_coverage(spark, sf_dir):
+    return diagnostics.evidence_coverage(gold(spark, sf_dir), docs(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
+
+
 # --- contexts -----------------------------------------------------------------------------
 
 

@@ -298,3 +298,59 @@ def test_failures_and_examples(spark):
     got = diagnostics.picked(kinds, "kind", "cluster", "order", 5, "sentence").collect()
     # questions 1 and 2 have one sentence, of which the better rank is shown; 3 and 4 are of different clusters
     assert sorted((r["kind"], r["question_id"]) for r in got) == [("both miss", 3), ("both miss", 4), ("dense misses", 2), ("fusion loses", 2)]
+
+
+# --- from files to a run ------------------------------------------------------------------
+
+
+def test_prepare_and_commands(spark, tmp_path):
+    """Raw files to splits and a manifest, an index, an answer, a scored run and a comparison, from the command line."""
+    import json
+
+    from passagework import __main__ as command
+
+    words = ["owl", "barn", "ferry", "rain", "bread", "fog", "harbour", "mayor", "kite", "lamp"]
+    corpus = [{"body": f"The {w} number {n} was seen in town {n}. Nobody knew the {w} before.", "title": f"T{n} {w}", "url": f"u{n}-{w}", "source": "Wire", "published_at": "2022-03-04"} for n in range(4) for w in words]
+    questions = [{"query": f"Was the {w} number {n} seen?", "answer": "yes", "question_type": "xy"[n % 2], "evidence_list": [{"url": f"u{n}-{w}", "title": None, "fact": f"The {w} number {n} was seen in town {n}."}]} for n in range(4) for w in words]
+    questions += [{"query": f"What of {n}?", "answer": "Insufficient information.", "question_type": "null_query", "evidence_list": []} for n in range(8)]
+    questions += [{"query": "?", "answer": "a", "question_type": "x", "evidence_list": [{"url": "u0-owl", "title": None, "fact": "not there"}]}]
+    for name, rows in (("corpus", corpus), ("questions", questions)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    out = str(tmp_path / "out")
+    manifest = command.main(["prepare", str(tmp_path / "corpus.json"), str(tmp_path / "questions.json"), out, "--dev", "12", "--test", "12", "--subset", "4"], spark)
+    assert manifest["documents"] == 40 and manifest["questions"] == {"dev": 12, "test": 12, "pool": 24, "test_pool": 0, "dev_answer_subset": 4, "excluded": 1}
+    assert manifest["split_check"]["gold_spans_shared_by_dev_and_test"] == 0 and manifest["mapping"]["exact"] == 40 and len(manifest["raw_sha256"]["corpus"]) == 64
+    assert json.loads("\n".join(r[0] for r in spark.read.text(f"{out}/manifest.json").collect())) == manifest
+    (tmp_path / "s.json").write_text('{"retriever": "sparse", "chunker": {"name": "sentence", "params": {"size": 20}}, "top_k": 2}')
+    settings = ["--settings", str(tmp_path / "s.json")]
+    index = str(tmp_path / "index")
+    assert command.main(["ingest", f"{out}/documents.jsonl", index, *settings], spark)["documents"] == 40
+    answer = command.main(["ask", f"{out}/documents.jsonl", index, "Was the ferry number 2 seen?", *settings], spark)
+    assert answer["answer"].startswith("The ferry number 2 was seen")
+    run = str(tmp_path / "run")
+    means = command.main(["eval", f"{out}/documents.jsonl", index, f"{out}/questions_dev.jsonl", run, *settings], spark)
+    assert means["recall@5"]["mean"] == 1.0 and means["recall@2000tok"]["mean"] == 1.0 and means["context_full_support"]["mean"] == 1.0
+    assert command.main(["compare", run, run, "recall@1"], spark)["differing"] == 0
+    with pytest.raises(PermissionError):
+        command.main(["eval", f"{out}/documents.jsonl", index, f"{out}/questions_test.jsonl", run, *settings], spark)
+    assert pipeline.Evaluation.load('{"ks": [3]}').ks == (3,)
+    with pytest.raises(ValueError):
+        pipeline.Evaluation.load('{"depths": [3]}')
+
+
+def test_hosted():
+    made, fails = [], [ConnectionError(), None]
+
+    def connect():
+        made.append(1)
+
+        def client(system, user):
+            error = fails.pop(0) if fails else None
+            if error:
+                raise error
+            return ["  an ", f"answer to {user} "]
+        return client
+
+    call = models.hosted(connect)
+    assert call(pd.Series(["s", "s"]), pd.Series(["a", "b"])).tolist() == ["an answer to a", "an answer to b"] and len(made) == 1
+    assert models.tolerant(models.hosted(lambda: lambda s, u: (_ for _ in ()).throw(models.Refused())))(pd.Series(["s"]), pd.Series(["u"])).tolist() == [models.REFUSED]
