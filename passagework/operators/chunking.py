@@ -94,15 +94,11 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", chunk_name(F.col("doc_id"), F.col("n")).alias("chunk_id"), "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), "text")
 
 
-def of_ranked(ranked: DataFrame, docs: DataFrame, cut: Callable[[DataFrame], DataFrame], few: int = 1_000_000) -> DataFrame:
-    """``ranked`` (chunk_id, ...) with the columns of its chunks; only documents that have a ranked chunk are cut again.
-
-    ``ranked`` should be a table (it is read twice); up to ``few`` rows of it travel.
-    """
-    travels = (lambda x: F.broadcast(x)) if ranked.limit(few + 1).count() <= few else (lambda x: x)
-    holders = ranked.select(F.regexp_extract("chunk_id", "^(.*):[^:]*$", 1).alias("_holder")).distinct()
-    rows = docs.join(travels(holders), F.col("doc_id").cast("string") == F.col("_holder"), "left_semi")
-    return cut(rows).join(travels(ranked), "chunk_id")
+def with_text(spans: DataFrame, docs: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """``spans`` (doc_id, start_char, end_char, ...) with their text, cut from the documents; up to ``few`` spans travel."""
+    travels = spans.limit(few + 1).count() <= few
+    cut = F.substring(F.col("_text"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))
+    return docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(spans) if travels else spans, "doc_id").withColumn("text", cut).drop("_text")
 
 
 # --- splitters over one text -------------------------------------------------------------

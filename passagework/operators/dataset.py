@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def find_span(text: str, fact: str) -> tuple[int, int, str] | None:
@@ -21,39 +23,70 @@ def find_span(text: str, fact: str) -> tuple[int, int, str] | None:
     return (m.start(), m.end(), "whitespace") if m else None
 
 
-def verbatim(documents: DataFrame, items: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
+#: Characters of facts whose automaton one task holds.
+FACT_CHARS = 4 << 20
+
+
+def verbatim(documents: DataFrame, items: DataFrame, chars: int = FACT_CHARS) -> DataFrame:
     """doc_id, text, question_id, fact: the documents that hold a fact as it is.
 
-    ``documents``: doc_id, text; ``items``: question_id, fact.  A fact of three words
-    or more is found by a join on its longest inner word (a document that holds the
-    fact has it as a word of its own); the words of up to ``broadcast_rows`` facts
-    travel to the documents.  Shorter facts have no such word: each document is
-    searched for all of them, in blocks of ``broadcast_rows``.
+    ``documents``: doc_id, text; ``items``: question_id, fact.  Facts of up to
+    ``chars`` characters together travel to the documents, and each text is read
+    once for all of them.  Of more, those of three words or more are found by a
+    join on their longest inner word (a document that holds the fact has it as a
+    word of its own), and shorter ones travel in several blocks.
     """
+    columns = ["doc_id", "text", "question_id", "fact"]
+    items = items.where(F.trim("fact") != "").select("question_id", "fact")
+    size = lambda rows: rows.agg(F.sum(F.length("fact").cast("long"))).first()[0] or 0
+    total = size(items)
+    if total <= chars:
+        return _searched(documents, items)
     words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^ \t-\r]+"), F.lit(0))
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     longest = F.reduce(inner, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
-    keyed = items.where(F.trim("fact") != "").withColumn("w", words("fact")).withColumn("word", F.when(F.size("w") > 2, longest)).drop("w")
-    held = F.col("text").contains(F.col("fact"))
-    columns = ["doc_id", "text", "question_id", "fact"]
-    short = keyed.where("word is null").select("question_id", "fact")
-    n = short.count()
-    long = keyed.where("word is not null")
-    if long.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        # only words that some fact needs are compared, and the text stays where it is
-        own = documents.select("doc_id", "text", F.array_distinct(words("text")).alias("w"))
-        found = own.select("doc_id", "text", F.explode("w").alias("word")).join(F.broadcast(long), "word").where(held).select(columns)
-    else:
-        own = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-        pairs = own.join(long.select("question_id", "word"), "word").select("doc_id", "question_id")
-        found = pairs.join(documents, "doc_id").join(long.drop("word"), "question_id").where(held).select(columns)
-    blocks = -(-n // broadcast_rows)
+    keyed = items.withColumn("w", words("fact")).withColumn("word", F.when(F.size("w") > 2, longest)).drop("w")
+    long, short = keyed.where("word is not null"), keyed.where("word is null").select("question_id", "fact")
+    own = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    pairs = own.join(long.select("question_id", "word"), "word").select("doc_id", "question_id")
+    found = pairs.join(documents, "doc_id").join(long.drop("word"), "question_id").where(F.col("text").contains(F.col("fact"))).select(columns)
+    blocks = -(-size(short) // chars)
     for block in range(blocks):
-        part = short.where(F.pmod(F.xxhash64("question_id", "fact"), F.lit(blocks)) == block)
-        found = found.unionByName(documents.join(F.broadcast(part), held).select(columns))
+        found = found.unionByName(_searched(documents, short.where(F.pmod(F.xxhash64("question_id", "fact"), F.lit(blocks)) == block)))
     return found
 
 
+def _searched(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Each text searched for all facts at once, by an automaton that every task makes of them."""
+    kinds = dict(documents.dtypes) | dict(items.dtypes)
+    ids = to_arrow_type(items.schema["question_id"].dataType)
+    travelling = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select("question_id", "fact").distinct().collect()])  # about FACT_CHARS
+
+    def run(batches):
+        import ahocorasick
+
+        machine, asked = ahocorasick.Automaton(), {}
+        for question, fact in travelling.value:
+            asked.setdefault(fact, []).append(question)
+        for fact in asked:
+            machine.add_word(fact, fact)
+        if not asked:
+            return
+        machine.make_automaton()
+        for batch in batches:
+            at, questions, facts = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for fact in sorted({f for _, f in machine.iter(text)}) if text else ():
+                    for question in asked[fact]:
+                        at.append(k)
+                        questions.append(question)
+                        facts.append(fact)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(questions, ids), pa.array(facts, pa.string())], ["doc_id", "text", "question_id", "fact"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, question_id {kinds['question_id']}, fact string")
+
+
 def map_evidence(pairs: DataFrame) -> DataFrame:
     """pairs (text, fact, ...) with start_char, end_char and method (null: missing); Python only where the exact search fails."""
 

@@ -55,7 +55,7 @@ def cosine_top(queries: DataFrame, store: DataFrame, k: int, dimensions: int | N
     out = None
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).collect()  # about QUERY_BYTES
-        travelling = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own]).reshape(len(own), -1)))
+        travelling = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own], float).reshape(len(own), size["widest"])))
         found = rows.mapInArrow(_multiplier(travelling, k, key, ids_type), schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         out = found if out is None else out.unionByName(found)  # a question is in one block only
     return out

@@ -92,8 +92,8 @@ def asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select(F.explode("terms").alias("term")).distinct()
 
 
-def forward_index(chunks: DataFrame, key: str, terms: Column, vocabulary: list[str], stem: Callable[[str], str] | None = None) -> DataFrame:
-    """key, length, ids, times: for each chunk how often it has the terms of ``vocabulary``, by their places in it.
+def forward_index(chunks: DataFrame, key: str, terms: Column, vocabulary: list[str], stem: Callable[[str], str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, length, ids, times and the columns of ``carry``: for each chunk how often it has the terms of ``vocabulary``, by their places in it.
 
     The JVM finds the terms; equal ones are counted by Arrow and numpy, so Python
     sees each distinct term of a batch once.
@@ -119,10 +119,11 @@ def forward_index(chunks: DataFrame, key: str, terms: Column, vocabulary: list[s
             pair, times = np.unique((np.repeat(np.arange(len(lengths)), lengths) * size + found)[found >= 0], return_counts=True)
             ends = pa.array(np.searchsorted(pair, np.arange(len(lengths) + 1) * size), pa.int32())
             columns = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pair % size, times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), *columns], [key, "length", "ids", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), *columns, *batch.columns[2:]], [key, "length", "ids", "times", *carry])
 
-    kind = dict(chunks.dtypes)[key]
-    return chunks.select(F.col(key), terms.alias("terms")).mapInArrow(run, f"{key} {kind}, length long, ids array<int>, times array<int>")
+    kinds = dict(chunks.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in carry)
+    return chunks.select(F.col(key), terms.alias("terms"), *carry).mapInArrow(run, f"{key} {kinds[key]}, length long, ids array<int>, times array<int>{more}")
 
 
 def _best_of(rows: pa.Table, k: int) -> pa.Table:
@@ -191,8 +192,8 @@ def _scorer(travelling, key: str, settings: list[tuple[float, float]], average:
     return run
 
 
-def grid_search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column, k: int, settings: list[tuple[float, float]], stem: Callable[[str], str] | None = None, decimals: int = RANK_DECIMALS) -> DataFrame:
-    """setting (its place in ``settings``, pairs of k1 and b), question_id, key, score, rank: the ``k`` best chunks of each question, ties by key.
+def grid_search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column, k: int, settings: list[tuple[float, float]], stem: Callable[[str], str] | None = None, decimals: int = RANK_DECIMALS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """setting (its place in ``settings``, pairs of k1 and b), question_id, key, score, rank: the ``k`` best chunks of each question, ties by key; with the chunks' columns ``carry``.
 
     ``questions``: question_id, terms; a term counts once per question, and a
     question without a term that any chunk has gets no rows.  Questions travel
@@ -215,7 +216,7 @@ def grid_search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column
         if index is None or not shared:
             every = sorted({t for _, own in asked for t in own}) if parts == 1 or not shared else sorted({stemmed(r[0]) for r in asked_terms(questions).collect()})  # at most BROADCAST_TERMS
             place = {t: n for n, t in enumerate(every)}
-            index = tables.checkpointed(forward_index(chunks, key, terms, every, stem))
+            index = tables.checkpointed(forward_index(chunks, key, terms, every, stem, carry))
             size = index.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
             holding = np.zeros(len(every))
             counted = index.select(F.explode("ids").alias("id")).groupBy("id").count().toArrow()  # a row for each asked term
@@ -226,7 +227,8 @@ def grid_search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column
         first = np.searchsorted(asks[:, 0], np.arange(len(place) + 1))
         travelling = spark.sparkContext.broadcast(([i for i, _ in asked], first, asks[:, 1].copy(), weight))
         run = _scorer(travelling, key, settings, float(size["average"] or 1.0) or 1.0, k, ids_type, decimals)
-        found = index.mapInArrow(run, f"setting int, question_id {kind}, {key} {key_kind}, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = index.select(key, "length", "ids", "times").mapInArrow(run, f"setting int, question_id {kind}, {key} {key_kind}, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = found.join(index.select(key, *carry), key).select(*found.columns, *carry) if carry else found
         if parts > 1:
             found = tables.checkpointed(found)
             travelling.destroy()
@@ -234,6 +236,6 @@ def grid_search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column
     return out
 
 
-def search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column, k: int = 10, k1: float = 1.2, b: float = 0.75, stem: Callable[[str], str] | None = None) -> DataFrame:
-    """question_id, key, score, rank of one setting."""
-    return grid_search(questions, chunks, key, terms, k, [(k1, b)], stem).drop("setting")
+def search(questions: DataFrame, chunks: DataFrame, key: str, terms: Column, k: int = 10, k1: float = 1.2, b: float = 0.75, stem: Callable[[str], str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, key, score, rank of one setting, and the columns of ``carry``."""
+    return grid_search(questions, chunks, key, terms, k, [(k1, b)], stem, carry=carry).drop("setting")

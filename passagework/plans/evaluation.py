@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import chunking, dataset, metrics, stats
 from ..sources.tables import checkpointed
 from .common import chunk_ctes, docs, table
-from .passages import RETURNED, returned
+from .passages import RETURNED, found, returned
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -29,10 +29,10 @@ GOLD = """gold AS (SELECT item_id AS question_id, (row_number() OVER (PARTITION
 
 def gold(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("fact"))
-    found = dataset.verbatim(docs(spark, sf_dir).select("doc_id", "text"), items)
+    held = dataset.verbatim(docs(spark, sf_dir).select("doc_id", "text"), items)
     at = F.expr("locate(fact, text)") - 1
     number = F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")) - 1
-    return found.select("question_id", number.cast("long").alias("span_no"), "doc_id", at.cast("long").alias("start_char"), (at + F.length("fact")).cast("long").alias("end_char"))
+    return held.select("question_id", number.cast("long").alias("span_no"), "doc_id", at.cast("long").alias("start_char"), (at + F.length("fact")).cast("long").alias("end_char"))
 
 
 def _with_gold(rows, spans):
@@ -51,7 +51,7 @@ RANKS = f"""{RETURNED}, {GOLD}, gold_ranks AS (SELECT g.question_id, g.span_no,
 @entry("gold_ranks", f"WITH {RANKS} SELECT question_id, span_no, coalesce(gold_rank, 0)::INTEGER AS gold_rank FROM gold_ranks")
 def gold_ranks(spark, sf_dir):
     """0 stands for a span that no chunk of the list overlaps."""
-    return metrics.gold_ranks(returned(spark, sf_dir), gold(spark, sf_dir)).withColumn("gold_rank", F.coalesce("gold_rank", F.lit(0)))
+    return metrics.gold_ranks(found(spark, sf_dir), gold(spark, sf_dir)).withColumn("gold_rank", F.coalesce("gold_rank", F.lit(0)))
 
 
 RELEVANT = """total AS (SELECT g.question_id, count(DISTINCT (c.doc_id, c.start_char, c.end_char)) FILTER (c.doc_id IS NOT NULL) AS total FROM gold g LEFT JOIN chunk c ON c.doc_id = g.doc_id AND c.start_char < g.end_char AND g.start_char < c.end_char GROUP BY g.question_id)"""
@@ -75,10 +75,10 @@ scores AS (
 
 
 def _scores(spark, sf_dir):
-    found, spans = checkpointed(returned(spark, sf_dir).drop("text")), checkpointed(gold(spark, sf_dir))  # ten rows per question, and few spans
+    top, spans = checkpointed(found(spark, sf_dir)), checkpointed(gold(spark, sf_dir))  # ten rows per question, and few spans
     totals = metrics.count_relevant(chunking.fixed(_with_gold(docs(spark, sf_dir), spans), 128, 32), spans)
-    by_span = metrics.span_scores(metrics.gold_ranks(found, spans), (5, 10))
-    return by_span.unionByName(metrics.long_format(metrics.rank_scores(metrics.relevance(found, spans), totals)))
+    by_span = metrics.span_scores(metrics.gold_ranks(top, spans), (5, 10))
+    return by_span.unionByName(metrics.long_format(metrics.rank_scores(metrics.relevance(top, spans), totals)))
 
 
 @entry("retrieval_metrics", f"WITH {SCORES} SELECT question_id, metric, round(value, 6) AS value FROM scores")

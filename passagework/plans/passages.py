@@ -96,16 +96,22 @@ returned AS (SELECT question_id, rank, chunk_id, doc_id, start_char, end_char, t
 """
 
 
+def found(spark, sf_dir):
+    """The same without the text: question_id, rank, chunk_id, doc_id, start_char, end_char, score."""
+    chunks = chunking.fixed(docs(spark, sf_dir), 128, 32).withColumns({c: F.col(c).cast("long") for c in ("start_char", "end_char")})
+    top = sparse.search(questions(spark, sf_dir), chunks, "chunk_id", T.terms(F.col("text")), carry=("doc_id", "start_char", "end_char"))
+    return top.select("question_id", "rank", "chunk_id", "doc_id", "start_char", "end_char", "score")
+
+
 def returned(spark, sf_dir):
-    cut = lambda rows: chunking.fixed(rows, 128, 32)
-    d = docs(spark, sf_dir)
-    top = checkpointed(sparse.search(questions(spark, sf_dir), cut(d), "chunk_id", T.terms(F.col("text"))))  # ten rows per question
-    return chunking.of_ranked(top, d, cut).select("question_id", "rank", "chunk_id", "doc_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text", "score")
+    """With the text, cut from the documents that have a ranked chunk."""
+    top = checkpointed(found(spark, sf_dir))  # ten rows per question
+    return chunking.with_text(top, docs(spark, sf_dir)).select("question_id", "rank", "chunk_id", "doc_id", "start_char", "end_char", "text", "score")
 
 
 @entry("chunk_bm25_topk", f"WITH {RETURNED} SELECT question_id, rank::INTEGER AS rank, chunk_id, doc_id, start_char, end_char, round(score, 6) AS score FROM returned")
 def chunk_bm25_topk(spark, sf_dir):
-    return returned(spark, sf_dir).withColumn("score", F.round("score", 6)).drop("text")
+    return found(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @entry("dedupe_text", f"WITH {RETURNED}, n AS (SELECT *, row_number() OVER (PARTITION BY question_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY rank) AS k FROM returned) SELECT question_id, rank::INTEGER AS rank, chunk_id FROM n WHERE k = 1")

@@ -171,16 +171,16 @@ def rerank_outcomes(spark, sf_dir):
 
 @entry("clause_orders", f"""WITH {SECOND}, scored AS (SELECT l.question_id, p.list_no AS query_no, l.chunk_id, l.rank, p.score AS new_score FROM lists l JOIN pairs p ON p.question_id = l.question_id AND p.chunk_id = l.chunk_id WHERE l.list_no = 0),
 best AS (SELECT question_id, chunk_id, max(new_score) AS score, min(rank) AS old FROM scored GROUP BY ALL),
-one AS (SELECT 'best' AS "order", question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, old, chunk_id) AS rank FROM best),
+one AS (SELECT 'best' AS kind, question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, old, chunk_id) AS rank FROM best),
 own AS (SELECT *, row_number() OVER (PARTITION BY question_id, query_no ORDER BY round(new_score, 9) DESC, rank) AS place FROM scored),
 first AS (SELECT question_id, chunk_id, min((place, query_no)) AS seen FROM own GROUP BY ALL)
-SELECT "order", question_id, chunk_id, rank::INTEGER AS rank FROM one UNION ALL SELECT 'round_robin', question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY seen)::INTEGER FROM first""")
+SELECT kind, question_id, chunk_id, rank::INTEGER AS rank FROM one UNION ALL SELECT 'round_robin', question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY seen)::INTEGER FROM first""")
 def clause_orders(spark, sf_dir):
     """Whole and truncated vectors stand for two clauses that score the same candidates."""
     lists = _lists(spark, sf_dir).where("list_no = 0")
     whole = lists.select("question_id", F.lit(0).alias("query_no"), "chunk_id", "rank", F.col("score").alias("new_score"))
     part = _rescored(spark, sf_dir).select("question_id", F.lit(1).alias("query_no"), "chunk_id", "rank", "new_score")
-    return rerank.clause_orders(whole.unionByName(part)).select("order", "question_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+    return rerank.clause_orders(whole.unionByName(part)).select(F.col("order").alias("kind"), "question_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
 
 
 SENTENCES = f"""{BM25_CTES}, {GOLD},
@@ -240,9 +240,9 @@ def fusion_constants(spark, sf_dir):
     return found.select("k", "question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@entry("evidence_counts", f"WITH {GOLD}, o AS (SELECT question_id, count(*) AS spans, count(DISTINCT doc_id) AS documents FROM gold GROUP BY question_id) SELECT 'spans' AS kind, spans AS \"each\", count(*) AS questions FROM o GROUP BY spans UNION ALL SELECT 'documents', documents, count(*) FROM o GROUP BY documents")
+@entry("evidence_counts", f"WITH {GOLD}, o AS (SELECT question_id, count(*) AS spans, count(DISTINCT doc_id) AS documents FROM gold GROUP BY question_id) SELECT 'spans' AS kind, spans AS number, count(*) AS questions FROM o GROUP BY spans UNION ALL SELECT 'documents', documents, count(*) FROM o GROUP BY documents")
 def evidence_counts(spark, sf_dir):
-    return diagnostics.evidence_counts(gold(spark, sf_dir))
+    return diagnostics.evidence_counts(gold(spark, sf_dir)).withColumnRenamed("each", "number")
 
 
 @entry("evidence_coverage", f"WITH {GOLD}, d AS (SELECT DISTINCT doc_id, start_char, end_char FROM gold) SELECT count(*) AS spans, count(DISTINCT doc_id) AS holding, (SELECT count(*) FROM documents) AS documents, round(coalesce(sum(end_char - start_char), 0)::DOUBLE / (SELECT sum(length(coalesce(text, ''))) FROM documents), 9) AS coverage FROM d")

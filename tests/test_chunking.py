@@ -59,11 +59,11 @@ def test_long_texts(spark):
     assert time.time() - began < 60
 
 
-def test_ranked_chunks(spark):
-    docs = spark.createDataFrame([("a:b", "one two three four"), ("c", "five six"), ("d", "seven")], "doc_id string, text string")
-    ranked = spark.createDataFrame([("q", "a:b:0001", 1), ("q", "d:0000", 2)], "question_id string, chunk_id string, rank int")
-    got = C.of_ranked(ranked, docs, lambda rows: C.fixed(rows, 2)).orderBy("rank").collect()
-    assert [(r["doc_id"], r["text"], r["start_char"]) for r in got] == [("a:b", " three four", 7), ("d", "seven", 0)]
+def test_text_of_spans(spark):
+    docs = spark.createDataFrame([("a", "één two 😀 three"), ("b", "x"), ("c", None)], "doc_id string, text string")
+    spans = C.fixed(docs, 2).drop("text")
+    for few in (10, 0):
+        assert {(r["doc_id"], r["start_char"]): r["text"] for r in C.with_text(spans, docs, few).collect()} == {("a", 0): "één two", ("a", 7): " 😀 three", ("b", 0): "x"}
 
 
 def test_pack():

@@ -58,6 +58,8 @@ def test_search_is_scores_and_best(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
     one = sparse.search(asked.limit(0), chunks, "id", terms)
     assert one.columns == ["question_id", "id", "score", "rank"] and one.count() == 0
+    more = sparse.search(asked, chunks.withColumn("extra", F.col("id") * 2), "id", terms, carry=("extra",))
+    assert more.columns == ["question_id", "id", "score", "rank", "extra"] and more.where("extra <> 2 * id").count() == 0 and more.count() > 0
     last = found(stem=lambda t: t[:2])
     assert last.keys() != want.keys()
 
