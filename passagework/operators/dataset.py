@@ -265,10 +265,13 @@ def quotas(rows: DataFrame, stratum: str, n: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, key: str, stratum: str, n: int, seed: str = "0") -> DataFrame:
-    """As many rows of each stratum as its quota, in the order of a seeded checksum of the key."""
+    """As many rows of each stratum as its quota, in the order of a seeded checksum of the key.
+
+    No quota is above ``n``, so a task sends on its first ``n`` rows of each stratum at most.
+    """
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    drawn = rows.join(F.broadcast(quotas(rows, stratum, n)), stratum)
-    return drawn.withColumn("_n", F.row_number().over(order)).where("_n <= quota").drop("_n", "quota", "size")
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return first.join(quotas(rows, stratum, n), stratum).where("_n <= quota").drop("_n", "quota", "size")
 
 
 def capped(rows: DataFrame, key: str, cluster: str, cap: int, seed: str = "0") -> DataFrame:

@@ -23,13 +23,19 @@ def confusion(pairs: DataFrame, judge: str, human: str) -> DataFrame:
 
 
 def separation(ranked: DataFrame, group: str, rank: str, relevant: str) -> DataFrame:
-    """group, auc: chance that a relevant row ranks above another; null where one class is empty.  From rank sums, without pairs."""
-    line = Window.partitionBy(group).orderBy(rank)
-    rows = ranked.withColumn("_n", F.row_number().over(line))
-    own = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(relevant)).alias("pos"), F.sum(F.when(F.col(relevant), F.col("_n"))).alias("ranks"))
+    """group, auc: chance that a relevant row ranks above another; null where one class is empty.  From rank sums, without pairs.
+
+    Rows are dealt by ranges of group and rank, so a large group is many parts;
+    ranks are counted within a part, and a part's place adds those before it.
+    """
+    parts = ranked.select(group, rank, F.coalesce(F.col(relevant), F.lit(False)).alias("_r")).repartitionByRange(group, rank).withColumn("_p", F.spark_partition_id())
+    rows = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p", group).orderBy(rank)))
+    own = rows.groupBy("_p", group).agg(F.count("*").alias("n"), F.count_if("_r").alias("pos"), F.coalesce(F.sum(F.when(F.col("_r"), F.col("_n"))), F.lit(0)).alias("ranks"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = own.withColumn("ranks", F.col("ranks") + F.col("pos") * before).groupBy(group).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("ranks").alias("ranks"))
     neg = F.col("n") - F.col("pos")
     worse = F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2
-    return own.select(group, F.when((F.col("pos") > 0) & (neg > 0), 1 - worse / (F.col("pos") * neg)).alias("auc"))
+    return total.select(group, F.when((F.col("pos") > 0) & (neg > 0), 1 - worse / (F.col("pos") * neg)).alias("auc"))
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:

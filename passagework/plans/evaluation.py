@@ -147,7 +147,7 @@ SELECT source, CASE WHEN pos > 0 AND n > pos THEN round(1 - (ranks - pos * (pos
 def separation_auc(spark, sf_dir):
     """How well length ranks the good documents of each source first."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("good", F.col("quality") == 1)
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    ranked = rows.withColumn("place", F.struct((-F.col("n_chars")).alias("length"), "doc_id"))
     return stats.separation(ranked, "source", "place", "good").withColumn("auc", F.round("auc", 6))
 
 

@@ -201,7 +201,7 @@ def _rescored(spark, sf_dir):
     """The whole-vector list with the cosine of the first sixteen components as a new score."""
     q, store = vector_questions(spark, sf_dir), vectors(spark, sf_dir)
     top = dense.cosine_top(q, store, 20).select("question_id", "chunk_id", "rank")
-    own = top.join(store.select("chunk_id", dense.unit(F.col("vector"), 16).alias("c")), "chunk_id").join(F.broadcast(q.select("question_id", dense.unit(F.col("vector"), 16).alias("q"))), "question_id")
+    own = top.join(store.select("chunk_id", dense.unit(F.col("vector"), 16).alias("c")), "chunk_id").join(q.select("question_id", dense.unit(F.col("vector"), 16).alias("q")), "question_id")
     return own.select("question_id", "chunk_id", "rank", dense.dot(F.col("q"), F.col("c")).alias("new_score"))
 
 

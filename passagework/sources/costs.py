@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage (model, input_tokens, output_tokens) with cost; prices (model, input, output) are per million tokens, an unknown model costs nothing."""
     cost = (F.col("input_tokens") * F.col("input") + F.col("output_tokens") * F.col("output")) / 1e6
-    return usage.join(F.broadcast(prices), "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("input", "output")
+    return usage.join(prices, "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("input", "output")
 
 
 def bill(usage: DataFrame, prices: DataFrame) -> DataFrame:

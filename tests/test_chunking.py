@@ -66,6 +66,23 @@ def test_text_of_spans(spark):
         assert {(r["doc_id"], r["start_char"]): r["text"] for r in C.with_text(spans, docs, few).collect()} == {("a", 0): "één two", ("a", 7): " 😀 three", ("b", 0): "x"}
 
 
+TWO = "One two. Three four five.\n\nSix seven eight nine.\nTen."
+
+
+def test_spans_by_hand(spark):
+    """Every kind of splitter on a text whose spans are plain to see."""
+    docs = frame(spark, TWO)
+    spans = lambda rows: [(r["start_char"], r["end_char"]) for r in rows.orderBy("start_char", "chunk_id").collect()]
+    small, large = [(0, 9), (9, 27), (27, 49), (49, 53)], [(0, 27), (27, 53)]
+    for kind in ("recursive", "paragraph", "sentence"):
+        assert spans(C.structure_chunks(docs, kind, 4)) == small and spans(C.structure_chunks(docs, kind, 5)) == large
+    assert spans(C.structure_chunks(docs, "sentence", 5, 3)) == [(0, 27), (27, 53)]  # the tail of three words leaves no room for four
+    assert spans(C.structure_chunks(docs, "sentence", 7, 3)) == [(0, 27), (9, 49), (49, 53)]
+    assert spans(C.structure_chunks(docs, "recursive", 2)) == [(0, 9), (9, 20), (20, 27), (27, 37), (37, 49), (49, 53)]
+    rows = C.parent_child(docs, 5, 3).orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["start_char"], r["end_char"], r["child_start"], r["child_end"]) for r in rows] == [("0:0000:00", 0, 27, 0, 9), ("0:0000:01", 0, 27, 9, 27), ("0:0001:00", 27, 53, 27, 43), ("0:0001:01", 27, 53, 43, 49), ("0:0001:02", 27, 53, 49, 53)]
+
+
 def test_pack():
     pieces = [(i, i + 1) for i in range(6)]
     assert C.pack(pieces, [2, 2, 2, 2, 2, 2], 4) == [(0, 2), (2, 4), (4, 6)]
