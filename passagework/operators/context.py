@@ -7,7 +7,7 @@ and, if asked for, header.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,9 +153,11 @@ def wrapped(chunks: DataFrame, documents: DataFrame, header: bool = False) -> Da
     return with_headers(rows, documents) if header else rows
 
 
-def assemble(chunks: DataFrame, documents: DataFrame, top_k: int, pool: int | None = None, unique: bool = True, merge: bool = True, budget: int | None = None, order: str = "rank", mmr_weight: float | None = None, vectors: DataFrame | None = None, header: bool = False) -> DataFrame:
+def assemble(chunks: DataFrame, documents: DataFrame, top_k: int, pool: int | None = None, unique: bool = True, merge: bool = True, budget: int | None = None, order: str = "rank", mmr_weight: float | None = None, vectors: DataFrame | None = None, header: bool = False, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """The whole chain, in this order: pool, dedupe, select, merge, header, budget, order.
 
+    ``tokens`` counts a text's tokens for the budget (without it, runs of visible characters).
+
     ``chunks``: question_id, rank, score, chunk_id, doc_id, start_char, end_char,
     text.  ``documents``: doc_id, text, and for headers and dates title, source and
     published_at, as far as they are there.  ``mmr_weight`` with ``vectors`` (chunk_id,
@@ -180,7 +182,7 @@ def assemble(chunks: DataFrame, documents: DataFrame, top_k: int, pool: int | No
     rows = stitched(merge_neighbours(rows), documents) if merge else rows.withColumn("n_chunks", F.lit(1).cast("long"))
     rows = with_headers(rows, documents) if header else rows.withColumn("header", F.lit(""))
     if budget is not None:
-        rows = within_tokens(rows, token_count(passage_body(F.col("text"), F.col("header"))), budget)
+        rows = within_tokens(rows, (tokens or token_count)(passage_body(F.col("text"), F.col("header"))), budget)
     if order == "edges":
         return order_edges(rows)
     if order == "chronological":
@@ -190,11 +192,11 @@ def assemble(chunks: DataFrame, documents: DataFrame, top_k: int, pool: int | No
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
 
 
-def contents(passages: DataFrame) -> DataFrame:
+def contents(passages: DataFrame, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """question_id, context_passages, context_chunks, context_tokens of assembled passages, as they are rendered."""
     own = passages.groupBy("question_id").agg(F.count("*").alias("context_passages"), F.sum("n_chunks").alias("context_chunks"))
     blocks = rendered(passages, "position", F.col("header"))
-    return own.join(blocks.select("question_id", token_count(F.col("passages")).cast("long").alias("context_tokens")), "question_id")
+    return own.join(blocks.select("question_id", (tokens or token_count)(F.col("passages")).cast("long").alias("context_tokens")), "question_id")
 
 
 def token_count(text: Column) -> Column:
@@ -202,14 +204,19 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
-def tiktoken_count(texts: Iterator[pd.Series], ranks_path: str, pattern: str) -> Iterator[pd.Series]:
-    """Token counts by a rank file, for ``pandas_udf``; the encoder is loaded once per worker."""
-    import base64
+def counter(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
+    """A token count by a public rank file, as a column function; the encoder is loaded once per worker."""
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
 
-    import tiktoken
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for texts in batches:
+            yield texts.map(lambda t: len(encoding.encode_ordinary(t or "")))
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    for series in texts:
-        yield series.map(lambda t: len(encoding.encode_ordinary(t or "")))
+    return count

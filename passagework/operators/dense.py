@@ -30,6 +30,11 @@ def usable(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     return rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
 
 
+def vectors_for(rows: DataFrame, store: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """key, vector (of length 1) of the chunks that ``rows`` names, each once; a chunk that the store lacks has none."""
+    return store.join(rows.select(key).distinct(), key, "left_semi").select(key, unit(F.col("vector")).alias("vector"))
+
+
 def cosine_top(queries: DataFrame, store: DataFrame, k: int, dimensions: int | None = None, key: str = "chunk_id") -> DataFrame:
     """question_id, key, score, rank by cosine; ties in the order of ``key``.
 

@@ -192,5 +192,5 @@ def assemble_context(spark, sf_dir):
 def mmr_select(spark, sf_dir):
     q, store = vector_questions(spark, sf_dir), vectors(spark, sf_dir)
     pool = dense.cosine_top(q, store, 20).withColumn("relevance", context.min_max(F.col("score"), "question_id"))
-    rows = pool.join(store.select("chunk_id", dense.unit(F.col("vector")).alias("vector")), "chunk_id").select("question_id", "chunk_id", "rank", "relevance", "vector")
+    rows = pool.join(dense.vectors_for(pool, store), "chunk_id").select("question_id", "chunk_id", "rank", "relevance", "vector")
     return context.mmr(rows, "chunk_id", 5)

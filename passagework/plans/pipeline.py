@@ -351,6 +351,30 @@ def evaluate(questions: DataFrame, gold: DataFrame, index: DataFrame, settings:
     return out
 
 
+def answer_run(questions: DataFrame, documents: DataFrame, index: DataFrame, settings: Settings, mode: str = "retrieved", gold: DataFrame | None = None, correct: models.Generator | None = None, faithful: models.Generator | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a row per question, its scores: question_id, metric, value) of answers that are compared and, where that is not enough, judged.
+
+    ``questions``: question_id, question, question_type, answer (the reference).  The
+    judges are generators; without one its verdicts are null.  Whether the context
+    had all gold spans is known in the mode that retrieves and with ``gold`` only.
+    """
+    said = ask(questions, documents, index, settings, mode, gold).select("question_id", F.col("answer").alias("said"), "passages")
+    rows = questions.select("question_id", "question", "question_type", F.col("answer").alias("reference")).join(said.withColumnRenamed("said", "answer"), "question_id")
+    rows = tables.checkpointed(rows.withColumn("match", T.match_verdict(F.col("answer"), F.col("reference"))))  # model calls
+    for name, kind, judge, asked in (("judge_correct", "correctness", correct, rows.where("match is null")), ("judge_faithful", "faithfulness", faithful, rows.where("passages is not null"))):
+        if judge is None:
+            rows = rows.withColumn(name, F.lit(None).cast("boolean"))
+        else:
+            rows = rows.join(models.judge(asked.select("question_id", "question", "reference", "answer"), judge, kind).select("question_id", F.col("verdict").alias(name)), "question_id", "left")
+    if mode == "retrieved" and gold is not None:
+        placed = assembled(questions.select("question_id", "question"), documents, index, settings)
+        held = metrics.gold_ranks(placed, gold).groupBy("question_id").agg(F.bool_and(F.col("gold_rank").isNotNull()).alias("full_support"))
+        rows = rows.join(held, "question_id", "left")
+    else:
+        rows = rows.withColumn("full_support", F.lit(None).cast("boolean"))
+    return rows, models.answer_scores(rows)
+
+
 def summary(scores: DataFrame, clusters: DataFrame, groups: DataFrame | None = None, group: str | None = None, samples: int = 2000, seed: int = 0) -> DataFrame:
     """metric (and group) with mean, low, high, n: means with cluster-bootstrap intervals.  ``clusters``: question_id, cluster."""
     rows = scores.join(clusters, "question_id")

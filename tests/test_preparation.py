@@ -122,10 +122,14 @@ def test_sources(spark, tmp_path):
     assert tables.spliced("a<x>old<y>b", "<x>", "<y>", "new") == "a<x>\nnew\n<y>b" and tables.spliced("a", "<x>", "<y>", "n") is None
 
 
-def test_bill(spark):
+def test_bill(spark, tmp_path):
     usage = spark.createDataFrame([("m", 1_000_000, 0, False), ("m", 5, 5, True), ("n", 9, 9, False)], "model string, input_tokens long, output_tokens long, cached boolean")
     prices = spark.createDataFrame([("m", 2.0, 4.0)], "model string, input double, output double")
     assert {r["model"]: (r["calls"], r["cost"]) for r in costs.bill(usage, prices).collect()} == {"m": (1, 2.0), "n": (1, 0.0)}
+    for step in ("one", "two"):
+        costs.flush(usage, prices, str(tmp_path / "ledger"), step)
+    ledger = spark.read.option("header", True).csv(str(tmp_path / "ledger"))
+    assert sorted((r["step"], r["model"], float(r["cost_usd"])) for r in ledger.collect()) == [("one", "m", 2.0), ("one", "n", 0.0), ("two", "m", 2.0), ("two", "n", 0.0)]
 
 
 def test_stream(spark, tmp_path):

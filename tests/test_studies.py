@@ -170,6 +170,19 @@ def test_assembler(spark):
             context.assemble(chunks, docs, 5, **wrong)
 
 
+def test_counted_by_a_rank_file(spark, tmp_path):
+    """A budget in the tokens of a rank file: here every byte is one."""
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)))
+    count = context.counter(str(path), r"[\s\S]")
+    chunks, docs = passages(spark)
+    assert chunks.where("rank = 2").select(count(F.col("text"))).first()[0] == 22
+    got = context.assemble(chunks, docs, 5, merge=False, budget=42, tokens=count).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2]
+
+
 def test_variety(spark):
     """Of a pool of four, where the second is nearly the first again, the third is chosen beside the first."""
     chunks, docs = passages(spark)
@@ -197,6 +210,13 @@ def test_modes(spark):
     scores = pipeline.evaluate(asked.where("question_id = 'q'").select("question_id", "question"), gold, chunks, settings, (1,), 6, docs)
     got = {r["metric"]: r["value"] for r in scores.collect()}
     assert got["recall@1"] == got["context_recall"] == got["context_full_support"] == got["recall@6tok"] == 1.0 and got["precision@6tok"] > 0.9
+    yes = lambda systems, users: pd.Series(['{"verdict": "correct"}'] * len(users))
+    rows, answers = pipeline.answer_run(asked, docs, chunks, settings, gold=gold, correct=yes)
+    got_rows = {r["question_id"]: r for r in rows.collect()}
+    assert got_rows["q"]["judge_correct"] is True and got_rows["q"]["full_support"] is True and got_rows["r"]["full_support"] is None and got_rows["q"]["judge_faithful"] is None
+    assert {r["question_id"]: r["value"] for r in answers.where("metric = 'correct'").collect()} == {"q": 1.0, "r": 1.0, "s": 1.0}
+    guessed = pipeline.answer_run(asked, docs, chunks, settings, "guesser")[1]
+    assert guessed.where("metric = 'exact_match'").agg(F.sum("value")).first()[0] == 3.0
     clusters = asked.select("question_id", F.col("question_type").alias("cluster"))
     mean = pipeline.summary(scores, clusters, samples=20).where("metric = 'recall@1'").first()
     assert (mean["mean"], mean["low"], mean["high"], mean["n"]) == (1.0, 1.0, 1.0, 1)
