@@ -16,7 +16,8 @@ An expression is a word.  Its toxic and ordinary log likelihoods are normalised
 by its length and compared; a text's evidence is the largest difference that any
 of its words has (over a whole text a few expressions would be lost in the mean),
 and one logistic function, fitted on documents that the counts have not seen,
-maps it to a score.
+maps it to a score.  The evidence counts up to a bound, chosen by likelihood, so
+that a few wrongly labelled documents with very telling words don't flatten it.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def log_ratios(names: list[str], ordinary: list[int], toxic: list[int]) -> tuple
 
 
 class Scorer:
-    """Evidence and scores of texts.  ``weights``: of the constant and of the evidence."""
+    """Evidence and scores of texts.  ``weights``: of the constant and of the evidence, and the bound up to which that counts."""
 
     def __init__(self, table: dict, contexts: dict, weights: list[float] | None):
         self.table, self.contexts, self.weights = table, contexts, weights
@@ -120,7 +121,7 @@ class Scorer:
         return best if best > -math.inf else 0.0
 
     def score(self, text: str | None) -> float:
-        z = self.weights[0] + self.weights[1] * self.evidence(text)
+        z = self.weights[0] + self.weights[1] * min(self.evidence(text), self.weights[2])
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -136,6 +137,19 @@ def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 0.03, rounds: int = 5
     return w.tolist()
 
 
+def calibrated(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """The two weights and the bound of the evidence, of those at every fortieth of the upper half and none, that make the labels likeliest."""
+    best, out = -math.inf, [0.0, 0.0, math.inf]
+    for bound in [math.inf, *np.unique(np.quantile(x, np.linspace(0.5, 1, 41))).tolist()]:
+        rows = np.stack([np.ones(len(x)), np.minimum(x, bound)], 1)
+        w = logistic(rows, y)
+        z = rows @ np.array(w)
+        likelihood = -float((np.logaddexp(0, -z) * y + np.logaddexp(0, z) * (1 - y)).sum())
+        if likelihood > best + 1e-9:
+            best, out = likelihood, [*w, bound]
+    return out
+
+
 def labelled(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
     """label (0 or 1), id, text of the training sample: of each class at most SAMPLE_DOCS documents, of SAMPLE_CHARS characters together.
 
@@ -157,7 +171,7 @@ def unpacked(tables: list) -> list[dict]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, **columns) -> tuple[list, list[float]]:
-    """The two tables (packed), from the whole sample, and the two weights.
+    """The two tables (packed), from the whole sample, and the weights.
 
     The weights are fitted on the evidence of each half by the tables of the other
     half, as a text's own words would look more telling than they are.  With no
@@ -187,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, **columns) -> tuple[list, lis
     ordinary, toxic = int((n00 + n10).sum()), int((n01 + n11).sum())
     if not ordinary or not toxic:
         discard(sample)
-        return packed(({}, {})), [0.0 if ordinary == toxic else 20.0 if toxic else -20.0, 0.0]
+        return packed(({}, {})), [0.0 if ordinary == toxic else 20.0 if toxic else -20.0, 0.0, math.inf]
     # fold 0 is read with fold 1's counts
     halves = docs.sparkSession.sparkContext.broadcast([packed(log_ratios(names, a.tolist(), b.tolist())) for a, b in ((n10, n11), (n00, n01))])
 
@@ -198,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, **columns) -> tuple[list, lis
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["label", "x"])
 
     seen = sample.mapInArrow(describe, "label int, x double").collect()  # a row per sampled document
-    weights = logistic(np.array([[1.0, r[1]] for r in seen]), np.array([r[0] for r in seen], float))
+    weights = calibrated(np.array([r[1] for r in seen]), np.array([r[0] for r in seen], float))
     halves.destroy()
     discard(sample)
     return packed(log_ratios(names, (n00 + n10).tolist(), (n01 + n11).tolist())), weights

@@ -3,6 +3,7 @@ import os
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,7 +102,18 @@ def test_toxicity_odd(odd, none, spark):
     got = toxicity.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     assert toxicity.score(none, toxicity.fit(none, labels, F.lit(True))).count() == 0
-    assert toxicity.drop_toxic(odd, (toxicity.packed(({}, {})), [-9.0, 0.0])).columns == odd.columns
+    assert toxicity.drop_toxic(odd, (toxicity.packed(({}, {})), [-9.0, 0.0, math.inf])).columns == odd.columns
+
+
+def test_wrong_labels_do_not_flatten_the_calibration():
+    """Three of 26 telling documents are labelled wrongly, two of them the most telling ones of all."""
+    x = np.array([0.2] * 100 + [0.5] * 40 + [0.7] * 23 + [0.7, 1.5, 1.5])
+    y = np.array([0.0] * 140 + [1.0] * 23 + [0.0] * 3)
+    w0, w1, bound = toxicity.calibrated(x, y)
+    score = lambda e: 1 / (1 + math.exp(-(w0 + w1 * min(e, bound))))
+    assert bound < 1.5 and score(0.7) > toxicity.THRESHOLD and score(0.5) < 0.1 and score(9.0) >= score(0.7)
+    w0, w1, bound = toxicity.calibrated(np.array([0.1] * 50 + [0.9] * 50), np.array([0.0] * 50 + [1.0] * 50))
+    assert w1 > 5 and math.isfinite(w0)
 
 
 def test_the_sample_is_bounded(spark, monkeypatch):
