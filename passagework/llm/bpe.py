@@ -9,9 +9,10 @@ never applies and gets no gadget.  After all merges the automaton accepts exactl
 the token sequences that BPE produces, one for each byte string.
 
 The construction keeps ``state behind u`` the same for all sources, so the
-automaton is held as one target state per token and, per state, a chain of
-(removed arc, time of removal).  Whether a state has an arc is looked up in a
-transition table that is filled from those chains on first use.
+automaton is held as one target state per token, the token and time of each
+state's gadget, and per token the arcs that its gadgets removed, with their
+times.  Whether a state has an arc is looked up in a transition table that is
+filled from those on first use.
 
 Encoding follows arcs through a word, the longest first, and steps back where no
 arc goes on; as one accepted sequence ends at each position, a position that led
@@ -39,6 +40,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Fixed value: the code points with Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 DEAD = -1
+#: Bounds of a worker's memory: arcs in the transition table (some 80 bytes each), bytes of remembered ids.
+ARCS, AFTER_SPACE, PIECE, CHUNK = 500_000, 96 << 20, 16 << 20, 8 << 20
+#: Rows whose ids and texts a worker holds at once.
+SLICE = 64
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -63,19 +68,8 @@ class BpeAutomaton:
         self.left, self.right = [DEAD] * size, [DEAD] * size
         self.made_at = [len(merges)] * size  # when the token became part of a longer one is kept by the longer one
         self.behind = [0] * size  # target state of a token's arcs
-        self.parent, self.removed, self.when = [DEAD], [DEAD], [DEAD]  # state 0: the initial one
-        gone: dict[int, dict[int, int]] = {}  # per token u, the arcs v that gadgets removed behind it, with their times
-
-        def removed_behind(token: int, part: int) -> int | None:
-            """When the arc ``part`` went from the state behind ``token``; the state began as that behind its right half."""
-            before = len(merges)
-            while True:
-                when = gone.get(token, {}).get(part)
-                if when is not None and when < before:
-                    return when
-                if self.left[token] == DEAD:
-                    return None
-                before, token = min(before, self.made_at[token]), self.right[token]
+        self.owner, self.when = [DEAD], [DEAD]  # of each state, the token and the time of its gadget; state 0: the initial one
+        self.gone: dict[int, dict[int, int]] = {}  # per token u, the arcs v that gadgets removed behind it, with their times
 
         def applies(u: int, v: int) -> bool:
             """Whether the state behind ``u`` has the arc ``v``; if not, the two are never neighbours and the merge never applies."""
@@ -83,7 +77,7 @@ class BpeAutomaton:
                 return False  # a token that no text has
             before = len(merges)
             while v != DEAD:
-                when = removed_behind(u, v)
+                when = self.removal(u, v, len(merges))
                 if when is not None and when <= before:
                     return False
                 before, v = self.made_at[v], self.left[v]
@@ -95,49 +89,43 @@ class BpeAutomaton:
             if self.left[w] != DEAD or w in atoms:
                 raise ValueError(f"token {w} is made twice; the automaton needs one way to make each token")
             self.left[w], self.right[w], self.made_at[w] = u, v, at
-            gone.setdefault(u, {})[v] = at
-            old = self.behind[u]
-            self.behind[w] = old if u == v else self.behind[v]
-            self.parent.append(old)
-            self.removed.append(v)
+            self.gone.setdefault(u, {})[v] = at
+            self.behind[w] = self.behind[v]
+            self.owner.append(u)
             self.when.append(at)
-            self.behind[u] = len(self.parent) - 1
+            self.behind[u] = len(self.owner) - 1
         self.ids = {b: i for i, b in enumerate(self.labels) if b and (i in atoms or self.left[i] != DEAD)}
         self.reach: dict[bytes, int] = {}  # length of the longest token with these first four bytes; without them: three at most
         for b in self.ids:
             if len(b) > 3:
                 self.reach[b[:4]] = max(len(b), self.reach.get(b[:4], 3))
         self.table: dict[int, int] = {}
-        self.cuts: dict[int, dict[int, int]] = {0: {}}
-
-    def removals(self, state: int) -> dict[int, int]:
-        """The arcs that the gadgets removed on the way to ``state``, with their times."""
-        todo = []
-        while state not in self.cuts:
-            todo.append(state)
-            state = self.parent[state]
-        cuts = self.cuts[state]
-        for state in reversed(todo):
-            cuts = {**cuts, self.removed[state]: self.when[state]}
-            if len(self.cuts) > 20_000:
-                self.cuts = {0: {}}
-            self.cuts[state] = cuts
-        return cuts
+
+    def removal(self, token: int, part: int, before: int) -> int | None:
+        """When, earlier than ``before``, the arc ``part`` went from the state behind ``token``; the state began as that behind its right half."""
+        while True:
+            arcs = self.gone.get(token)
+            when = arcs.get(part) if arcs else None
+            if when is not None and when < before:
+                return when
+            if self.left[token] == DEAD:
+                return None
+            before, token = min(before, self.made_at[token]), self.right[token]
 
     def step(self, state: int, token: int) -> int:
         """Target of the arc, or DEAD: the arc is gone if a removal came before a longer arc could be copied from it."""
         key = state << 32 | token
         to = self.table.get(key)
         if to is None:
-            to, cuts, bound = self.behind[token], self.removals(state), None
-            part = token
+            to, owner, before, bound = self.behind[token], self.owner[state], self.when[state] + 1, None
+            part = token if state else DEAD  # the initial state lost no arc
             while part != DEAD:
-                at = cuts.get(part)
+                at = self.removal(owner, part, before)
                 if at is not None and (bound is None or at <= bound):
                     to = DEAD
                     break
                 bound, part = self.made_at[part], self.left[part]
-            if len(self.table) > 2_000_000:
+            if len(self.table) >= ARCS:
                 self.table.clear()
             self.table[key] = to
         return to
@@ -183,6 +171,27 @@ class BpeAutomaton:
         return b"".join(map(self.labels.__getitem__, ids))
 
 
+class IdsMemo(Memo):
+    """A Memo from strings to packed ids that is bounded in bytes, however long the strings are; the longest are not kept."""
+
+    def __init__(self, compute, room: int):
+        super().__init__(compute)
+        self.half, self.held = room // 2, 0
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        size = sys.getsizeof(key) + sys.getsizeof(value) + 100  # with its place in the dict
+        if size <= self.half >> 12:
+            if self.held + size > self.half:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += size
+        return value
+
+
 class ByteLevelBpe:
     """A byte-level BPE file of the tokenizers library: added tokens, pre-split, automaton."""
 
@@ -205,9 +214,9 @@ class ByteLevelBpe:
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.other = re.compile(f"(?![ \\n])[{WHITE}]")
-        self.pack = Memo(lambda piece: packed(self.automaton.encode_word(piece.encode())), 400_000)
-        self.chunk_ids = Memo(self.chunk, 50_000)
-        self.after_space = Memo(self.part, 500_000)
+        self.pack = IdsMemo(self.piece, PIECE)
+        self.chunk_ids = IdsMemo(self.chunk, CHUNK)
+        self.after_space = IdsMemo(self.part, AFTER_SPACE)
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers.
@@ -237,9 +246,12 @@ class ByteLevelBpe:
         stop = part[-1:] if part[-1:] in (".", ",") else ""
         word = part[: len(part) - len(stop)]
         if word.isalpha():  # a piece of its own, and so is the stop before white space
-            return self.pack[f" {word}"] + self.pack[stop] if stop else self.pack[f" {word}"]
+            return self.after_space[word] + self.pack[stop] if stop else self.piece(f" {word}")
         return self.chunk(part if part[:1] == "\n" else f" {part}")
 
+    def piece(self, piece: str) -> bytes:
+        return packed(self.automaton.encode_word(piece.encode()))
+
     def chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pack.__getitem__, self.pieces.findall(chunk)))
 
@@ -257,6 +269,13 @@ def load(name: str) -> ByteLevelBpe:
     return _loaded[name]
 
 
+def slices(batches):
+    """Parts of the batches with few rows, so that what is made of them is not held for a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: each text's ids, packed as little-endian unsigned 32-bit integers.
 
@@ -266,7 +285,7 @@ def encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "
 
     def run(batches):
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
@@ -277,12 +296,24 @@ def decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "
 
     def run(batches):
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bpe.decode(t or b"") for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("binary").alias("ids")).mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def round_trip(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, text: what ``decode`` gives for ``encode``, in one pass, so that a task has one Python worker and one automaton."""
+
+    def run(batches):
+        bpe = load(vocabulary)
+        for batch in slices(batches):
+            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "text"])
+
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def op1_bpe(spark, sf_dir) -> DataFrame:
-    out = decode(encode(documents(spark, sf_dir)))
+    out = round_trip(documents(spark, sf_dir))
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

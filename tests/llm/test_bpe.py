@@ -1,4 +1,6 @@
+import random
 import struct
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -93,3 +95,35 @@ def test_operator(odd, none, library):
     assert sorted(r["text"] for r in rows) == sorted(t or "" for t in texts)
     assert sorted(ids(r["ids"]) for r in rows) == sorted(library.encode(t or "", add_special_tokens=False).ids for t in texts)
     assert bpe.decode(bpe.encode(none)).count() == 0
+
+
+def test_remembered_bytes():
+    """However long the distinct pieces are, what a worker remembers is bounded in bytes, and the ids stay the same."""
+    own, draw = bpe.ByteLevelBpe(tokenizer_path(NAME)), random.Random(1)
+    words = ["".join(draw.choices("abcdefgh", k=5000)) for _ in range(100)]
+    texts = [f"x {w} 1{w}  {w}." for w in words]
+    first = [own.encode(t) for t in texts]
+    memos = [m for own_memo in (own.pack, own.chunk_ids, own.after_space) for m in (own_memo, own_memo.old)]
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for m in memos for k, v in m.items()) < 1 << 20
+    assert [own.encode(t) for t in texts] == first and all(own.decode(i) == t for i, t in zip(first, texts, strict=True))
+
+
+def test_memo_turns_over():
+    """Short strings too: older ones go when the room is full, and come back right."""
+    memo = bpe.IdsMemo(lambda k: k.encode() * 3, 100_000)
+    for _ in range(2):
+        for i in range(5000):
+            assert memo[f"w{i}"] == f"w{i}".encode() * 3
+            assert memo.held <= 50_000
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for m in (memo, memo.old) for k, v in m.items()) <= 100_000
+
+
+def test_one_worker_a_task(spark, tmp_path, odd, none, library):
+    """The query encodes and decodes in one Python worker; the rows are those of ``decode`` after ``encode``."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    out = bpe.op1_bpe(spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r["n_tokens"] for r in out.collect()) == sorted(len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
+    key = lambda r: (r["doc_id"] or -1, r["text"])
+    assert sorted(bpe.round_trip(odd).collect(), key=key) == sorted(bpe.decode(bpe.encode(odd)).collect(), key=key)
+    assert bpe.round_trip(none).count() == 0
